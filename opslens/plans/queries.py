@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from opslens.operators import cleaning, distributions, features, kpis, measures,
 from opslens.operators.joins import join_lookup
 from opslens.operators.rollups import sums_along
 from opslens.plans.bindings import TestTables, money
+from opslens.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -542,13 +543,14 @@ def m9(t: TestTables) -> DataFrame:
     return model.roc_points(t.scored(), "flag", "score")
 
 
-def _fitted(t: TestTables, **params: int):
-    """Model fitted on the exact split, and the held-out rows."""
-    split = sampling.stratified_split(t.model_features(), "readmitted", ROW_KEY)
+@lru_cache(maxsize=1)
+def _fitted(t: TestTables):
+    """Model fitted on the exact split, with the training and the held-out rows: one fit serves both queries."""
+    split = spread(sampling.stratified_split(t.model_features(), "readmitted", ROW_KEY))
     train, test = (split.where(F.col("split") == part) for part in ("train", "test"))
     inputs = partial(model.model_frame, categorical=MODEL_CATEGORIES, numeric=MODEL_NUMBERS, label="readmitted")
     train, test = inputs(train), inputs(test)
-    return model.train_forest(train, MODEL_CATEGORIES, MODEL_NUMBERS, "readmitted", **params), train, test
+    return model.train_forest(train, MODEL_CATEGORIES, MODEL_NUMBERS, "readmitted"), train, test
 
 
 @query("m4_forest")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "opslens", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +47,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="opslens-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Checkpointed copy for work that passes over the rows many times, with a partition for every core."""
+    ensure_checkpoint_dir(df.sparkSession)
+    stored = df.checkpoint()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(cores) if stored.rdd.getNumPartitions() < cores else stored
