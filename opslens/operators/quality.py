@@ -70,14 +70,17 @@ def missing_fields(df: DataFrame, fields: Sequence[str], total: str = "total_row
 def describe(df: DataFrame, fields: Sequence[str], digits: int = 2, task_rows: int = TASK_ROWS) -> DataFrame:
     """Count, mean, std, min, quartiles and max per numeric field; the fields share one pass."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in fields]).unpivot([], list(fields), "field", "value")
-    basic = long.groupBy("field").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    basic = settle(
+        long.groupBy("field").agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
     )
-    quartiles = group_quantiles(long, ["field"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, task_rows=task_rows)
+    points = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    quartiles = group_quantiles(long, ["field"], "value", points, sizes=basic, task_rows=task_rows)
     numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
     return basic.join(quartiles, "field", "left").select(
         "field", "n", *[half_up(F.col(c), digits).alias(c) for c in numbers]

@@ -27,16 +27,20 @@ def group_quantiles(
     value: str,
     quantiles: dict[str, float],
     *,
+    sizes: DataFrame | None = None,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """One row per group with an interpolated quantile column per entry of ``quantiles``; NULLs are ignored.
 
-    A NULL group key forms a group of its own. With no ``by`` columns the result is one row.
+    A NULL group key forms a group of its own. With no ``by`` columns the result is one row. ``sizes(by.., n)``
+    may give the number of known values per group; it is counted otherwise.
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    large = large_groups(rows, by, task_rows)
-    if large is None:
+    if sizes is None:
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    large = settle(sizes.select(*by, "n").where(F.col("n") > task_rows))
+    if large.isEmpty():
         return _direct_quantiles(rows, by, quantiles)
     # One struct key from here on: unlike plain columns, structs with NULL fields join as equal.
     rows = rows.select(_group_key(by), *by, "_v")
@@ -73,31 +77,27 @@ def _searched_quantiles(rows: DataFrame, sizes: DataFrame, quantiles: dict[str,
     found = select_ranks(
         rows, "_v", targets.select("_group", "k").distinct(), probabilities=list(quantiles.values()), task_rows=task_rows
     )
-    values = join_lookup(targets, settle(found), ["_group", "k"])
+    values = join_lookup(targets, settle(found.select("_group", "k", "value")), ["_group", "k"])
     fraction = F.max(F.col("place") - F.floor("place"))
     point = F.min("value") + (F.max("value") - F.min("value")) * fraction
     points = values.groupBy("_group", "name").agg(point.alias("q"))
     return points.groupBy("_group").agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in quantiles])
 
 
-def large_groups(rows: DataFrame, by: Sequence[str], task_rows: int) -> DataFrame | None:
-    """Sizes ``n`` of the groups with more than ``task_rows`` rows, or None when there are none."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows)
-    sizes = settle(sizes)
-    return None if sizes.isEmpty() else sizes
-
-
 def select_ranks(
     rows: DataFrame,
     value: str,
     targets: DataFrame,
     *,
     probabilities: Sequence[float] = (),
+    largest: int | None = None,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Values at 0-based ranks ``k``: ``rows(_group, value)``, ``targets(_group, k)`` -> ``(_group, k, value)``.
+    """Values at 0-based ranks: ``rows(_group, value)``, ``targets(_group, k)`` ->
+    ``(_group, k, value, below, equal)`` with the number of rows below and equal to the value.
 
-    ``rows`` must hold no NULL value. ``probabilities`` tells where the ranks lie, to search closely there first.
+    ``rows`` must hold no NULL value. ``probabilities`` tells where the ranks lie, to search closely there first;
+    ``largest`` is the size of the largest group, when known.
     """
     live = rows.select("_group", F.col(value).alias("_v"), F.lit("").alias("_cell"))
     unsolved = targets.select("_group", "k", F.lit("").alias("_cell"), F.lit(0).cast("long").alias("_before"))
@@ -105,17 +105,12 @@ def select_ranks(
     grid = _grid_around(probabilities) if probabilities else GRID
     cell = ["_group", "_cell"]
     previous = None
-    while True:
-        sketch = settle(
-            live.groupBy(*cell).agg(
-                F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", grid, SKETCH_ACCURACY).alias("_edges")
-            )
-        )
-        largest = sketch.agg(F.max("_n")).first()[0]
-        if largest is None or largest <= task_rows or (previous is not None and largest >= previous):
-            break
+    if largest is None:
+        largest = _largest(live.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
+    while largest > task_rows and (previous is None or largest < previous):
+        sketch = settle(live.groupBy(*cell).agg(F.percentile_approx("_v", grid, SKETCH_ACCURACY).alias("_edges")))
         previous = largest
-        slotted = join_lookup(live, sketch.drop("_n"), cell).select(*cell, "_v", _slot(len(grid)).alias("_slot"))
+        slotted = join_lookup(live, sketch, cell).select(*cell, "_v", _slot(len(grid)).alias("_slot"))
         histogram = settle(
             slotted.groupBy(*cell, "_slot").agg(
                 F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
@@ -129,10 +124,14 @@ def select_ranks(
             .join(unsolved.drop("_before"), cell)
             .where((F.col("k") >= F.col("_start")) & (F.col("k") < F.col("_start") + F.col("_n")))
         )
-        exact = hits.where(F.col("_min") == F.col("_max")).select("_group", "k", F.col("_min").alias("value"))
+        exact = hits.where(F.col("_min") == F.col("_max")).select(
+            "_group", "k", F.col("_min").alias("value"), F.col("_start").alias("below"), F.col("_n").alias("equal")
+        )
         solved = exact if solved is None else solved.unionByName(exact)
         inner = F.concat_ws(".", "_cell", F.col("_slot").cast("string")).alias("_cell")
-        unsolved = hits.where(F.col("_min") != F.col("_max")).select("_group", "k", inner, F.col("_start").alias("_before"))
+        hits = hits.where(F.col("_min") != F.col("_max"))
+        largest = _largest(hits)
+        unsolved = hits.select("_group", "k", inner, F.col("_start").alias("_before"))
         wanted = settle(unsolved.select(*cell).distinct())
         live = join_lookup(slotted.select("_group", "_v", inner), wanted, cell, "left_semi")
         grid = GRID
@@ -142,11 +141,18 @@ def select_ranks(
     rest = (
         ranked.join(settle(unsolved), cell)
         .where((rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto")))
-        .select("_group", "k", F.col("_v").alias("value"))
-    )
+        .select(
+            "_group", "k", F.col("_v").alias("value"),
+            (F.col("_before") + F.col("_upto") - F.col("_n")).alias("below"), F.col("_n").alias("equal"),
+        )
+    )
     return rest if solved is None else rest.unionByName(solved)
 
 
+def _largest(sizes: DataFrame) -> int:
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
 def _grid_around(probabilities: Sequence[float]) -> list[float]:
     """Cut points just outside the sketch error on both sides of each wanted probability."""
     slack = 3.0 / SKETCH_ACCURACY

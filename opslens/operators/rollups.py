@@ -27,18 +27,16 @@ def sums_along(facts: DataFrame, hops: Sequence[Hop], by: Sequence[str], totals:
     in an inner join.
     """
     by = list(by)
+    partial = {f"_total_{name}": column for name, column in totals.items()}
+    again = {name: F.col(name) for name in partial}
 
     def summed(frame: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
         return frame.groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in columns.items()])
 
-    def known(frame: DataFrame) -> list[str]:
-        return [c for c in by if c in frame.columns]
-
-    again = {name: F.col(name) for name in totals}
-    frame, columns = facts, totals
+    frame, columns = facts, partial
     for hop in hops:
-        keys = list(dict.fromkeys([hop.key, *known(frame)]))
-        frame, columns = summed(frame, keys, columns), again
+        known = [c for c in by if c in frame.columns and c != hop.key]
+        frame, columns = summed(frame, [hop.key, *known], columns), again
         parent = hop.parent.select(F.col(hop.parent_key).alias(hop.key), *[c for c in hop.keep if c != hop.key])
         frame = frame.join(parent, hop.key)
-    return summed(frame, by, columns)
+    return summed(frame, by, columns).select(*by, *[F.col(f"_total_{name}").alias(name) for name in totals])

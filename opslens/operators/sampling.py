@@ -35,24 +35,28 @@ def stratified_split(
     The hash at the cut is found as an order statistic per class, so no class is sorted in one task. Only rows
     that share the hash at the cut are ranked, by key text.
     """
-    hashed = df.withColumn("_hash", key_hash(key))
+    hashed = df.select("*", F.struct(label).alias("_group"), key_hash(key).alias("_hash"))
     sizes = settle(df.groupBy(F.struct(label).alias("_group")).agg(F.count(F.lit(1)).alias("n")))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
     wanted = F.floor(F.col("n") * F.lit(float(train_share)))
     targets = sizes.select("_group", wanted.alias("_train"), F.greatest(wanted - 1, F.lit(0)).alias("k"))
-    rows = hashed.select(F.struct(label).alias("_group"), "_hash")
-    cuts = select_ranks(rows, "_hash", targets.select("_group", "k"), probabilities=[train_share], task_rows=task_rows)
-    cuts = settle(cuts.join(targets, ["_group", "k"]).select("_group", "_train", F.col("value").alias("_cut")))
-    tagged = join_lookup(hashed.withColumn("_group", F.struct(label)), cuts, "_group")
-    below = settle(
-        tagged.groupBy("_group").agg(F.count_if(F.col("_hash") < F.col("_cut")).alias("_below"))
+    found = select_ranks(
+        hashed.select("_group", "_hash"), "_hash", targets.select("_group", "k"),
+        probabilities=[train_share], largest=largest, task_rows=task_rows,
+    )
+    cuts = targets.join(F.broadcast(found), ["_group", "k"]).select(
+        "_group", F.col("value").alias("_cut"), "equal", (F.col("_train") - F.col("below")).alias("_take")
     )
-    clear = tagged.where((F.col("_hash") != F.col("_cut")) | (F.col("_train") == 0)).withColumn(
-        "split", F.when((F.col("_hash") < F.col("_cut")) & (F.col("_train") > 0), "train").otherwise("test")
-    )
-    at_cut = tagged.where((F.col("_hash") == F.col("_cut")) & (F.col("_train") > 0))
+    cuts = settle(cuts)
+    tagged = join_lookup(hashed, cuts.drop("equal"), "_group")
+    columns = [*df.columns, "split"]
+    if cuts.where((F.col("_take") != F.col("equal")) & (F.col("_take") != 0)).isEmpty():
+        # All rows at the cut fall on the same side, so nothing needs ranking.
+        train = (F.col("_hash") < F.col("_cut")) | ((F.col("_hash") == F.col("_cut")) & (F.col("_take") > 0))
+        return tagged.withColumn("split", F.when(train, "train").otherwise("test")).select(*columns)
+    clear = tagged.where(F.col("_hash") != F.col("_cut"))
+    clear = clear.withColumn("split", F.when(F.col("_hash") < F.col("_cut"), "train").otherwise("test"))
+    at_cut = tagged.where(F.col("_hash") == F.col("_cut"))
     place = F.row_number().over(Window.partitionBy("_group").orderBy(key_text(key)))
-    ranked = join_lookup(at_cut.withColumn("_place", place), below, "_group")
-    ranked = ranked.withColumn(
-        "split", F.when(F.col("_place") <= F.col("_train") - F.col("_below"), "train").otherwise("test")
-    )
-    return clear.select(*df.columns, "split").unionByName(ranked.select(*df.columns, "split"))
+    at_cut = at_cut.withColumn("split", F.when(place <= F.col("_take"), "train").otherwise("test"))
+    return clear.select(*columns).unionByName(at_cut.select(*columns))
