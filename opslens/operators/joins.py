@@ -2,11 +2,12 @@
 
 A lookup is a frame with one row per key: a dimension, or per-group statistics of the facts themselves.
 
-* ``settle`` evaluates a lookup once. Up to ``SMALL_ROWS`` rows come back as a local relation whose size
-  Spark knows exactly; a larger one is checkpointed, so it is computed once and not once per use.
-* ``join_lookup`` counts the lookup (never past ``SMALL_ROWS`` + 1 rows) and broadcasts it when it is small.
-  A larger lookup is joined by a shuffle, after the rows of hot keys were set apart: there can be at most
-  1 / ``hot_share`` hot keys, which makes that part of the lookup broadcastable whatever its total size.
+* ``settle`` evaluates a lookup that is expected to be small. Up to ``SMALL_ROWS`` rows come back as a local
+  relation whose size Spark knows exactly; a larger one is checkpointed.
+* ``stored`` checkpoints a lookup that may well be large; nothing of it passes through the driver.
+* ``join_lookup`` counts the lookup and broadcasts it when it is small. A larger lookup is joined by a shuffle,
+  after the rows of hot keys were set apart: there can be at most 1 / ``hot_share`` hot keys, which makes that
+  part of the lookup broadcastable whatever its total size.
 """
 
 from __future__ import annotations
@@ -25,16 +26,16 @@ HOT_SAMPLE = 0.01
 
 def settle(lookup: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Evaluate ``lookup`` now and return an equal frame that is cheap to use several times."""
-    spark = lookup.sparkSession
     head = lookup.limit(small_rows + 1).toArrow()
     if head.num_rows <= small_rows:
-        return spark.createDataFrame(head, schema=lookup.schema)
-    ensure_checkpoint_dir(spark)
-    return lookup.checkpoint()
+        return lookup.sparkSession.createDataFrame(head, schema=lookup.schema)
+    return stored(lookup)
 
 
-def is_small(frame: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
-    return frame.limit(small_rows + 1).count() <= small_rows
+def stored(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: evaluated once, and still there when executors are lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def join_lookup(
@@ -49,7 +50,7 @@ def join_lookup(
 ) -> DataFrame:
     """Join ``facts`` to a lookup that is unique on ``on``; ``how`` is inner, left, left_semi or left_anti."""
     keys = [on] if isinstance(on, str) else list(on)
-    if is_small(lookup, small_rows):
+    if lookup.count() <= small_rows:
         return facts.join(F.broadcast(lookup), keys, how)
     hot = hot_keys(facts, keys, hot_share, hot_sample)
     if hot.isEmpty():
@@ -74,6 +75,12 @@ def hot_keys(facts: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, sa
     return settle(counts.where(F.col("_rows") > F.lit(share) * total.scalar()).select(*keys))
 
 
+def join_equal(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` lookup join in which NULLs in a key count as equal."""
+    keys = right.select(F.struct(*on).alias("_key"))
+    return join_lookup(left.withColumn("_key", F.struct(*on)), keys, "_key", how).drop("_key")
+
+
 def orphan_counts(children: DataFrame, foreign_key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Child key values without a parent (NULL among them), with their row counts.
 

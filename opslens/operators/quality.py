@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.scalar import half_up, percent
-from opslens.operators.joins import join_lookup, orphan_counts, settle
+from opslens.operators.joins import join_equal, orphan_counts, settle, stored
 from opslens.operators.quantiles import TASK_ROWS, group_quantiles
 
 
@@ -22,8 +22,7 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def duplicate_members(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once. NULLs in a key count as equal."""
-    repeated = settle(duplicate_keys(df, key).select(F.struct(*key).alias("_key")))
-    return join_lookup(df.withColumn("_key", F.struct(*key)), repeated, "_key", "left_semi").drop("_key")
+    return join_equal(df, stored(duplicate_keys(df, key).select(*key)), key, "left_semi")
 
 
 def surplus_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -121,9 +120,12 @@ def label_variants(df: DataFrame, label: str) -> DataFrame:
 
 
 def orphan_rows(children: DataFrame, foreign_key: str, parents: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose key has no parent (or is NULL)."""
-    known = parents.select(F.col(parent_key).alias(foreign_key)).distinct()
-    return join_lookup(children, known, foreign_key, "left_anti")
+    """Child rows whose key has no parent (or is NULL).
+
+    The keys without a parent are found first, from one row per key, and looked up by the child rows.
+    """
+    lost = orphan_counts(children, foreign_key, parents, parent_key).select(F.col("key").alias(foreign_key))
+    return join_equal(children, stored(lost), [foreign_key], "left_semi")
 
 
 # --- validation rules: frames (rule, violations, passed) --------------------------------------------------

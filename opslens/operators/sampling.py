@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.operators.joins import join_lookup, settle
 from opslens.operators.quantiles import TASK_ROWS, select_ranks
+from opslens.operators.running import numbered
 
 HASH_DIGITS = 13  # hex digits of the hash in use: 52 bits, exact in a double as well
 
@@ -32,8 +33,8 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: exactly floor(share * n) rows of each class, by lowest key hash, become 'train'.
 
-    The hash at the cut is found as an order statistic per class, so no class is sorted in one task. Only rows
-    that share the hash at the cut are ranked, by key text.
+    The hash at the cut is found as an order statistic per class, so no class is sorted in one task. ``key`` should
+    identify a row; rows that share the hash at the cut are interchangeable, and as many as needed are taken.
     """
     hashed = df.select("*", F.struct(label).alias("_group"), key_hash(key).alias("_hash"))
     sizes = settle(df.groupBy(F.struct(label).alias("_group")).agg(F.count(F.lit(1)).alias("n")))
@@ -57,6 +58,6 @@ def stratified_split(
     clear = tagged.where(F.col("_hash") != F.col("_cut"))
     clear = clear.withColumn("split", F.when(F.col("_hash") < F.col("_cut"), "train").otherwise("test"))
     at_cut = tagged.where(F.col("_hash") == F.col("_cut"))
-    place = F.row_number().over(Window.partitionBy("_group").orderBy(key_text(key)))
-    at_cut = at_cut.withColumn("split", F.when(place <= F.col("_take"), "train").otherwise("test"))
+    at_cut = numbered(at_cut, "_group", "_place")
+    at_cut = at_cut.withColumn("split", F.when(F.col("_place") <= F.col("_take"), "train").otherwise("test"))
     return clear.select(*columns).unionByName(at_cut.select(*columns))

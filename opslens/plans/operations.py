@@ -346,8 +346,9 @@ def main() -> None:
     parser.add_argument("--raw", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--skip-model", action="store_true")
+    parser.add_argument("--input-bytes", type=int, help="size of the raw data, to size the shuffles by")
     options = parser.parse_args()
-    run(build_session("operations pipeline"), options.raw, options.out, with_model=not options.skip_model)
+    run(build_session("operations pipeline", input_bytes=options.input_bytes), options.raw, options.out, with_model=not options.skip_model)
 
 
 if __name__ == "__main__":

@@ -7,8 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "opslens", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the jobs rely on. Partition counts are left to the cluster unless given."""
+PARTITION_BYTES = 128 * 1024**2
+
+
+def build_session(
+    app: str = "opslens", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with the settings the jobs rely on.
+
+    ``input_bytes`` sizes the shuffles so that a full shuffle of the input gives partitions of 128 MB; adaptive
+    execution merges them where less data arrives, but never splits them further. Otherwise the cluster's
+    setting stands.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -17,6 +27,8 @@ def build_session(app: str = "opslens", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
     )
+    if input_bytes:
+        builder = builder.config("spark.sql.shuffle.partitions", str(max(200, -(-input_bytes // PARTITION_BYTES))))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

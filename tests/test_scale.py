@@ -9,7 +9,7 @@ from opslens.operators import joins
 from opslens.operators.joins import hot_keys, join_lookup, settle
 from opslens.operators.quantiles import group_quantiles, select_ranks
 from opslens.operators.rollups import Hop, sums_along
-from opslens.operators.running import running_totals
+from opslens.operators.running import numbered, running_totals
 from opslens.operators.sampling import hash_sample, key_hash, stratified_split
 
 POINTS = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
@@ -134,3 +134,11 @@ def test_split_with_equal_keys_at_the_cut(frame):
 
 def test_constants_are_sane():
     assert 0 < joins.HOT_SHARE < 1 and 1 / joins.HOT_SHARE < joins.SMALL_ROWS
+
+
+def test_rows_are_numbered_per_group(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g")).repartition(6)
+    got = rows(numbered(df, "g", "n"))
+    for g in range(3):
+        size = sum(1 for r in got if r[1] == g)
+        assert sorted(r[2] for r in got if r[1] == g) == list(range(1, size + 1))
