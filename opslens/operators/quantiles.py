@@ -19,6 +19,7 @@ from opslens.operators.joins import join_lookup, settle
 TASK_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 GRID = [i / 64 for i in range(65)]  # cut points of the later passes
+SLOTS = 2 * len(GRID) + 1  # numbers a cell within the one before it; a long holds nine passes
 
 
 def group_quantiles(
@@ -75,8 +76,9 @@ def _searched_quantiles(rows: DataFrame, sizes: DataFrame, quantiles: dict[str,
         .withColumn("k", F.explode(F.array(F.floor("place"), F.ceil("place"))))
     )
     found = select_ranks(
-        rows, "_v", targets.select("_group", "k").distinct(), probabilities=list(quantiles.values()), task_rows=task_rows
-    )
+        rows, "_v", targets.select("_group", "k").distinct(),
+        probabilities=list(quantiles.values()), largest=sizes.agg(F.max("n")).first()[0], task_rows=task_rows,
+    )
     values = join_lookup(targets, settle(found.select("_group", "k", "value")), ["_group", "k"])
     fraction = F.max(F.col("place") - F.floor("place"))
     point = F.min("value") + (F.max("value") - F.min("value")) * fraction
@@ -99,8 +101,10 @@ def select_ranks(
     ``rows`` must hold no NULL value. ``probabilities`` tells where the ranks lie, to search closely there first;
     ``largest`` is the size of the largest group, when known.
     """
-    live = rows.select("_group", F.col(value).alias("_v"), F.lit("").alias("_cell"))
-    unsolved = targets.select("_group", "k", F.lit("").alias("_cell"), F.lit(0).cast("long").alias("_before"))
+    live = rows.select("_group", F.col(value).alias("_v"), F.lit(0).cast("long").alias("_cell"))
+    unsolved = targets.select(
+        "_group", "k", F.lit(0).cast("long").alias("_cell"), F.lit(0).cast("long").alias("_before")
+    )
     solved = None
     grid = _grid_around(probabilities) if probabilities else GRID
     cell = ["_group", "_cell"]
@@ -128,7 +132,7 @@ def select_ranks(
             "_group", "k", F.col("_min").alias("value"), F.col("_start").alias("below"), F.col("_n").alias("equal")
         )
         solved = exact if solved is None else solved.unionByName(exact)
-        inner = F.concat_ws(".", "_cell", F.col("_slot").cast("string")).alias("_cell")
+        inner = (F.col("_cell") * SLOTS + F.col("_slot")).alias("_cell")
         hits = hits.where(F.col("_min") != F.col("_max"))
         largest = _largest(hits)
         unsolved = hits.select("_group", "k", inner, F.col("_start").alias("_before"))

@@ -45,7 +45,7 @@ def stratified_split(
         hashed.select("_group", "_hash"), "_hash", targets.select("_group", "k"),
         probabilities=[train_share], largest=largest, task_rows=task_rows,
     )
-    cuts = targets.join(F.broadcast(found), ["_group", "k"]).select(
+    cuts = join_lookup(targets, settle(found), ["_group", "k"]).select(
         "_group", F.col("value").alias("_cut"), "equal", (F.col("_train") - F.col("below")).alias("_take")
     )
     cuts = settle(cuts)
