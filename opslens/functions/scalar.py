@@ -94,7 +94,7 @@ def month_start(moment: Column) -> Column:
 
 
 def month_label(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM")
+    return F.date_format(moment.cast("date"), "yyyy-MM")
 
 
 def is_weekend(moment: Column) -> Column:

@@ -5,7 +5,7 @@ A lookup is a frame with one row per key: a dimension, or per-group statistics o
 * ``settle`` evaluates a lookup that is expected to be small. Up to ``SMALL_ROWS`` rows come back as a local
   relation whose size Spark knows exactly; a larger one is checkpointed.
 * ``stored`` checkpoints a lookup that may well be large; nothing of it passes through the driver.
-* ``join_lookup`` counts the lookup and broadcasts it when it is small. A larger lookup is joined by a shuffle,
+* ``join_lookup`` counts the lookup and broadcasts it when it is small, as a local relation always is. A larger lookup is joined by a shuffle,
   after the rows of hot keys were set apart: there can be at most 1 / ``hot_share`` hot keys, which makes that
   part of the lookup broadcastable whatever its total size.
 """
@@ -50,7 +50,7 @@ def join_lookup(
 ) -> DataFrame:
     """Join ``facts`` to a lookup that is unique on ``on``; ``how`` is inner, left, left_semi or left_anti."""
     keys = [on] if isinstance(on, str) else list(on)
-    if lookup.count() <= small_rows:
+    if lookup.isLocal() or lookup.count() <= small_rows:
         return facts.join(F.broadcast(lookup), keys, how)
     hot = hot_keys(facts, keys, hot_share, hot_sample)
     if hot.isEmpty():

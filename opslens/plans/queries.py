@@ -47,7 +47,7 @@ def plain(df: DataFrame) -> DataFrame:
         if dtype == "date":
             return F.date_format(column, "yyyy-MM-dd").alias(name)
         if dtype.startswith("timestamp"):
-            return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(name)
+            return column.cast("string").alias(name)
         return column.cast("double").alias(name) if dtype.startswith("decimal") else column
 
     return df.select(*[cast(name, dtype) for name, dtype in df.dtypes])
