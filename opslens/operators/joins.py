@@ -5,7 +5,7 @@ A lookup is a frame with one row per key: a dimension, or per-group statistics o
 * ``settle`` evaluates a lookup that is expected to be small. Up to ``SMALL_ROWS`` rows come back as a local
   relation whose size Spark knows exactly; a larger one is checkpointed.
 * ``stored`` checkpoints a lookup that may well be large; nothing of it passes through the driver.
-* ``join_lookup`` counts the lookup and broadcasts it when it is small, as a local relation always is. A larger lookup is joined by a shuffle,
+* ``join_lookup`` measures the lookup and broadcasts it when it is small, as a local relation always is. A larger lookup is joined by a shuffle,
   after the rows of hot keys were set apart: there can be at most 1 / ``hot_share`` hot keys, which makes that
   part of the lookup broadcastable whatever its total size.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from opslens.session import ensure_checkpoint_dir
 
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 * 1024**2
 HOT_SHARE = 0.005
 HOT_SAMPLE = 0.01
 
@@ -27,11 +28,24 @@ HOT_SAMPLE = 0.01
 def settle(lookup: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Evaluate ``lookup`` now and return an equal frame that is cheap to use several times."""
     head = lookup.limit(small_rows + 1).toArrow()
-    if head.num_rows <= small_rows:
+    if head.num_rows <= small_rows and head.nbytes <= SMALL_BYTES:
         return lookup.sparkSession.createDataFrame(head, schema=lookup.schema)
     return stored(lookup)
 
 
+def is_small(lookup: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
+    """Whether the lookup may be broadcast: a local relation, or one counted in rows and, for text, in bytes."""
+    if lookup.isLocal():
+        return True
+    if lookup.count() > small_rows:
+        return False
+    text = [name for name, kind in lookup.dtypes if any(part in kind for part in ("string", "binary", "array", "map"))]
+    if not text:
+        return True
+    size = sum(F.coalesce(F.sum(F.octet_length(F.col(name).cast("string"))), F.lit(0)) for name in text)
+    return lookup.agg(size).first()[0] <= SMALL_BYTES
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: evaluated once, and still there when executors are lost."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,7 +64,7 @@ def join_lookup(
 ) -> DataFrame:
     """Join ``facts`` to a lookup that is unique on ``on``; ``how`` is inner, left, left_semi or left_anti."""
     keys = [on] if isinstance(on, str) else list(on)
-    if lookup.isLocal() or lookup.count() <= small_rows:
+    if is_small(lookup, small_rows):
         return facts.join(F.broadcast(lookup), keys, how)
     hot = hot_keys(facts, keys, hot_share, hot_sample)
     if hot.isEmpty():

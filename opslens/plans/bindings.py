@@ -40,9 +40,9 @@ class TestTables:
                 "stay_days": F.col("l_quantity"),
                 "gross": gross,
                 "cost": gross * (F.lit(1).cast("decimal(1,0)") - discount),
-                "score": F.round(F.col("l_discount") * 100) * 10,
+                "score": F.rint(F.col("l_discount") * 100) * 10,
                 "flag": (F.col("l_returnflag") == "R").cast("int"),
-                "wait": F.round(F.col("l_tax") * 100) * 10,
+                "wait": F.rint(F.col("l_tax") * 100) * 10,
             }
         )
 

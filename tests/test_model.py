@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from conftest import row_set, rows
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ def test_auc_counts_pairs(spark):
     pos, neg = s[y == 1], s[y == 0]
     expected = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     assert rows(model.roc_auc(df, "y", "s"))[0][0] == pytest.approx(expected, abs=1e-6)
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="label", numBins=0)
+    assert evaluator.evaluate(df.withColumn("label", F.col("y").cast("double"))) == pytest.approx(expected, abs=1e-6)
 
 
 def test_roc_points(frame):

@@ -36,6 +36,15 @@ def test_join_lookup_is_the_same_on_every_path(spark, how, null_keys):
     assert row_set(join_lookup(facts, lookup, "k", how, small_rows=5, hot_share=0.9, hot_sample=1.0)) == expected
 
 
+def test_wide_text_is_not_broadcast(spark, monkeypatch):
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert joins.is_small(wide) and not joins.is_small(wide, small_rows=50)
+    monkeypatch.setattr(joins, "SMALL_BYTES", 10_000)
+    assert not joins.is_small(wide) and joins.is_small(wide.select("id"))
+    again = settle(wide)
+    assert not again.isLocal() and row_set(again) == row_set(wide)
+
+
 def test_hot_keys_are_bounded(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     assert rows(hot_keys(facts, ["k"], share=0.1, sample=1.0)) == [(7,)]
@@ -94,7 +103,16 @@ def test_select_ranks_counts_ties(spark, task_rows):
         assert got[(g, 0)] == (0, 0, 10) and got[(g, 555)] == (55, 550, 10) and got[(g, 999)] == (99, 990, 10)
 
 
-def test_running_totals(spark):
+@pytest.fixture(params=["true", "false"])
+def merged(spark, request):
+    """Small shuffles merged into one partition, and left apart."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.unset(name)
+
+
+def test_running_totals(spark, merged):
     df = spark.range(1, 501).select(((F.col("id") * 37) % 503).alias("x"), F.lit(2).alias("n")).repartition(5)
     got = rows(running_totals(df, F.desc("x"), {"upto": "n"}).orderBy(F.desc("x")))
     assert [r[2] for r in got] == [2 * (i + 1) for i in range(500)]
@@ -136,7 +154,7 @@ def test_constants_are_sane():
     assert 0 < joins.HOT_SHARE < 1 and 1 / joins.HOT_SHARE < joins.SMALL_ROWS
 
 
-def test_rows_are_numbered_per_group(spark):
+def test_rows_are_numbered_per_group(spark, merged):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("g")).repartition(6)
     got = rows(numbered(df, "g", "n"))
     for g in range(3):
