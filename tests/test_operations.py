@@ -176,6 +176,20 @@ def test_tables_are_not_overwritten(spark, tmp_path):
     assert io.read_table(spark, str(tmp_path / "p")).where("p = 1").count() == 2
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stays = io.write_bucketed(spark.range(1000).withColumnRenamed("id", "k"), "stays_b", str(tmp_path / "s"), "k", 4)
+        bills = io.write_bucketed(spark.range(500).select(F.col("id").alias("k"), F.lit(2).alias("v")), "bills_b", str(tmp_path / "b"), "k", 4)
+        joined = stays.join(bills.groupBy("k").agg(F.sum("v").alias("v")), "k", "left")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.agg(F.count("*"), F.sum("v")).first()[:] == (1000, 1000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS stays_b")
+        spark.sql("DROP TABLE IF EXISTS bills_b")
+
+
 def test_csv_renames_and_fails_on_malformed_rows(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("a,b\n1,2024-01-02\n")

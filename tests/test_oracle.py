@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from opslens.plans.bindings import TestTables
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, TEXTS = entry.queries(), entry.oracle_sql()
@@ -44,3 +45,15 @@ def test_facts_are_not_shuffled_by_row(spark, name):
     """Lookups of statistics are broadcast after their size was checked; only partial aggregates are exchanged."""
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize(
+    "name",
+    ["q1_scorecard", "q7_margin", "q3_outliers", "v2_box", "v6_corr", "e5_dup_members", "j7_dedupe_first", "j8_impute_median",
+     "j10_iqr_clip", "k7_features", "m2_split", "m7_auc", "m9_roc", "r1_hash_sample"],
+)
+def test_result_does_not_depend_on_the_partitioning(spark, con, monkeypatch, name, parts):
+    read = TestTables.read
+    monkeypatch.setattr(TestTables, "read", lambda self, table: read(self, table).repartition(parts))
+    assert compare(QUERIES[name](spark, FOLDER), con, TEXTS[name]) == ""
