@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.session import ensure_checkpoint_dir
@@ -69,26 +69,33 @@ def join_lookup(
     hot = hot_keys(facts, keys, hot_share, hot_sample)
     if hot.isEmpty():
         return facts.join(lookup, keys, how)
-    hot = F.broadcast(hot)
-    hot_rows = facts.join(hot, keys, "left_semi")
-    hot_lookup = lookup.join(hot, keys, "left_semi")
-    other_rows = facts.join(hot, keys, "left_anti")
-    return hot_rows.join(F.broadcast(hot_lookup), keys, how).unionByName(other_rows.join(lookup, keys, how))
+    tagged = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    apart = F.col("_hot").isNotNull() | ~_all_known(keys)
+    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")
+    hot_rows = tagged.where(apart).drop("_hot").join(F.broadcast(hot_lookup), keys, how)
+    return hot_rows.unionByName(tagged.where(~apart).drop("_hot").join(lookup, keys, how))
 
 
 def hot_keys(facts: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, sample: float = HOT_SAMPLE) -> DataFrame:
     """Keys that hold more than ``share`` of the rows: never more than 1 / ``share`` of them.
 
-    The sample only decides which way a row is joined; a key missed here is joined by the shuffle instead.
+    Keys with a NULL count as one key, all NULL: they match nothing, but would meet in one task of a shuffle. The
+    sample only decides which way a row is joined; a key missed here is joined by the shuffle instead.
     """
-    picked = facts.select(*keys).dropna()
-    if sample < 1.0:
-        picked = picked.sample(fraction=sample, seed=7)
-    counts = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    picked = facts.sample(fraction=sample, seed=7) if sample < 1.0 else facts
+    known = _all_known(keys)
+    counts = picked.groupBy(*[F.when(known, F.col(k)).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("t"))
     return settle(counts.where(F.col("_rows") > F.lit(share) * total.scalar()).select(*keys))
 
 
+def _all_known(keys: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return known
+
+
 def join_equal(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """``left_semi`` or ``left_anti`` lookup join in which NULLs in a key count as equal."""
     keys = right.select(F.struct(*on).alias("_key"))

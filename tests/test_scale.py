@@ -49,6 +49,16 @@ def test_hot_keys_are_bounded(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     assert rows(hot_keys(facts, ["k"], share=0.1, sample=1.0)) == [(7,)]
     assert hot_keys(facts.where("k <> 7"), ["k"], share=0.1, sample=1.0).isEmpty()
+    unknown = facts.select(F.when(F.col("k") != 7, F.col("k")).alias("k"), F.lit(1).alias("j"))
+    assert rows(hot_keys(unknown, ["k", "j"], share=0.1, sample=1.0)) == [(None, None)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_unknown_keys_do_not_meet_in_one_task(spark, how):
+    facts = spark.range(900).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 40).alias("k"), F.lit(1).alias("j"))
+    lookup = spark.range(30).select(F.col("id").alias("k"), F.lit(1).alias("j"), (F.col("id") + 100).alias("v"))
+    got = join_lookup(facts, lookup, ["k", "j"], how, small_rows=5, hot_share=0.1, hot_sample=1.0)
+    assert row_set(got) == row_set(facts.join(lookup, ["k", "j"], how))
 
 
 def test_large_lookup_is_not_broadcast_whole(spark):
