@@ -3,8 +3,8 @@
 A lookup is a frame with one row per key: a dimension, or per-group statistics of the facts themselves.
 
 * ``settle`` evaluates a lookup that is expected to be small. Up to ``SMALL_ROWS`` rows come back as a local
-  relation whose size Spark knows exactly; a larger one is checkpointed.
-* ``stored`` checkpoints a lookup that may well be large; nothing of it passes through the driver.
+  relation whose size Spark knows exactly; a larger one is stored as a table in the checkpoint folder.
+* A lookup that may well be large is ``stored`` at once; nothing of it passes through the driver.
 * ``join_lookup`` measures the lookup and broadcasts it when it is small, as a local relation always is. A larger lookup is joined by a shuffle,
   after the rows of hot keys were set apart: there can be at most 1 / ``hot_share`` hot keys, which makes that
   part of the lookup broadcastable whatever its total size.
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.session import ensure_checkpoint_dir
+from opslens.session import stored
 
 SMALL_ROWS = 200_000
 SMALL_BYTES = 64 * 1024**2
@@ -46,12 +46,6 @@ def is_small(lookup: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
     return lookup.agg(size).first()[0] <= SMALL_BYTES
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: evaluated once, and still there when executors are lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def join_lookup(
     facts: DataFrame,
     lookup: DataFrame,

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.scalar import half_up, percent
-from opslens.operators.joins import join_equal, orphan_counts, settle, stored
+from opslens.operators.joins import join_equal, orphan_counts, settle
 from opslens.operators.quantiles import TASK_ROWS, group_quantiles
+from opslens.session import stored
 
 
 # --- duplicates -------------------------------------------------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.operators.joins import join_lookup, settle, stored
+from opslens.operators.joins import join_lookup, settle
+from opslens.session import stored
 
 
 def running_totals(df: DataFrame, order: Column, totals: dict[str, str]) -> DataFrame:
@@ -13,7 +14,7 @@ def running_totals(df: DataFrame, order: Column, totals: dict[str, str]) -> Data
 
     A window without a partition would sort everything in one task. Here the rows are range-partitioned, each
     partition runs its own window, and the sums of the partitions before it are added. The partitioned rows are
-    checkpointed, so partition numbers stay the same whenever a lost task is run again.
+    stored with their partition number, so it stays the same whenever a lost task is run again.
     """
     parts = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ from opslens.functions.scalar import half_up, ratio
 from opslens.operators import cleaning, distributions, features, kpis, measures, model, quality, trends
 from opslens.operators.rollups import Hop
 from opslens.operators.sampling import stratified_split
-from opslens.session import build_session, spread
+from opslens.session import build_session, spread, stored
 from opslens.sources import tables as io
 from opslens.sources.schemas import NATURAL_KEY
 
@@ -78,7 +78,8 @@ def clean(raw: Frames) -> tuple[DataFrame, DataFrame]:
     """Cleaned stays and the naming audit. Medians and fences come from the de-duplicated rows."""
     stays = raw["admissions"]
     order = ["admission_id", *[c for c in stays.columns if c not in ("admission_id", *NATURAL_KEY)]]
-    unique = cleaning.dedupe_first(stays, NATURAL_KEY, order)
+    # Medians, fences and the result all come from the unique rows, so these are written once.
+    unique = stored(cleaning.dedupe_first(stays, NATURAL_KEY, order))
     timed = cleaning.impute_group_median(unique, "department_id", "wait_minutes")
     named = cleaning.canonical_label(timed, "department_id", raw["departments"], "department")
     slim, audit = cleaning.split_audit(named, "department_raw_text", ["admission_id", "department_id", "department"])
@@ -307,7 +308,10 @@ def risk_model(table: DataFrame, **params: int) -> dict[str, DataFrame]:
 
 def run(spark: SparkSession, raw_folder: str, out: str, with_model: bool = True, **params: int) -> None:
     """All stages; any broken rule ends the run."""
-    raw = io.read_raw(spark, raw_folder)
+    raw = {}
+    for name, frame in io.read_raw(spark, raw_folder).items():  # text is parsed once; the rest scans by column
+        io.write_table(frame, f"{out}/raw/{name}")
+        raw[name] = io.read_table(spark, f"{out}/raw/{name}")
     io.write_results(quality_checks(raw), f"{out}/quality")
     io.write_results(profile(raw), f"{out}/profile")
 
@@ -317,9 +321,6 @@ def run(spark: SparkSession, raw_folder: str, out: str, with_model: bool = True,
     t = {**raw, "admissions": io.read_table(spark, f"{out}/tables/admissions")}
     quality.require(clean_rules(t["admissions"]))
     io.write_csv(t["admissions"], f"{out}/cleaned/admissions_cleaned")
-    for name in ("departments", "doctors", "patients", "billing", "satisfaction_surveys", "treatments"):
-        io.write_table(raw[name], f"{out}/tables/{name}")
-        t[name] = io.read_table(spark, f"{out}/tables/{name}")
 
     io.write_results(business_queries(t), f"{out}/query_results")
     io.write_results(dashboard_datasets(t), f"{out}/dashboard_data")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,9 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Parquet copy in the checkpoint folder: evaluated once, and still there when executors are lost.
+
+    Unlike checkpointed rows, the copy is scanned by column and its size is known to the planner.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Checkpointed copy for work that passes over the rows many times, with a partition for every core."""
-    ensure_checkpoint_dir(df.sparkSession)
-    stored = df.checkpoint()
+    """Stored copy for work that passes over the rows many times, with a partition for every core."""
+    copy = stored(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return stored.repartition(cores) if stored.rdd.getNumPartitions() < cores else stored
+    return copy.repartition(cores) if copy.rdd.getNumPartitions() < cores else copy

@@ -156,7 +156,7 @@ def test_run_stops_on_a_broken_rule(spark, raw):
 
 def test_measures_per_slicer(spark, published):
     table = io.read_table(spark, f"{published}/tables/admissions_features")
-    billing = io.read_table(spark, f"{published}/tables/billing")
+    billing = io.read_table(spark, f"{published}/raw/billing")
     total = ops.dashboard_measures(table, billing)["measures"].first()
     sliced = ops.dashboard_measures(table, billing, ("department",))["measures"].collect()
     assert sum(r["gross_billings"] for r in sliced) == pytest.approx(total["gross_billings"])
