@@ -5,9 +5,10 @@ A lookup is a frame with one row per key: a dimension, or per-group statistics o
 * ``settle`` evaluates a lookup that is expected to be small. Up to ``SMALL_ROWS`` rows come back as a local
   relation whose size Spark knows exactly; a larger one is stored as a table in the checkpoint folder.
 * A lookup that may well be large is ``stored`` at once; nothing of it passes through the driver.
-* ``join_lookup`` measures the lookup and broadcasts it when it is small, as a local relation always is. A larger lookup is joined by a shuffle,
-  after the rows of hot keys were set apart: there can be at most 1 / ``hot_share`` hot keys, which makes that
-  part of the lookup broadcastable whatever its total size.
+* ``join_lookup`` measures the lookup and broadcasts it when it is small, as a local relation always is. A larger
+  lookup is joined by a shuffle in which the rows of hot keys are spread: a key that holds the rows of n average
+  partitions gets n salts, and its lookup row is repeated n times. All repeats together are about one row per
+  shuffle partition, and the facts are read and shuffled once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from opslens.session import stored
 
 SMALL_ROWS = 200_000
 SMALL_BYTES = 64 * 1024**2
-HOT_SHARE = 0.005
+HOT_PARTITIONS = 2.0  # a key is hot when it holds more rows than this many average shuffle partitions
 HOT_SAMPLE = 0.01
 
 
@@ -53,34 +54,44 @@ def join_lookup(
     how: str = "inner",
     *,
     small_rows: int = SMALL_ROWS,
-    hot_share: float = HOT_SHARE,
     hot_sample: float = HOT_SAMPLE,
 ) -> DataFrame:
     """Join ``facts`` to a lookup that is unique on ``on``; ``how`` is inner, left, left_semi or left_anti."""
     keys = [on] if isinstance(on, str) else list(on)
     if is_small(lookup, small_rows):
         return facts.join(F.broadcast(lookup), keys, how)
-    hot = hot_keys(facts, keys, hot_share, hot_sample)
+    hot = hot_keys(facts, keys, hot_sample)
     if hot.isEmpty():
         return facts.join(lookup, keys, how)
-    tagged = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    apart = F.col("_hot").isNotNull() | ~_all_known(keys)
-    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")
-    hot_rows = tagged.where(apart).drop("_hot").join(F.broadcast(hot_lookup), keys, how)
-    return hot_rows.unionByName(tagged.where(~apart).drop("_hot").join(lookup, keys, how))
+    # The salt is the number of the task that reads the row: even over the salts, the same when a task is run
+    # again, and no further column has to be read for it.
+    everywhere = F.lit(shuffle_partitions(facts))
+    salts = F.coalesce(F.when(_all_known(keys), F.col("_salts")).otherwise(everywhere), F.lit(1))
+    salted = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.spark_partition_id(), salts))
+    repeats = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    repeated = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(repeats))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
-def hot_keys(facts: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, sample: float = HOT_SAMPLE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: never more than 1 / ``share`` of them.
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Keys with a NULL count as one key, all NULL: they match nothing, but would meet in one task of a shuffle. The
-    sample only decides which way a row is joined; a key missed here is joined by the shuffle instead.
+
+def hot_keys(facts: DataFrame, keys: Sequence[str], sample: float = HOT_SAMPLE) -> DataFrame:
+    """Keys with the rows of more than ``HOT_PARTITIONS`` average partitions, and how many salts each should get.
+
+    There are at most (partitions / HOT_PARTITIONS) such keys, and never more than ``SMALL_ROWS``. Keys with a NULL
+    count as one key, all NULL: they match nothing, but would meet in one task of a shuffle. The sample only
+    decides how a row travels; a key missed here is joined all the same.
     """
     picked = facts.sample(fraction=sample, seed=7) if sample < 1.0 else facts
-    known = _all_known(keys)
+    known, partitions = _all_known(keys), shuffle_partitions(facts)
     counts = picked.groupBy(*[F.when(known, F.col(k)).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("t"))
-    return settle(counts.where(F.col("_rows") > F.lit(share) * total.scalar()).select(*keys))
+    share = F.col("_rows") / total.scalar()
+    least = max(HOT_PARTITIONS / partitions, 1 / SMALL_ROWS)
+    salts = F.ceil(share * partitions).cast("int").alias("_salts")
+    return settle(counts.where(share > least).select(*keys, salts))
 
 
 def _all_known(keys: Sequence[str]) -> Column:

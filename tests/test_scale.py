@@ -32,8 +32,24 @@ def test_join_lookup_is_the_same_on_every_path(spark, how, null_keys):
     lookup = spark.range(5, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     expected = row_set(facts.join(lookup, "k", how))
     assert row_set(join_lookup(facts, lookup, "k", how)) == expected
-    assert row_set(join_lookup(facts, lookup, "k", how, small_rows=5, hot_share=0.1, hot_sample=1.0)) == expected
-    assert row_set(join_lookup(facts, lookup, "k", how, small_rows=5, hot_share=0.9, hot_sample=1.0)) == expected
+    for salted in (facts, facts.repartition(6)):
+        assert row_set(join_lookup(salted, lookup, "k", how, small_rows=5, hot_sample=1.0)) == expected
+
+
+def test_large_lookup_spreads_a_hot_key(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")).repartition(9)
+        lookup = spark.range(3000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+        joined = join_lookup(facts, lookup, "k", small_rows=10, hot_sample=1.0)
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert text.count("SortMergeJoin") == 1 and "Union" not in text
+        tasks = joined.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(t[1] for t in tasks) == 1001 and len(tasks) > 1 and max(t[1] for t in tasks) < 800
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_wide_text_is_not_broadcast(spark, monkeypatch):
@@ -47,32 +63,20 @@ def test_wide_text_is_not_broadcast(spark, monkeypatch):
 
 def test_hot_keys_are_bounded(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    assert rows(hot_keys(facts, ["k"], share=0.1, sample=1.0)) == [(7,)]
-    assert hot_keys(facts.where("k <> 7"), ["k"], share=0.1, sample=1.0).isEmpty()
+    assert rows(hot_keys(facts, ["k"], sample=1.0)) == [(7, 3)]
+    assert hot_keys(facts.where("k <> 7"), ["k"], sample=1.0).isEmpty()
     unknown = facts.select(F.when(F.col("k") != 7, F.col("k")).alias("k"), F.lit(1).alias("j"))
-    assert rows(hot_keys(unknown, ["k", "j"], share=0.1, sample=1.0)) == [(None, None)]
+    assert rows(hot_keys(unknown, ["k", "j"], sample=1.0)) == [(None, None, 3)]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_unknown_keys_do_not_meet_in_one_task(spark, how):
     facts = spark.range(900).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 40).alias("k"), F.lit(1).alias("j"))
     lookup = spark.range(30).select(F.col("id").alias("k"), F.lit(1).alias("j"), (F.col("id") + 100).alias("v"))
-    got = join_lookup(facts, lookup, ["k", "j"], how, small_rows=5, hot_share=0.1, hot_sample=1.0)
+    got = join_lookup(facts, lookup, ["k", "j"], how, small_rows=5, hot_sample=1.0)
     assert row_set(got) == row_set(facts.join(lookup, ["k", "j"], how))
 
 
-def test_large_lookup_is_not_broadcast_whole(spark):
-    facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    lookup = spark.range(2000).select(F.col("id").alias("k"), F.col("id").alias("v"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        plan = join_lookup(facts, lookup, "k", small_rows=10, hot_share=0.1, hot_sample=1.0)
-        text = plan._jdf.queryExecution().toString()
-        assert "SortMergeJoin" in text and "BroadcastHashJoin" in text
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def samples():
     rng = np.random.default_rng(5)
     return {
@@ -161,7 +165,7 @@ def test_split_with_equal_keys_at_the_cut(frame):
 
 
 def test_constants_are_sane():
-    assert 0 < joins.HOT_SHARE < 1 and 1 / joins.HOT_SHARE < joins.SMALL_ROWS
+    assert joins.HOT_PARTITIONS >= 1 and joins.SMALL_ROWS < 10**6
 
 
 def test_rows_are_numbered_per_group(spark, merged):
