@@ -64,7 +64,7 @@ def mix_values(df: DataFrame, kind: str) -> list:
     """Sorted distinct values of the column that becomes the header of a mix table."""
     found = [r[0] for r in df.select(kind).where(F.col(kind).isNotNull()).distinct().limit(MAX_MIX_COLUMNS + 1).collect()]
     if len(found) > MAX_MIX_COLUMNS:
-        raise ValueError(f"{kind} has more than {MAX_MIX_COLUMNS} values; a mix table needs a category")
+        raise ValueError(f"{kind} has more than {MAX_MIX_COLUMNS} values, too many for columns; use mix_long")
     return sorted(found)
 
 
@@ -80,6 +80,15 @@ def mix_table(df: DataFrame, group: str, kind: str, values: Sequence | None = No
     ).orderBy(group)
 
 
+def mix_long(df: DataFrame, group: str, kind: str, digits: int = 4) -> DataFrame:
+    """The same shares as rows (group, kind, share_pct), for any number of kinds; absent pairs have no row."""
+    known = df.where(F.col(kind).isNotNull() & F.col(group).isNotNull())
+    counts = known.groupBy(group, kind).agg(F.count(F.lit(1)).alias("_n"))
+    totals = settle(counts.groupBy(group).agg(F.sum("_n").alias("_total")))
+    shares = join_lookup(counts, totals, group)
+    return shares.select(group, kind, half_up(percent(F.col("_n"), F.col("_total")), digits).alias("share_pct"))
+
+
 def correlations(df: DataFrame, fields: Sequence[str], digits: int = 6) -> DataFrame:
     """Pearson correlation of all field pairs over the rows where both are known: (field_a, field_b, corr).
 
