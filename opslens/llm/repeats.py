@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from opslens.llm.support import Prefixes, _sliding, filter_of, may_hold, mixed, small_batches, utf8
 from opslens.session import stored
 
-#: Bytes of short texts that are looked at together, and windows that one set of arrays holds.
-PACK, SEGMENT = 1 << 20, 1 << 17
+#: Bytes of short texts that are looked at together, and windows of a longer text: where a text is cut depends on the
+#: text alone, so every pass cuts it alike.
+SEGMENT = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 _ALL = np.uint64(2**64 - 1)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -100,7 +101,10 @@ class Ranges:
 @dataclass
 class Level:
     """Filters of a pass: names of single ``outer`` strings, of repeated ``inner`` ones, and tokens of one range for
-    each repeated ``outer``."""
+    each repeated ``outer`` whose ``inner`` a single one shares.
+
+    A repeated ``outer`` that the first filter holds by chance goes on with all its copies, as its ``inner`` is repeated.
+    """
 
     once: np.ndarray
     shared: np.ndarray
@@ -153,10 +157,10 @@ class Owned:
 
 
 def packs(texts: Sequence[bytes]) -> Iterator[tuple[int, int]]:
-    """Slices of a list of texts of about ``PACK`` bytes; a longer text is a slice of its own."""
+    """Slices of a list of texts of ``SEGMENT`` bytes at most; a longer text is a slice of its own."""
     first = size = 0
     for i, text in enumerate(texts):
-        if i > first and size + len(text) > PACK:
+        if i > first and size + len(text) > SEGMENT:
             yield first, i
             first, size = i, 0
         size += len(text)
@@ -165,7 +169,7 @@ def packs(texts: Sequence[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def segments(kind: Kind, symbols: np.ndarray, bounds: np.ndarray) -> Iterator[Owned]:
-    """The owners of all windows that lie within one text."""
+    """The owners of all windows that lie within one text. The symbols are those of a slice of ``packs``."""
     width = kind.length - kind.gram + 1
     text_of = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     for start in range(0, len(symbols) - kind.length + 1, SEGMENT):
@@ -212,8 +216,8 @@ def decide(kind: Kind, symbols: np.ndarray, bounds: np.ndarray, names: np.ndarra
         yield owned, sure, ask
 
 
-def _scan(rows: DataFrame, kind: Kind, known: Known, schema: str, make: Callable) -> DataFrame:
-    """``make(names, owned, sure, ask)`` gives arrays for every segment of ``name, text`` rows."""
+def _scan(rows: DataFrame, kind: Kind, known: Known, schema: str, make: Callable, reduce: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What ``reduce`` makes of a pass, stored. ``make(names, owned, sure, ask)`` gives arrays for every segment of ``name, text`` rows."""
     sent = rows.sparkSession.sparkContext.broadcast(known.arrays())
     columns = [x.split()[0] for x in schema.split(",")]
 
@@ -228,24 +232,35 @@ def _scan(rows: DataFrame, kind: Kind, known: Known, schema: str, make: Callable
                     if len(made[0]):
                         yield pa.record_batch([pa.array(x) for x in made], columns)
 
-    return small_batches(rows).mapInArrow(run, schema)
+    done = stored(reduce(small_batches(rows).mapInArrow(run, schema)))
+    sent.destroy()
+    return done
 
 
-def search(rows: DataFrame, kind: Kind) -> tuple[Known, DataFrame]:
-    """What is known of the windows of ``name long, text`` rows, and a stored frame ``name, at, h`` of the single windows
-    that recur beyond it. ``name`` tells rows apart; rows of equal name must have equal text."""
-    known = Known()
-    owners = _scan(rows, kind, known, "h long", lambda names, owned, sure, ask: [owned.name])
-    known = Known(filter_of(owners.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h"))
+def search(rows: DataFrame, kind: Kind) -> tuple[Known, DataFrame, list[DataFrame]]:
+    """What is known of the windows of ``name long, text`` rows, and stored frames: ``h, name, at, t``, the single windows
+    that recur beyond it, and for each pass ``i, o, n, t``, its ranges with their counts and one token.
+
+    ``name`` tells rows apart; rows of equal name must have equal text.
+    """
+    twice = lambda df: df.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    known = Known(filter_of(_scan(rows, kind, Known(), "h long", lambda names, owned, sure, ask: [owned.name], twice), "h"))
+    passes: list[DataFrame] = []
     for _ in kind.sizes:
-        ranges = _scan(rows, kind, known, "i long, o long, t long", lambda names, owned, sure, ask: [ask.inner, ask.outer, ask.tokens(names)])
-        outer = stored(ranges.groupBy("i", "o").agg(F.count("*").alias("n"), F.min("t").alias("t")))
-        shared = outer.groupBy("i").agg(F.sum("n").alias("n")).where("n > 1")
-        level = Level(filter_of(outer.where("n = 1"), "o", 1 << 27), filter_of(shared, "i"), filter_of(outer.where("n > 1"), "t"))
+        outer = _scan(
+            rows, kind, known, "i long, o long, t long", lambda names, owned, sure, ask: [ask.inner, ask.outer, ask.tokens(names)],
+            lambda df: df.groupBy("i", "o").agg(F.count("*").alias("n"), F.min("t").alias("t")),
+        )
+        inner = stored(outer.groupBy("i").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1"))
+        chosen = stored(outer.where("n > 1").join(inner.where("least = 1"), "i", "left_semi").select("t"))
+        level = Level(filter_of(outer.where("n = 1"), "o"), filter_of(inner, "i"), filter_of(chosen, "t"))
         known = Known(known.owners, [*known.levels, level])
-    single = stored(_scan(rows, kind, known, "h long, name long, at long", lambda names, owned, sure, ask: [ask.outer, names[ask.text], ask.low]))
-    twice = single.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return known, stored(single.join(twice, "h", "left_semi").select("name", "at", "h"))
+        passes.append(outer)
+    single = _scan(
+        rows, kind, known, "h long, name long, at long, t long",
+        lambda names, owned, sure, ask: [ask.outer, names[ask.text], ask.low, ask.tokens(names)],
+    )
+    return known, stored(single.join(twice(single), "h", "left_semi")), passes
 
 
 def sure_windows(kind: Kind, symbols: np.ndarray, bounds: np.ndarray, names: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:

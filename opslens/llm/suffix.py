@@ -6,15 +6,18 @@ named, refined and merged; the README says why not every third byte is sampled a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.repeats import Kind, Known, byte_symbols, covered, packs, search, sure_windows
-from opslens.llm.support import small_batches, utf8
+from opslens.llm.support import filter_of, may_hold, small_batches, utf8
+from opslens.session import stored
 
 LENGTH = 400
 
@@ -29,56 +32,71 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), text).alias("name"), text.alias("text"), F.col(id_col).alias("doc_id"))
 
 
-def repeated_windows(rows: DataFrame, kind: Kind):
-    """The search's result with the single windows gathered by row name."""
-    known, single = search(rows.select("name", "text"), kind)
-    return known, single.groupBy("name").agg(F.array_distinct(F.collect_list("at")).alias("at"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, spans, kept`` for every row.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row and, if asked for, ``spans`` and ``kept``.
 
     ``spans`` are the maximal removed runs as start and end (bytes), ``kept`` the remaining bytes. A byte goes if some
     ``length``-byte string that covers it also starts elsewhere, in this document or another; strings are judged on
     the input. Null texts count as empty, repeated rows as copies of each other, further columns are ignored, ids may
     be null. An empty table gives an empty result.
+
+    Most rows are finished where they are read; only those with single windows to look up are shuffled.
     """
     kind = kind_of(length)
     rows = named(docs, id_col, text_col)
-    known, single = repeated_windows(rows, kind)
-    sent = docs.sparkSession.sparkContext.broadcast(known.arrays())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known.of(sent.value)
+    known, single, _ = search(rows.select("name", "text"), kind)
+    places = stored(single.groupBy("name").agg(F.array_distinct(F.collect_list("at")).alias("at")))
+    sent = docs.sparkSession.sparkContext.broadcast((known.arrays(), filter_of(places, "name")))
+    spans = "array<struct<start:long,end:long>>"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans {spans}, kept binary" * with_text
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()][: 3 if with_text else 1]
+    columns = [x.split()[0] for x in schema.replace(spans, "spans").split(", ")]
+
+    def finish(texts: list[bytes], names: np.ndarray, more: list[np.ndarray] | None, known: Known) -> list[tuple]:
+        out: list[tuple] = []
+        for first, last in packs(texts):
+            data, bounds = byte_symbols(texts[first:last])
+            low, high = sure_windows(kind, data, bounds, names[first:last], known)
+            single = np.concatenate([x + b for x, b in zip(more[first:last], bounds)]) if more else low[:0]
+            gone = covered(len(data), np.concatenate([low, single]), np.concatenate([high, single]), length)
+            for i, text in enumerate(texts[first:last]):
+                own = gone[bounds[i] : bounds[i + 1]]
+                step = np.diff(own.view(np.int8), prepend=0, append=0)
+                starts, ends = np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
+                kept = np.frombuffer(text, np.uint8)[~own].tobytes() if starts else text
+                row = (len(text), int(own.sum()), len(starts), hashlib.sha256(kept).hexdigest())
+                out.append((*row, [{"start": s, "end": e} for s, e in zip(starts, ends)], kept) if with_text else row)
+        return out
+
+    def arrays(found: list, kinds: list) -> list[pa.Array]:
+        return [pa.array([None if x is None else x[i] for x in found], t) for i, t in enumerate(kinds)]
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting = Known.of(sent.value[0]), sent.value[1]
         for batch in batches:
-            names, texts, more = batch.column("name").to_numpy(), utf8(batch.column("text")), batch.column("at")
-            out: list[tuple] = []
-            for first, last in packs(texts):
-                data, bounds = byte_symbols(texts[first:last])
-                low, high = sure_windows(kind, data, bounds, names[first:last], known)
-                single = more.slice(first, last - first)
-                places = single.flatten().to_numpy(zero_copy_only=False)
-                places = places + np.repeat(bounds[:-1], np.nan_to_num(single.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-                gone = covered(len(data), np.concatenate([low, places]), np.concatenate([high, places]), length)
-                for i, text in enumerate(texts[first:last]):
-                    own = gone[bounds[i] : bounds[i + 1]]
-                    step = np.diff(own.view(np.int8), prepend=0, append=0)
-                    starts, ends = np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
-                    kept = np.frombuffer(text, np.uint8)[~own].tobytes() if starts else text
-                    out.append((len(text), int(own.sum()), len(starts), [{"start": s, "end": e} for s, e in zip(starts, ends)], kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    joined = small_batches(rows.join(single, "name", "left"))
-    return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
-
-
-def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def text_kept(data: bytes) -> str:
-    """The remaining bytes as text: characters that a cut has split are dropped."""
-    return data.decode("utf-8", "ignore")
-
+            names, texts = batch.column("name").to_numpy(), utf8(batch.column("text"))
+            later = may_hold(waiting, names.view(np.uint64))
+            found = iter(finish([x for x, y in zip(texts, later) if not y], names[~later], None, known))
+            rows = [None if y else next(found) for y in later]
+            left = pa.array([x if y else None for x, y in zip(texts, later)], pa.binary())
+            yield pa.record_batch([batch.column("doc_id"), *arrays(rows, kinds), batch.column("name"), left], [*columns, "_name", "_text"])
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known.of(sent.value[0])
+        for batch in batches:
+            names, texts = batch.column("_name").to_numpy(), utf8(batch.column("_text"))
+            later = np.array([x.is_valid for x in batch.column("_text")], bool)
+            more = [np.array(x if x is not None else [], np.int64) for x, y in zip(batch.column("at").to_pylist(), later) if y]
+            found = iter(finish([x for x, y in zip(texts, later) if y], names[later], more, known))
+            mine = arrays([next(found) if y else None for y in later], kinds)
+            mask = pa.array(later)
+            yield pa.record_batch([batch.column(0), *(pc.if_else(mask, a, b) for a, b in zip(mine, batch.columns[1:]))], columns)
+
+    first = small_batches(rows).mapInArrow(here, f"{schema}, _name long, _text binary")
+    joined = first.join(places, first["_name"] == places["name"], "left").drop("name")
+    return joined.mapInArrow(there, schema)
+
+
+def text_kept(kept: Column) -> Column:
+    """The remaining bytes as text; bytes of a character that a cut has split are dropped."""
+    return F.decode(kept, "UTF-8")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,16 +49,17 @@ def hex_digest(text: Column) -> Column:
 
 # -- bit filters -----------------------------------------------------------------------------------------------------
 
-#: Bits of a filter. It is the size that is broadcast, whatever the input; a fuller filter only lets more through.
-FILTER_BITS = 1 << 25
+#: Most bits of a filter. It bounds what is broadcast, whatever the input; a fuller filter only lets more through.
+FILTER_BITS = 1 << 27
 
 
-def filter_of(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bloom filter (two probes) of a long column, as ``bits / 64`` words.
+def filter_of(df: DataFrame, column: str, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """Bloom filter (two probes, 16 bits for each row up to the bound) of a long column of a stored frame, as words of 64 bits.
 
-    A hash that is in the column is always found; another one is found by chance. The filter is joined on the
-    executors, so that the driver receives at most one row for each word of it.
+    A hash that is in the column is always found; another one is found by chance. The words are joined on the
+    executors, so that the driver receives at most one row for each of them.
     """
+    bits = min(most_bits, max(1 << 16, 1 << (16 * df.count() - 1).bit_length()))
     h = F.col(column)
     probes = F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits)))
     found = (
@@ -172,3 +174,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+# -- bounded samples and worker state --------------------------------------------------------------------------------
+
+
+def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """``rows`` rows at most, chosen by the hash of their id; only the ids are read to find the limit of the hash."""
+    h = F.xxhash64(F.col(id_col))
+    last = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last)).limit(rows) if last is not None else df.limit(0)
+
+
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """An object that later tasks of the same Python worker find again: a loaded tokenizer, a bounded cache.
+
+    Functions that travel with the job have no module of their own in the worker, so ``sys`` keeps it.
+    """
+    store = sys.__dict__.setdefault("_opslens_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
