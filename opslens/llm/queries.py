@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from opslens.llm import simhash, suffix, topk
+from opslens.llm import html, language, packing, phrases, pieces, pii, quality, simhash, suffix, topk
 from opslens.llm.support import read
 
 
@@ -21,13 +21,52 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_suffix(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.digest(suffix.remove_repeats(read(spark, folder, "documents")))
+    return suffix.remove_repeats(read(spark, folder, "documents"), with_text=False)
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(read(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op6_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.remove_passages(read(spark, folder, "documents"), with_text=False)
+
+
+def op7_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(read(spark, folder, "pages"))
+
+
+def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=False)
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(read(spark, folder, "documents"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = language.learn(docs.where(~language.held_out()))
+    rows = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
     "op3_suffix": op3_suffix,
+    "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
+    "op6_phrases": op6_phrases,
+    "op7_html": op7_html,
+    "op8_pieces": op8_pieces,
+    "op9_pii": op9_pii,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -45,4 +84,34 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op4_quality": r"""
+        WITH docs AS (
+            SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines
+            FROM documents
+        ), windows AS (
+            SELECT row, i, list_slice(w, i, i + 4) AS win FROM docs, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5
+        ), again AS (
+            SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM windows) WHERE n > 1
+        ), repeated AS (
+            SELECT row, count(DISTINCT i + k) AS r FROM again, unnest(range(0, 5)) AS u(k) GROUP BY row
+        ), lined AS (
+            SELECT row, count(*) - count(DISTINCT line) AS d
+            FROM (SELECT row, unnest(lines) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row
+        ), measured AS (
+            SELECT doc_id, t, len(lines) AS n_lines, CAST(len(w) AS BIGINT) AS n_words,
+                CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words,
+                length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS uppers,
+                length(regexp_replace(t, '[^!]+', '', 'g')) AS exclaimed
+            FROM docs LEFT JOIN repeated USING (row) LEFT JOIN lined USING (row)
+        ), judged AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                10 * n_symbols > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words OR 5 * n_dup_lines > 2 * n_lines
+                OR 10 * uppers > 4 * letters OR 2 * letters < word_chars OR 4 * exclaimed > n_words AS rejected
+            FROM measured
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged
+    """,
 }
