@@ -163,7 +163,7 @@ def text_of(tree: list[Element], root: int, drop: frozenset | set, hashes: list[
             line.append(one.parts[k])
             k += 1
         if k < len(one.parts):
-            todo += [(i, k + 1), (one.parts[k], 0)] if k + 1 < len(one.parts) else [(i, -1), (one.parts[k], 0)]
+            todo += [(i, k + 1), (one.parts[k], 0)]
         elif one.tag in BLOCK:
             flush()
     flush()
