@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.repeats import Kind, Known, byte_symbols, covered, packs, search, sure_windows
@@ -35,7 +35,8 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row and, if asked for, ``spans`` and ``kept``.
 
-    ``spans`` are the maximal removed runs as start and end (bytes), ``kept`` the remaining bytes. A byte goes if some
+    ``spans`` are the maximal removed runs as start and end (bytes), ``kept`` the remaining text (without what is left of
+    a character that a cut has split; the hash is over all remaining bytes). A byte goes if some
     ``length``-byte string that covers it also starts elsewhere, in this document or another; strings are judged on
     the input. Null texts count as empty, repeated rows as copies of each other, further columns are ignored, ids may
     be null. An empty table gives an empty result.
@@ -48,8 +49,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     places = stored(single.groupBy("name").agg(F.array_distinct(F.collect_list("at")).alias("at")))
     sent = docs.sparkSession.sparkContext.broadcast((known.arrays(), filter_of(places, "name")))
     spans = "array<struct<start:long,end:long>>"
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans {spans}, kept binary" * with_text
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()][: 3 if with_text else 1]
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans {spans}, kept string" * with_text
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()][: 3 if with_text else 1]
     columns = [x.split()[0] for x in schema.replace(spans, "spans").split(", ")]
 
     def finish(texts: list[bytes], names: np.ndarray, more: list[np.ndarray] | None, known: Known) -> list[tuple]:
@@ -65,7 +66,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
                 starts, ends = np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
                 kept = np.frombuffer(text, np.uint8)[~own].tobytes() if starts else text
                 row = (len(text), int(own.sum()), len(starts), hashlib.sha256(kept).hexdigest())
-                out.append((*row, [{"start": s, "end": e} for s, e in zip(starts, ends)], kept) if with_text else row)
+                out.append((*row, [{"start": s, "end": e} for s, e in zip(starts, ends)], kept.decode("utf-8", "ignore")) if with_text else row)
         return out
 
     def arrays(found: list, kinds: list) -> list[pa.Array]:
@@ -95,8 +96,3 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     first = small_batches(rows).mapInArrow(here, f"{schema}, _name long, _text binary")
     joined = first.join(places, first["_name"] == places["name"], "left").drop("name")
     return joined.mapInArrow(there, schema)
-
-
-def text_kept(kept: Column) -> Column:
-    """The remaining bytes as text; bytes of a character that a cut has split are dropped."""
-    return F.decode(kept, "UTF-8")
