@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from opslens.functions.scalar import bin_index, bin_label, half_up, mean, percent
 from opslens.operators.joins import join_lookup, settle
-from opslens.operators.kpis import score_by_wait_cut
+from opslens.operators.kpis import means_by_wait, score_by_wait_cut
 from opslens.operators.quantiles import TASK_ROWS, group_quantiles
 
 # Wait bands of the chart, which leave out a wait of 0.
 CHART_WAIT_EDGES = [0, 15, 30, 60, 10000]
 CHART_WAIT_LABELS = ["<15", "15-30", "30-60", "60+"]
-MAX_MIX_COLUMNS = 1000
 
 
 def box_summary(df: DataFrame, group: str, measure: str, digits: int = 4, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -60,17 +59,17 @@ def band_means(surveys: DataFrame, stays: DataFrame, key: str, score: str, wait:
     return score_by_wait_cut(answered, stays, key, score, wait, CHART_WAIT_EDGES, CHART_WAIT_LABELS)
 
 
-def mix_values(df: DataFrame, kind: str) -> list:
-    """Sorted distinct values of the column that becomes the header of a mix table."""
-    found = [r[0] for r in df.select(kind).where(F.col(kind).isNotNull()).distinct().limit(MAX_MIX_COLUMNS + 1).collect()]
-    if len(found) > MAX_MIX_COLUMNS:
-        raise ValueError(f"{kind} has more than {MAX_MIX_COLUMNS} values, too many for columns; use mix_long")
-    return sorted(found)
+def band_means_of(stays: DataFrame, score: str, wait: str) -> DataFrame:
+    """The same means where each row holds both the score and the wait, as in the feature table: one pass."""
+    return means_by_wait(stays.dropna(subset=[score]), F.col(score), F.col(wait), CHART_WAIT_EDGES, CHART_WAIT_LABELS)
 
 
-def mix_table(df: DataFrame, group: str, kind: str, values: Sequence | None = None, digits: int = 4) -> DataFrame:
-    """Row-percent cross table: one column per kind, each row adding up to 100."""
-    values = list(values) if values is not None else mix_values(df, kind)
+def mix_table(df: DataFrame, group: str, kind: str, values: Sequence, digits: int = 4) -> DataFrame:
+    """Row-percent cross table: one column for each of the given kinds, each row adding up to 100.
+
+    Rows of other kinds are left out; ``mix_long`` takes any number of kinds as they come.
+    """
+    values = list(values)
     known = df.where(F.col(kind).isin(*values) & F.col(group).isNotNull())
     counts = known.groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(kind) == v).alias(str(v)) for v in values]

@@ -110,8 +110,8 @@ def join_equal(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -
 def orphan_counts(children: DataFrame, foreign_key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Child key values without a parent (NULL among them), with their row counts.
 
-    Children are counted per key before the join, so a key that holds most of the rows crosses the
-    shuffle as one row per task.
+    Children are counted and parents made distinct per key before the join, so a key that holds most of the rows
+    of either side crosses the shuffle as one row per task.
     """
     counted = children.groupBy(F.col(foreign_key).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.join(parents.select(F.col(parent_key).alias("key")), "key", "left_anti")
+    return counted.join(parents.select(F.col(parent_key).alias("key")).distinct(), "key", "left_anti")

@@ -141,6 +141,15 @@ def score_by_wait_cut(
     return bands.orderBy("_bin").drop("_bin")
 
 
+def means_by_wait(rows: DataFrame, score: Column, wait: Column, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
+    """Mean score per right-closed wait band of rows that hold both."""
+    banded = rows.select(bin_index(wait, edges).alias("_bin"), bin_label(wait, edges, labels).alias("wait_band"), score.alias("_score"))
+    bands = banded.where(F.col("_bin").isNotNull()).groupBy("_bin", "wait_band").agg(
+        half_up(ratio(F.sum("_score"), F.count("_score")), 1).alias("avg_satisfaction"), F.count("_score").alias("responses")
+    )
+    return bands.orderBy("_bin").drop("_bin")
+
+
 def load_by_status(doctors: DataFrame, facts: DataFrame, key: str, fact_key: str, status: str) -> DataFrame:
     """Stays per doctor by employment status. Doctors without stays are not counted.
 
@@ -157,7 +166,7 @@ def group_table(facts: DataFrame, hops: Sequence[Hop], name: str, stay: Column,
     """Count, mean stay and flag rate per group, and whether the rate is above that of all groups together."""
     one = F.lit(1).cast("long")
     parts = {"n": one, "days": stay, "known": F.when(stay.isNotNull(), one), "flags": flag}
-    sums = sums_along(facts, hops, [name], parts)
+    sums = settle(sums_along(facts, hops, [name], parts))  # one row per group: the rows and the total read it
     rate = half_up(percent(F.col("flags"), F.col("n")), 2)
     overall = sums.agg(half_up(percent(F.sum("flags"), F.sum("n")), 2).alias("v")).scalar()
     return sums.select(

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions.scalar import half_up, ratio
@@ -77,8 +77,27 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFr
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def importances(model: PipelineModel, sample: DataFrame, top: int = 15) -> DataFrame:
-    """Feature importances with names, highest first. ``sample`` may be any frame with the model's inputs.
+def category_indices(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """The index of each category as the encoder numbers them: by falling count, then by name; (field, category, n, index)."""
+    counts = None
+    for name in categorical:
+        value = F.coalesce(F.col(name).cast("string"), F.lit("(missing)")).alias("category")
+        one = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("field"), "category", "n")
+        counts = one if counts is None else counts.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "category"))
+    return counts.withColumn("index", place - 1)
+
+
+def threshold_counts(df: DataFrame, label: str, score: str, thresholds: Sequence[float]) -> DataFrame:
+    """Rows called positive at each threshold, and those of them that are positive, from one pass."""
+    called = {t: F.col(score) >= t for t in thresholds}
+    cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count_if(c).alias("called"), F.count_if(c & (F.col(label) == 1)).alias("hits")) for t, c in called.items()])
+    return df.agg(cells.alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+
+
+def importances(model: PipelineModel, sample: DataFrame, top: int | None = None) -> DataFrame:
+    """Feature importances with names, highest first; all of them, or the ``top`` ones. ``sample`` may be any frame with
+    the model's inputs.
 
     Names come from the attribute metadata of the assembled vector, which is part of the schema; the number of
     rows is the number of encoded features.
@@ -89,7 +108,8 @@ def importances(model: PipelineModel, sample: DataFrame, top: int = 15) -> DataF
     spark = sample.sparkSession
     rows = [(names[i], float(v)) for i, v in enumerate(values)]
     found = spark.createDataFrame(rows, "feature string, importance double")
-    return found.orderBy(F.desc("importance"), "feature").limit(top)
+    ordered = found.orderBy(F.desc("importance"), "feature")
+    return ordered if top is None else ordered.limit(top)
 
 
 # --- evaluation -------------------------------------------------------------------------------------------

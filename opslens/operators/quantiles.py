@@ -3,7 +3,7 @@
 Groups of up to ``task_rows`` rows are handled by Spark's ``percentile`` (or a sort per group). For a larger
 group, a quantile sketch proposes cut points, one pass counts the rows between them exactly, and only the cell
 that holds the wanted rank is looked into again. The sketch steers the search and never decides a result: ranks
-come from exact counts. Each pass shrinks a cell to about 1/64 of it (the first one much further around the
+come from exact counts. ``task_rows`` decides the way alone: both give the same bits. Each pass shrinks a cell to about 1/64 of it (the first one much further around the
 wanted probabilities), so 10^12 rows need three or four passes, none of which shuffles more than per-cell counts.
 """
 
@@ -37,7 +37,9 @@ def group_quantiles(
     may give the number of known values per group; it is counted otherwise.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    number = F.col(value).cast("double")
+    unsigned_zero = F.when(number == 0, F.lit(0.0)).otherwise(number)  # -0.0 and 0.0 are one value
+    rows = df.select(*by, unsigned_zero.alias("_v")).where(F.col("_v").isNotNull())
     if sizes is None:
         sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     large = settle(sizes.select(*by, "n").where(F.col("n") > task_rows))
@@ -80,9 +82,10 @@ def _searched_quantiles(rows: DataFrame, sizes: DataFrame, quantiles: dict[str,
         probabilities=list(quantiles.values()), largest=sizes.agg(F.max("n")).first()[0], task_rows=task_rows,
     )
     values = join_lookup(targets, settle(found.select("_group", "k", "value")), ["_group", "k"])
-    fraction = F.max(F.col("place") - F.floor("place"))
-    point = F.min("value") + (F.max("value") - F.min("value")) * fraction
-    points = values.groupBy("_group", "name").agg(point.alias("q"))
+    # The same formula as Spark's percentile, so that a value does not depend on the way it was found.
+    low, high, at = F.min("value"), F.max("value"), F.max("place")
+    between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+    points = values.groupBy("_group", "name").agg(F.when(low == high, low).otherwise(between).alias("q"))
     return points.groupBy("_group").agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in quantiles])
 
 

@@ -168,6 +168,19 @@ class TestTables:
             (F.col("gross") - F.col("cost")).alias("margin"),
         )
 
+    def dated_measure_features(self) -> DataFrame:
+        """The measures' columns next to the parts of the ship date and the supplier's region."""
+        date = F.col("l_shipdate")
+        lines = self.lines().select(
+            "l_suppkey", F.year(date).alias("year"), F.month(date).alias("month"), F.col("stay_days").alias("length_of_stay_days"),
+            F.col("gross").alias("gross_charge"), (F.col("gross") - F.col("cost")).alias("margin"),
+            F.lit(None).cast("double").alias("wait_minutes"), F.lit(None).cast("double").alias("satisfaction_score"),
+            F.col("flag").alias("readmitted_30d"), F.lit(None).cast("string").alias("discharge_efficiency_bucket"),
+        )
+        nations = self.read("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+        regions = join_lookup(self.read("supplier").select("s_suppkey", "s_nationkey"), nations, "s_nationkey")
+        return join_lookup(lines, regions.select(F.col("s_suppkey").alias("l_suppkey"), "n_regionkey"), "l_suppkey")
+
     def model_features(self) -> DataFrame:
         """Line items with their part: inputs of the risk model, the target, and a row key."""
         parts = self.read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand", "p_size", "p_retailprice")

@@ -182,7 +182,6 @@ def feature_table(t: Frames) -> DataFrame:
 
 def chart_tables(table: DataFrame) -> dict[str, DataFrame]:
     """Tables behind the charts and the quantified findings, from the feature table."""
-    surveys = table.select("admission_id", "satisfaction_score")
     bucket, flag = "discharge_efficiency_bucket", "readmitted_30d"
     return {
         "monthly_admissions": trends.gap_filled_months(table, "admission_date"),
@@ -190,10 +189,9 @@ def chart_tables(table: DataFrame) -> dict[str, DataFrame]:
         "readmission_by_discharge_efficiency": distributions.rate_by_bucket(
             table, "discharge_efficiency", flag, features.EFFICIENCY_EDGES, features.EFFICIENCY_LABELS
         ),
-        "satisfaction_by_wait_band": distributions.band_means(
-            surveys, table, "admission_id", "satisfaction_score", "wait_minutes"
-        ),
-        "admission_type_mix": distributions.mix_table(table, "department", "admission_type"),
+        "satisfaction_by_wait_band": distributions.band_means_of(table, "satisfaction_score", "wait_minutes"),
+        "admission_type_mix": distributions.mix_table(table, "department", "admission_type", sorted(ADMISSION_TYPES)),
+        "admission_type_mix_long": distributions.mix_long(table, "department", "admission_type"),
         "correlations": distributions.correlations(table, CORRELATED),
         "relative_risk": kpis.relative_risk(table, bucket, flag, measures.RUSHED, measures.EXCELLENT),
         "weekend_gap": kpis.gap_pct(table, F.col("is_weekend_admission"), "wait_minutes"),
@@ -299,7 +297,7 @@ def risk_model(table: DataFrame, **params: int) -> dict[str, DataFrame]:
         "auc": model.roc_auc(scored, label, "score"),
         "report": model.classification_report(scored, label, "predicted"),
         "roc": model.roc_points(scored, label, "score"),
-        "importances": model.importances(fitted, train),
+        "importances": model.importances(fitted, train, top=15),
     }
 
 

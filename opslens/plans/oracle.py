@@ -395,3 +395,76 @@ sql("m9_roc", f"""WITH {SCORED}, g AS (
   SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM g)
 SELECT {r('fp::DOUBLE / (SELECT sum(neg) FROM g)', 6)} AS fpr, {r('tp::DOUBLE / (SELECT sum(pos) FROM g)', 6)} AS tpr,
   score AS threshold FROM w UNION ALL SELECT 0, 0, 'infinity'::DOUBLE""")
+
+# --- sources and sinks ------------------------------------------------------------------------------------
+
+sql("a_csv_roundtrip", f"""SELECT o_orderkey, o_custkey, o_totalprice, {MOMENT.format('o_orderdate')} AS o_orderdate,
+  'a, "b" ' || o_orderpriority AS priority_note FROM orders""")
+sql("a_json_roundtrip", f"WITH {PATIENTS} SELECT patient_id, insurance_type, {day('date_of_birth')} AS date_of_birth FROM patients")
+sql("a5_json_document", "SELECT s_suppkey, s_acctbal FROM supplier")
+sql("a_table_roundtrip", "SELECT l_orderkey, l_linenumber, l_quantity, l_linestatus FROM lineitem")
+sql("a3_sql_scan", """SELECT n_name, count(*) AS suppliers, sum(s_acctbal::DECIMAL(12,2))::DOUBLE AS balance
+FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+sql("a2_moments", f"SELECT event_id, {MOMENT.format('ts')} AS ts FROM events")
+
+# --- slices, rules and profiles ---------------------------------------------------------------------------
+
+sql("t1_by_year", f"""WITH {LINES}
+SELECT year(l_shipdate)::INTEGER AS year, month(l_shipdate)::INTEGER AS month, n_regionkey, count(*) AS total_admissions,
+  {r('avg(stay_days)', 6)} AS avg_length_of_stay, {r('sum(gross)', 6)} AS gross_billings,
+  {r('sum(gross - cost)::DOUBLE / nullif(sum(gross), 0)::DOUBLE', 6)} AS margin_fraction
+FROM lines JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3""")
+sql("t7_calendar_span", f"""WITH days AS (SELECT unnest(generate_series(TIMESTAMP '1990-01-01',
+  (SELECT max(o_orderdate)::DATE FROM orders)::TIMESTAMP, INTERVAL 1 DAY)) AS d)
+SELECT {day('d')} AS date, year(d)::INTEGER AS year, month(d)::INTEGER AS month, isodow(d) >= 6 AS is_weekend FROM days""")
+sql("v5_mix_long", f"""SELECT o_orderpriority, o_orderstatus,
+  {r('100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority)', 4)} AS share_pct FROM orders GROUP BY 1, 2""")
+sql("v4_band_mean_wide", f"""WITH {LINES}, banded AS (
+  SELECT score, CASE WHEN stay_days > 0 AND stay_days <= 15 THEN '<15' WHEN stay_days > 15 AND stay_days <= 30 THEN '15-30'
+    WHEN stay_days > 30 AND stay_days <= 60 THEN '30-60' WHEN stay_days > 60 AND stay_days <= 10000 THEN '60+' END AS wait_band FROM lines)
+SELECT wait_band, {r('avg(score)', 1)} AS avg_satisfaction, count(score) AS responses FROM banded WHERE wait_band IS NOT NULL GROUP BY 1""")
+sql("j11_clean_rules", """WITH bad AS (SELECT c_nationkey FROM customer WHERE NOT coalesce(c_acctbal > 0, false)), good AS (
+  SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 0), found AS (
+  SELECT 'line key is unique' AS rule, 0::BIGINT AS violations
+  UNION ALL SELECT 'balance is positive', count(*) FROM bad WHERE c_nationkey NOT IN (SELECT c_nationkey FROM good)
+  UNION ALL SELECT 'every supplier has a label', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation))
+SELECT rule, violations, violations = 0 AS passed FROM found""")
+sql("j16_constraints", f"""WITH {PATIENTS}, found AS (
+  SELECT 'segment is known' AS rule, count(*) FILTER (WHERE insurance_type NOT IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')) AS violations FROM patients
+  UNION ALL SELECT 'born before 2000', count(*) FILTER (WHERE date_of_birth >= DATE '2000-01-01') FROM patients
+  UNION ALL SELECT 'patient is given', count(*) FILTER (WHERE patient_id IS NULL) FROM patients)
+SELECT rule, violations, violations = 0 AS passed FROM found""")
+_NUMBERS = {"patient_id": "patient_id", "year_of_birth": "year(date_of_birth)"}
+sql("j6_profile", f"WITH {PATIENTS}, profile AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, '{kind}' AS dtype, count({c}) AS n_non_null, count(*) - count({c}) AS n_null FROM patients"
+    for c, kind in (("patient_id", "bigint"), ("insurance_type", "string"), ("date_of_birth", "date"))
+) + "), figures AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, count({e}) AS n, {r(f'avg({e})', 4)} AS mean, {r(f'stddev_samp({e})', 4)} AS std, {r(f'min({e})', 4)} AS min, "
+    f"{r(f'quantile_cont({e}, 0.25)', 4)} AS q25, {r(f'quantile_cont({e}, 0.5)', 4)} AS q50, {r(f'quantile_cont({e}, 0.75)', 4)} AS q75, "
+    f"{r(f'max({e})', 4)} AS max FROM patients" for c, e in _NUMBERS.items()
+) + ") SELECT * FROM profile FULL JOIN figures USING (field)")
+
+# --- model ------------------------------------------------------------------------------------------------
+
+sql("m1_inputs", f"""WITH {PATIENTS} SELECT coalesce(insurance_type, '(missing)') AS insurance_type, patient_id::DOUBLE AS patient_id,
+  (patient_id % 2)::DOUBLE AS readmitted FROM patients""")
+CATEGORIES = ["p_type", "p_brand", "l_linestatus"]
+sql("m3_categories", "WITH c AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, {c} AS category, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 2" for c in CATEGORIES
+) + ") SELECT field, category, n, (row_number() OVER (PARTITION BY field ORDER BY n DESC, category) - 1)::INTEGER AS index FROM c")
+sql("m6_called", f"""WITH {SCORED} SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS called,
+  count(*) FILTER (WHERE score >= threshold AND flag = 1) AS hits
+FROM scored, (SELECT unnest([0.1, 0.25, 0.5, 0.75])::DOUBLE AS threshold) GROUP BY 1""")
+SPLIT = f"""{LINES}, h AS (SELECT lines.*, p_type, p_brand, {HASH.format(ROW_KEY)} AS hash, {ROW_KEY} AS key
+  FROM lines JOIN part ON l_partkey = p_partkey), p AS (
+  SELECT *, row_number() OVER (PARTITION BY flag ORDER BY hash, key) AS place, count(*) OVER (PARTITION BY flag) AS n FROM h),
+train AS (SELECT * FROM p WHERE place <= floor(n * 0.8::DOUBLE)), test AS (SELECT * FROM p WHERE place > floor(n * 0.8::DOUBLE))"""
+sql("m4_forest", f"""WITH {SPLIT}, k AS (SELECT c, (SELECT count(*) FROM test WHERE flag = c) AS support FROM (SELECT unnest([0, 1]) AS c))
+SELECT c::VARCHAR AS "row", support, true AS in_bounds FROM k
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT count(*) FROM test), true""")
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+sql("m10_importances", f"WITH {SPLIT}, f AS (" + " UNION ALL ".join(
+    [f"SELECT DISTINCT '{c}_vec_' || {c} AS feature FROM train" for c in CATEGORIES]
+    + [f"SELECT '{c}_vec_{extra}'" for c in CATEGORIES for extra in ("__unknown", "invalidValues")]
+    + [f"SELECT '{c}'" for c in NUMBERS]
+) + ") SELECT feature, true AS is_share FROM f")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import lru_cache, partial
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from opslens.operators import cleaning, distributions, features, kpis, measures,
 from opslens.operators.joins import join_lookup
 from opslens.operators.rollups import sums_along
 from opslens.plans.bindings import TestTables, money
-from opslens.session import spread
+from opslens.session import ensure_checkpoint_dir, spread
+from opslens.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,6 +168,13 @@ def t4(t: TestTables) -> DataFrame:
     return measures.measures(t.measure_features(), names, ["l_linestatus"])
 
 
+@query("t1_by_year")
+def t1_by_year(t: TestTables) -> DataFrame:
+    """Measures sliced by parts of a calendar and a column of a related dimension."""
+    names = ["total_admissions", "avg_length_of_stay", "gross_billings", "margin_fraction"]
+    return measures.measures(t.dated_measure_features(), names, ["year", "month", "n_regionkey"])
+
+
 # --- trends -----------------------------------------------------------------------------------------------
 
 
@@ -209,6 +218,13 @@ def t7(t: TestTables) -> DataFrame:
     return trends.calendar_table(t.read("orders"), "o_orderdate")
 
 
+@query("t7_calendar_span")
+def t7_span(t: TestTables) -> DataFrame:
+    """A calendar from a given day to the last order."""
+    span = t.read("orders").agg(F.lit("1990-01-01").cast("date").alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("b"))
+    return trends.calendar_days(span)
+
+
 # --- outliers and distributions ---------------------------------------------------------------------------
 
 
@@ -241,7 +257,18 @@ def v4(t: TestTables) -> DataFrame:
 
 @query("v5_mix")
 def v5(t: TestTables) -> DataFrame:
-    return distributions.mix_table(t.read("orders"), "o_orderpriority", "o_orderstatus")
+    return distributions.mix_table(t.read("orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("v5_mix_long")
+def v5_long(t: TestTables) -> DataFrame:
+    return distributions.mix_long(t.read("orders"), "o_orderpriority", "o_orderstatus")
+
+
+@query("v4_band_mean_wide")
+def v4_wide(t: TestTables) -> DataFrame:
+    """Both measures on one row, as in the feature table."""
+    return distributions.band_means_of(t.lines(), "score", "stay_days")
 
 
 @query("v6_corr")
@@ -340,6 +367,39 @@ def j12(t: TestTables) -> DataFrame:
     )
 
 
+@query("j11_clean_rules")
+def j11(t: TestTables) -> DataFrame:
+    """What must hold after repairs: a unique key, positive values, a canonical label on every row."""
+    labelled = cleaning.canonical_label(t.raw_labels(), "s_nationkey", t.nation_labels(), "label")
+    people = cleaning.impute_group_median(t.read("customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", "c_acctbal")
+    kept = cleaning.dedupe_first(t.read("lineitem").select(*ROW_KEY), LINE_KEY, LINE_ORDER)
+    return quality.all_rules(
+        quality.unique_rule(kept, LINE_KEY, "line key is unique"),
+        quality.row_rules(people, {"balance is positive": F.coalesce(F.col("c_acctbal") > 0, F.lit(False))}),
+        quality.row_rules(labelled, {"every supplier has a label": F.col("label").isNotNull()}),
+    )
+
+
+@query("j16_constraints")
+def j16(t: TestTables) -> DataFrame:
+    """Declared constraints as rules: a test that is NULL passes, as in a CHECK."""
+    rules = {
+        "segment is known": F.col("insurance_type").isin("AUTOMOBILE", "BUILDING", "MACHINERY"),
+        "born before 2000": F.col("date_of_birth") < F.lit("2000-01-01").cast("date"),
+        "patient is given": F.col("patient_id").isNotNull(),
+    }
+    return quality.row_rules(t.patients(), rules, null_passes=True)
+
+
+@query("j6_profile")
+def j6(t: TestTables) -> DataFrame:
+    """Schema, missing values and descriptions of one table side by side."""
+    people = t.patients()
+    profile = quality.schema_info(people).join(quality.null_counts(people), "field")
+    figures = quality.describe(people.select("patient_id", F.year("date_of_birth").alias("year_of_birth")), ["patient_id", "year_of_birth"], digits=4)
+    return profile.join(figures, "field", "full")
+
+
 @query("j13_fk")
 def j13(t: TestTables) -> DataFrame:
     links = [
@@ -422,6 +482,61 @@ def j10_counts(t: TestTables) -> DataFrame:
     return counts.withColumns({c: fn.half_up(F.col(c), 4) for c in ("low", "high")})
 
 
+# --- sources and sinks: what was written and read again must equal the table -----------------------------
+
+
+def scratch(t: TestTables, name: str) -> str:
+    return f"{ensure_checkpoint_dir(t.spark)}/roundtrip/{name}-{uuid.uuid4().hex}"
+
+
+@query("a_csv_roundtrip")
+def a_csv(t: TestTables) -> DataFrame:
+    """Typed values, text with quotes and commas, and a renamed column through CSV."""
+    orders = t.read("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", F.concat(F.lit('a, "b" '), "o_orderpriority").alias("note"))
+    path = scratch(t, "csv")
+    tables.write_csv(orders, path)
+    return tables.read_csv(t.spark, path, orders.schema, {"note": "priority_note"})
+
+
+@query("a_json_roundtrip")
+def a_json(t: TestTables) -> DataFrame:
+    """A named result with NULLs as a JSON dataset."""
+    path = scratch(t, "json")
+    tables.write_results({"patients": t.patients()}, path)
+    return tables.read_result(t.spark, path, "patients", t.patients().schema)
+
+
+@query("a5_json_document")
+def a5_document(t: TestTables) -> DataFrame:
+    """Rows of a list inside JSON objects, one object (a nation's suppliers) in each file."""
+    nested = t.read("supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct("s_suppkey", "s_acctbal")).alias("suppliers"))
+    path = scratch(t, "document")
+    nested.write.partitionBy("s_nationkey").json(path)
+    return tables.read_document(t.spark, path, "suppliers", nested.schema)
+
+
+@query("a_table_roundtrip")
+def a_table(t: TestTables) -> DataFrame:
+    """A partitioned parquet table."""
+    path = scratch(t, "table")
+    tables.write_table(t.read("lineitem").select(*LINE_KEY, "l_quantity", "l_linestatus"), path, ["l_linestatus"])
+    return tables.read_table(t.spark, path)
+
+
+@query("a3_sql_scan")
+def a3(t: TestTables) -> DataFrame:
+    """SQL text over named frames."""
+    text = "SELECT n_name, count(*) AS suppliers, sum(cast(s_acctbal AS decimal(12,2))) AS balance FROM suppliers JOIN nations ON s_nationkey = n_nationkey GROUP BY n_name"
+    return tables.read_sql(t.spark, text, {"suppliers": t.read("supplier"), "nations": t.read("nation")})
+
+
+@query("a2_moments")
+def a2(t: TestTables) -> DataFrame:
+    """Text columns parsed as timestamps without a zone."""
+    texts = t.read("events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return tables.parse_moments(texts, ["ts"])
+
+
 # --- features ---------------------------------------------------------------------------------------------
 
 
@@ -523,6 +638,25 @@ def m2(t: TestTables) -> DataFrame:
     return sampling.stratified_split(t.lines().select("flag", *ROW_KEY), "flag", ROW_KEY)
 
 
+@query("m1_inputs")
+def m1(t: TestTables) -> DataFrame:
+    """Inputs of the model: numbers as doubles, a missing category as a value of its own."""
+    rows = t.patients().withColumn("readmitted", (F.col("patient_id") % 2).cast("int"))
+    return model.model_frame(rows, ["insurance_type"], ["patient_id"], "readmitted")
+
+
+@query("m3_categories")
+def m3(t: TestTables) -> DataFrame:
+    """The categories of each field with the index that the encoder gives them, most frequent first."""
+    return model.category_indices(t.model_features(), MODEL_CATEGORIES)
+
+
+@query("m6_called")
+def m6(t: TestTables) -> DataFrame:
+    """A score against several thresholds: rows called positive and those of them that are."""
+    return model.threshold_counts(t.scored(), "flag", "score", [0.1, 0.25, 0.5, 0.75])
+
+
 @query("m5_weights")
 def m5(t: TestTables) -> DataFrame:
     return model.class_weights(t.lines(), "flag")
@@ -543,9 +677,8 @@ def m9(t: TestTables) -> DataFrame:
     return model.roc_points(t.scored(), "flag", "score")
 
 
-@lru_cache(maxsize=1)
 def _fitted(t: TestTables):
-    """Model fitted on the exact split, with the training and the held-out rows: one fit serves both queries."""
+    """Model fitted on the exact split, with the training and the held-out rows."""
     split = spread(sampling.stratified_split(t.model_features(), "readmitted", ROW_KEY))
     train, test = (split.where(F.col("split") == part) for part in ("train", "test"))
     inputs = partial(model.model_frame, categorical=MODEL_CATEGORIES, numeric=MODEL_NUMBERS, label="readmitted")
@@ -555,12 +688,18 @@ def _fitted(t: TestTables):
 
 @query("m4_forest")
 def m4(t: TestTables) -> DataFrame:
-    """Held-out rows scored by the forest: the report per class."""
+    """Held-out rows scored by the forest: exact support per class, and whether scores and report are in their bounds."""
     fitted, _, test = _fitted(t)
-    return model.classification_report(model.score(fitted, test), "readmitted", "predicted")
+    scored = model.score(fitted, test)
+    report = model.classification_report(scored, "readmitted", "predicted")
+    in_bounds = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return report.select("row", "support", in_bounds.alias("in_bounds"))
 
 
 @query("m10_importances")
 def m10(t: TestTables) -> DataFrame:
+    """Every encoded feature of the forest by name, and whether the importances are shares of one."""
     fitted, train, _ = _fitted(t)
-    return model.importances(fitted, train)
+    found = model.importances(fitted, train)
+    total = found.agg(F.sum("importance")).scalar()
+    return found.select("feature", (F.col("importance").between(0, 1) & (F.abs(total - 1) < 1e-6)).alias("is_share"))

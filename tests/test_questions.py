@@ -126,12 +126,11 @@ def test_box_summary(frame):
 
 def test_mix(frame):
     df = frame("g string, k string", [("a", "x"), ("a", "y"), ("b", "x"), ("b", None), (None, "x")])
-    got = distributions.mix_table(df, "g", "k")
+    got = distributions.mix_table(df, "g", "k", ["x", "y"])
     assert got.columns == ["g", "x", "y"] and rows(got) == [("a", 50.0, 50.0), ("b", 100.0, 0.0)]
     assert row_set(distributions.mix_long(df, "g", "k")) == {("a", "x", 50.0), ("a", "y", 50.0), ("b", "x", 100.0)}
     many = df.sparkSession.range(1200).selectExpr("'a' AS g", "string(id) AS k")
-    with pytest.raises(ValueError, match="mix_long"):
-        distributions.mix_table(many, "g", "k")
+    assert distributions.mix_long(many, "g", "k").count() == 1200
 
 
 def test_correlations(frame):

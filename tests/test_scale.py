@@ -1,5 +1,8 @@
 """The operators that keep large groups, large lookups and hot keys apart."""
 
+import struct
+from contextlib import contextmanager
+
 import numpy as np
 import pytest
 from conftest import row_set, rows
@@ -15,6 +18,14 @@ from opslens.operators.sampling import hash_sample, key_hash, stratified_split
 POINTS = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
 
 
+@contextmanager
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_settle_small_and_large(spark):
     df = spark.range(500).withColumn("v", F.col("id") * 2)
     for limit in (1000, 100):
@@ -100,6 +111,29 @@ def test_group_quantiles_match_numpy(spark, task_rows):
             assert np.isclose(got[g][name], np.quantile(values, p), rtol=1e-12, atol=1e-12), (g, name)
 
 
+def test_quantiles_have_the_same_bits_on_every_way(spark):
+    inf, nan = float("inf"), float("nan")
+    data = {"inf": [inf] * 8 + [1.0, 1.0], "low": [-inf, -inf, 0.5, 2.0, inf], "nan": [nan, 1.0, nan, 3.0], "zero": [-0.0, 0.0, -0.0, 1.0]}
+    data |= {k: [float(v) for v in vs] for k, vs in samples().items()}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double").repartition(5)
+    bits = lambda r: (r["g"], *(struct.pack(">d", r[name]) for name in POINTS))
+    found = [{bits(r) for r in group_quantiles(df, ["g"], "v", POINTS, task_rows=n).collect()} for n in (10**6, 40, 1)]
+    assert len(found[0]) == len(data) and found[0] == found[1] == found[2]
+
+
+def test_orphans_under_a_hot_parent(spark):
+    """A third of the parent rows share one key; both sides are reduced to a row per key before the exchange."""
+    parents = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    children = spark.range(20).select((F.col("id") * 5000 + 7).alias("k"))
+    with no_broadcast(spark):
+        got = joins.orphan_counts(children, "k", parents, "k")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        want = {r[0] for r in children.collect()} - {r[0] for r in parents.distinct().collect()}
+        assert {r["key"] for r in got.collect()} == want
+    below = plan[plan.index("LeftAnti") :]
+    assert below.count("HashAggregate") >= 4 and below.count("Exchange hashpartitioning") == 2
+
+
 @pytest.mark.parametrize("task_rows", [10**6, 50])
 def test_quantiles_of_everything(spark, task_rows):
     values = samples()["heavy"]
@@ -148,10 +182,9 @@ def test_hash_sample_is_stable(spark):
     assert first == row_set(hash_sample(df.repartition(7), ["id"], 0.1)) and 1800 < len(first) < 2200
 
 
-@pytest.mark.parametrize("task_rows", [10**6, 100])
-def test_split_is_exact_per_class(spark, task_rows):
+def test_split_is_exact_per_class(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("y"))
-    split = stratified_split(df, "y", ["id"], task_rows=task_rows)
+    split = stratified_split(df, "y", ["id"])
     counts = {(r[0], r[1]): r[2] for r in split.groupBy("y", "split").count().collect()}
     assert counts == {(1, "train"): 240, (1, "test"): 60, (0, "train"): 2160, (0, "test"): 540}
     ordered = df.where("y = 1").orderBy(key_hash(["id"])).limit(240).select("id")
