@@ -68,17 +68,14 @@ def missing_fields(df: DataFrame, fields: Sequence[str], total: str = "total_row
 
 
 def describe(df: DataFrame, fields: Sequence[str], digits: int = 2, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Count, mean, std, min, quartiles and max per numeric field; the fields share one pass."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in fields]).unpivot([], list(fields), "field", "value")
-    basic = settle(
-        long.groupBy("field").agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
+    """Count, mean, std, min, quartiles and max per numeric field; the fields share a pass for all but the quartiles."""
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in fields])
+    basics = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = wide.agg(
+        *[F.struct(F.lit(c).alias("field"), *[of(c).alias(name) for name, of in basics.items()]).alias(c) for c in fields]
     )
+    basic = settle(row.select(F.explode(F.array(*fields)).alias("s")).select("s.*"))
+    long = wide.unpivot([], list(fields), "field", "value")
     points = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     quartiles = group_quantiles(long, ["field"], "value", points, sizes=basic, task_rows=task_rows)
     numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
@@ -139,15 +136,20 @@ def rule_result(frame: DataFrame, rule: str, violations: Column) -> DataFrame:
     )
 
 
-def row_rules(df: DataFrame, rules: dict[str, Column], null_passes: bool = False) -> DataFrame:
+def row_rules(
+    df: DataFrame, rules: dict[str, Column], null_passes: bool = False, domains: dict[str, tuple[str, Sequence]] | None = None
+) -> DataFrame:
     """Rows that break each rule, all rules from one pass.
 
-    A test that comes out NULL breaks the rule, or passes as in a SQL CHECK with ``null_passes``.
+    A test that comes out NULL breaks the rule, or passes as in a SQL CHECK with ``null_passes``. ``domains`` (rule ->
+    field and allowed values) adds rules that count distinct non-NULL values outside a list, in the same pass.
     """
+    domains = domains or {}
     counts = df.agg(
-        *[F.count_if(~F.coalesce(test, F.lit(null_passes))).alias(name) for name, test in rules.items()]
+        *[F.count_if(~F.coalesce(test, F.lit(null_passes))).alias(name) for name, test in rules.items()],
+        *[F.count_distinct(F.when(~F.col(f).isin(*allowed), F.col(f))).alias(name) for name, (f, allowed) in domains.items()],
     )
-    long = counts.unpivot([], list(rules), "rule", "violations")
+    long = counts.unpivot([], [*rules, *domains], "rule", "violations")
     return long.withColumn("passed", F.col("violations") == 0)
 
 

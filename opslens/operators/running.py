@@ -24,7 +24,7 @@ def running_totals(df: DataFrame, order: Column, totals: dict[str, str]) -> Data
         "_part", *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in totals]
     )
     within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = parts.join(F.broadcast(offsets), "_part")
+    joined = join_lookup(parts, settle(offsets), "_part")
     return joined.select(
         *df.columns, *[(F.sum(c).over(within) + F.col(f"_before_{name}")).alias(name) for name, c in totals.items()]
     )

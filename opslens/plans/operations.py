@@ -18,7 +18,7 @@ from opslens.functions.scalar import half_up, ratio
 from opslens.operators import cleaning, distributions, features, kpis, measures, model, quality, trends
 from opslens.operators.rollups import Hop
 from opslens.operators.sampling import stratified_split
-from opslens.session import build_session, spread, stored
+from opslens.session import build_session, input_size, run_folder, shuffle_partitions_for, spread, stored
 from opslens.sources import tables as io
 from opslens.sources.schemas import NATURAL_KEY
 
@@ -256,8 +256,8 @@ def integrity_rules(t: Frames) -> DataFrame:
                 "wait_minutes is positive": F.col("wait_minutes") > 0,
                 "discharge follows admission": F.col("discharge_date") >= F.col("admission_date"),
             },
+            domains={"readmission target is 0 or 1": ("readmitted_30d", [0, 1])},
         ),
-        quality.domain_rule(stays, "readmitted_30d", [0, 1], "readmission target is 0 or 1"),
         *[quality.row_rules(t[name], rules, null_passes=True) for name, rules in checks.items()],
         *[
             quality.foreign_key_rule(t[child], key, t[parent], key, f"{child}.{key} -> {parent}.{key}")
@@ -347,7 +347,12 @@ def main() -> None:
     parser.add_argument("--skip-model", action="store_true")
     parser.add_argument("--input-bytes", type=int, help="size of the raw data, to size the shuffles by")
     options = parser.parse_args()
-    run(build_session("operations pipeline", input_bytes=options.input_bytes), options.raw, options.out, with_model=not options.skip_model)
+    spark = build_session("operations pipeline", input_bytes=options.input_bytes)
+    if not options.input_bytes:
+        size = sum(input_size(frame) for frame in io.read_raw(spark, options.raw).values())
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions_for(size)))
+    with run_folder(spark):
+        run(spark, options.raw, options.out, with_model=not options.skip_model)
 
 
 if __name__ == "__main__":

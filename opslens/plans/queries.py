@@ -359,11 +359,10 @@ def j12(t: TestTables) -> DataFrame:
                 "shipment follows order": F.col("l_shipdate") >= F.col("o_orderdate"),
                 "stay between 1 and 50": F.col("stay_days").between(1, 50),
             },
+            domains={"flag is 0 or 1": ("flag", [0, 1]), "return flag is A or N": ("l_returnflag", ["A", "N"])},
         ),
         quality.unique_rule(lines, LINE_KEY, "line key is unique"),
         quality.unique_rule(t.read("orders"), ["o_orderkey"], "order key is unique"),
-        quality.domain_rule(lines, "flag", [0, 1], "flag is 0 or 1"),
-        quality.domain_rule(lines, "l_returnflag", ["A", "N"], "return flag is A or N"),
     )
 
 

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of the run that is under way, below the checkpoint folder.
+_RUN: ContextVar[str] = ContextVar("run", default="tables")
 
 PARTITION_BYTES = 128 * 1024**2
 
 
+def shuffle_partitions_for(input_bytes: int) -> int:
+    return max(200, -(-input_bytes // PARTITION_BYTES))
+
+
 def build_session(
     app: str = "opslens", master: str | None = None, input_bytes: int | None = None, **conf: str
 ) -> SparkSession:
@@ -29,7 +38,7 @@ def build_session(
         .config("spark.ui.enabled", "false")
     )
     if input_bytes:
-        builder = builder.config("spark.sql.shuffle.partitions", str(max(200, -(-input_bytes // PARTITION_BYTES))))
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions_for(input_bytes)))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -37,13 +46,14 @@ def build_session(
     return builder.getOrCreate()
 
 
-def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """Session for tests and the benchmark."""
     return build_session(
         master=f"local[{cores}]",
         spark__sql__shuffle__partitions=str(cores),
         spark__driver__memory=memory,
         spark__driver__host="127.0.0.1",
+        **conf,
     )
 
 
@@ -62,12 +72,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the tables that a run stores, removed when the run ends or fails."""
+    name = f"run-{uuid.uuid4().hex}"
+    token = _RUN.set(name)
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def input_size(df: DataFrame) -> int:
+    """Bytes that the planner expects a frame's scans to read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Parquet copy in the checkpoint folder: evaluated once, and still there when executors are lost.
 
     Unlike checkpointed rows, the copy is scanned by column and its size is known to the planner.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{_RUN.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,14 +7,18 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from opslens.session import local_session  # noqa: E402
+from opslens.session import local_session, run_folder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, memory="4g")
+def spark(tmp_path_factory):
+    """What the tests store lies below pytest's own folder, and is gone when they end."""
+    folder = tmp_path_factory.mktemp("checkpoint")
+    session = local_session(cores=8, memory="4g", spark__checkpoint__dir=str(folder))
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    with run_folder(session) as path:
+        yield session
+    assert not os.path.exists(path.removeprefix("file:"))
     session.stop()
 
 
