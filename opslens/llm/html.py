@@ -1,8 +1,8 @@
 """Main text of web pages, with removal of what a site repeats on its pages.
 
-Every element's subtree has a hash of its tags, attributes and text. Spark counts for each host on how many pages a
-subtree occurs; subtrees that recur on many pages of the host are deleted outside the article. What is left of the
-article (or of the body, if a page has none) gives blocks of text.
+Outside a page's article, every element's subtree has a hash of its tags, attributes and text. Spark counts for each host on how many pages a
+subtree occurs; subtrees that recur on many pages of the host are deleted where a page has no article of its own. An
+article may repeat a passage of another one, so nothing inside it counts as a template. What is left gives blocks of text.
 """
 
 from __future__ import annotations
@@ -83,7 +83,10 @@ def parse(html: str) -> list[Element]:
             continue
         tag = name.lower()
         if ending:
-            now = close({tag}, frozenset())
+            before, now = now, close({tag}, frozenset())
+            if tag == "p" and now == before:  # the end of no paragraph is an empty one
+                tree[now].parts.append(len(tree))
+                tree.append(Element("p", "", now))
             continue
         if tag in ENDS_P:
             now = close({"p"}, SCOPES)
@@ -102,31 +105,46 @@ def parse(html: str) -> list[Element]:
     return tree
 
 
-def subtree_hashes(tree: list[Element]) -> tuple[list[int], list[int]]:
-    """A 64-bit hash of each element with all below it, and its characters of text."""
-    hashes, sizes = [0] * len(tree), [0] * len(tree)
-    for i in range(len(tree) - 1, -1, -1):
-        one = tree[i]
-        h = xxhash.xxh64(f"{one.tag} {one.attributes}".encode("utf-8", "surrogatepass"))
+def article(tree: list[Element]) -> int:
+    """The article element with the most text, else such a main element, else the whole page."""
+    for wanted in (lambda e: e.tag == "article", lambda e: e.tag == "main" or 'role="main"' in e.attributes):
+        found = [i for i, e in enumerate(tree) if wanted(e) and not named_out(e)]
+        if len(found) > 1:
+            sizes = [sum(len(p) for p in e.parts if isinstance(p, str)) for e in tree]
+            for i in range(len(tree) - 1, 0, -1):
+                sizes[tree[i].parent] += sizes[i]
+            return max(found, key=lambda i: (sizes[i], -i))
+        if found:
+            return found[0]
+    return 0
+
+
+def subtree_hashes(tree: list[Element], root: int = 0) -> dict[int, int]:
+    """A 64-bit hash of each element with all below it, if it has text. What is in ``root`` or around it has none."""
+    skip = [False] * len(tree)
+    for i in range(1, len(tree)):
+        skip[i] = bool(root) and (i == root or skip[tree[i].parent])
+    around = root
+    while around >= 0:
+        skip[around] = True
+        around = tree[around].parent
+    hashes: dict[int, int] = {}
+    sizes = [0] * len(tree)
+    for i in range(len(tree) - 1, 0, -1):
+        if skip[i]:
+            continue
+        one, content = tree[i], []
         for part in one.parts:
             if isinstance(part, int):
-                h.update(b"\1%d" % hashes[part])
+                content.append(str(hashes[part]))
                 sizes[i] += sizes[part]
             else:
                 text = " ".join(part.split())
-                h.update(b"\2" + text.encode("utf-8", "surrogatepass"))
+                content.append(f"={text}")
                 sizes[i] += len(text)
-        hashes[i] = h.intdigest() - (1 << 63)
-    return hashes, sizes
-
-
-def article(tree: list[Element], sizes: list[int]) -> int:
-    """The article element with the most text, else the main element, else the whole page."""
-    for wanted in (lambda e: e.tag == "article", lambda e: e.tag == "main" or 'role="main"' in e.attributes):
-        found = [i for i, e in enumerate(tree) if wanted(e) and not named_out(e)]
-        if found:
-            return max(found, key=lambda i: (sizes[i], -i))
-    return 0
+        data = "\0".join([one.tag, one.attributes, *content])
+        hashes[i] = xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return {i: h for i, h in hashes.items() if sizes[i] >= LEAST_TEXT}
 
 
 def named_out(element: Element) -> bool:
@@ -135,8 +153,8 @@ def named_out(element: Element) -> bool:
     return any(word in NAMES for names in _NAMED.findall(element.attributes) for word in " ".join(names).lower().split())
 
 
-def text_of(tree: list[Element], root: int, drop: frozenset | set, hashes: list[int]) -> str:
-    """Blocks below ``root`` in page order, one a line."""
+def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset()) -> str:
+    """Blocks below ``root`` in page order, one a line, without the elements of ``drop``."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -151,7 +169,7 @@ def text_of(tree: list[Element], root: int, drop: frozenset | set, hashes: list[
         i, k = todo.pop()
         one = tree[i]
         if k == 0:
-            if i != root and (one.tag in DROPPED or (one.tag == "header" and not root) or named_out(one) or hashes[i] in drop):
+            if i != root and (one.tag in DROPPED or (one.tag == "header" and not root) or named_out(one) or i in drop):
                 if one.tag in BLOCK:
                     flush()
                 continue
@@ -183,17 +201,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
             hosts, found = [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tree = parse(html or "")
-                hashes, sizes = subtree_hashes(tree)
-                root = article(tree, sizes)
-                inside = [False] * len(tree)
-                around = set()
-                i = root
-                while i > 0:
-                    around.add(i)
-                    i = tree[i].parent
-                for i in range(1, len(tree)):
-                    inside[i] = bool(root) and (i == root or inside[tree[i].parent])
-                own = {hashes[i] for i in range(1, len(tree)) if not inside[i] and i not in around and sizes[i] >= LEAST_TEXT}
+                own = set(subtree_hashes(tree, article(tree)).values())
                 found += own
                 hosts += [host] * len(own)
             yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
@@ -220,9 +228,9 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             texts = []
             for html, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 tree = parse(html or "")
-                hashes, sizes = subtree_hashes(tree)
-                root = article(tree, sizes)
-                texts.append(text_of(tree, root, set(drop or ()) if not root else frozenset(), hashes))
+                root = article(tree)
+                known = set(drop) if drop and not root else set()
+                texts.append(text_of(tree, root, {i for i, h in subtree_hashes(tree).items() if h in known} if known else set()))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return small_batches(joined).mapInArrow(run, f"page_id {id_type}, url {url_type}, text string, n_chars long")
