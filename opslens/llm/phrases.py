@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.repeats import Kind, Known, covered, decide, packs, search, word_symbols, words_of
+from opslens.llm.repeats import Found, Kind, Known, covered, decide, packs, search, word_symbols, words_of
 from opslens.llm.suffix import named
 from opslens.llm.support import filter_of, may_hold, small_batches, utf8
 from opslens.session import stored
@@ -32,17 +32,17 @@ SHARD_WORDS, SHARD_STRETCHES = 1_000_000, 200_000
 
 
 def kind_of(window: int = WINDOW) -> Kind:
-    return Kind(word_symbols, window, max(1, window // 2 + 1), (max(1, window // 6),))
+    size = max(1, window // 6)
+    return Kind(word_symbols, window, max(1, window // 4), (3 * size, size))
 
 
 # -- passages and stretches ------------------------------------------------------------------------------------------
 
 
-def passages_and_stretches(rows: DataFrame, kind: Kind, known: Known, single: DataFrame, passes: list[DataFrame]) -> DataFrame:
-    """``key, stretch, name, at, words``: passages (``stretch`` 0) and all stretches of documents that may hold one (1)."""
-    window = single.groupBy("h").agg(F.min("t").alias("t"))
-    tokens = stored(window.select("t").unionByName(passes[0].where("n > 1").select("t")))
-    sent = rows.sparkSession.sparkContext.broadcast((known.arrays(), filter_of(tokens, "t"), filter_of(single, "h")))
+def passages_and_stretches(rows: DataFrame, kind: Kind, found: Found, tokens: DataFrame) -> DataFrame:
+    """``key, stretch, name, at, words``: passages (``stretch`` 0; those of ``tokens``) and all stretches of documents
+    that may hold one (1)."""
+    sent = rows.sparkSession.sparkContext.broadcast((found.known.arrays(), filter_of(tokens, "t"), filter_of(found.single, "h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, first_ones, recurring = sent.value
@@ -81,13 +81,14 @@ def passages_and_stretches(rows: DataFrame, kind: Kind, known: Known, single: Da
 
 
 class Shard:
-    """An automaton over the passages of one shard, and what it has found."""
+    """An automaton over the passages of one shard, and what it has found. Equal stretches are streamed once."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {}  # of a word
         self.passages: list[bytes] = []
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         self.ready = False
+        self.seen: dict[bytes, list[tuple[int, int, int]]] = {}  # what a stretch holds
         self.counts: Counter = Counter()
         self.hits: list[tuple[int, int, list[tuple[int, int, int]]]] = []  # name, place, (passage, start, end) found
 
@@ -103,7 +104,12 @@ class Shard:
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
-        found = [(p, end + 1 - n, end + 1) for end, (p, n) in self.automaton.iter(tuple([self.number.get(w, 0) for w in words.split()]))]
+        found = self.seen.get(words)
+        if found is None:
+            number = self.number
+            found = [(p, end + 1 - n, end + 1) for end, (p, n) in self.automaton.iter(tuple([number.get(w, 0) for w in words.split()]))]
+            found.sort(key=lambda x: x[1])
+            self.seen[words] = found
         if found:
             self.counts.update([p for p, _, _ in found])
             self.hits.append((name, at, found))
@@ -118,7 +124,7 @@ class Shard:
             yield from ((None, None, None, self.digest(p)) for p, n in self.counts.items() if n > 1)
         for name, at, found in self.hits:
             low = high = -1
-            for p, start, end in sorted(found, key=lambda x: x[1]):
+            for p, start, end in found:
                 if self.counts[p] < 2:
                     if not alone:
                         yield name, at + start, at + end, self.digest(p)
@@ -132,15 +138,20 @@ class Shard:
                 yield name, at + low, at + high, None
 
 
-def occurrences(found: DataFrame, shard_words: int = SHARD_WORDS, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
-    """``name, start, end``: where recurring passages are, in words. ``found`` is stored."""
-    size = F.size(F.split(F.col("words").cast("string"), " ")).cast("long")
-    total = found.where("stretch = 0").agg(F.sum(size)).first()[0] or 0
-    rows = found.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // shard_words)))))
-    tasks = rows.where("stretch = 1").groupBy("shard").agg(F.ceil(F.count("*") / F.lit(shard_stretches)).alias("tasks"))
-    sized = rows.join(tasks, "shard")
-    own = F.when(F.col("stretch") == 1, F.array(F.pmod(F.xxhash64("name", "at"), "tasks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))
-    dealt = sized.select("shard", F.explode(own).alias("task"), (F.col("tasks") == 1).alias("alone"), "stretch", "name", "at", "words")
+def occurrences(rows: DataFrame, owners: DataFrame, passages: int, passage_words: int, shard_words: int = SHARD_WORDS, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
+    """``name, start, end``: where recurring passages are, in words.
+
+    Shards are sized by the number of passages and of stretches. An owner with more than ``shard_stretches`` stretches
+    has a shard of its own, whose stretches are dealt to several tasks, each with all passages of that owner.
+    """
+    total = owners.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-passages * passage_words // shard_words), -(-total // shard_stretches))
+    hot = stored(owners.where(F.col("n") > shard_stretches).select(F.col("h").alias("key"), F.ceil(F.col("n") / F.lit(shard_stretches)).alias("tasks")))
+    sized = rows.join(hot, "key", "left")
+    alone = F.col("tasks").isNull()
+    shard = F.when(alone, F.pmod(F.xxhash64("key"), F.lit(shards))).otherwise(F.col("key"))
+    own = F.when(alone, F.array(F.lit(-1).cast("long"))).when(F.col("stretch") == 1, F.array(F.pmod(F.xxhash64("name", "at"), "tasks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))
+    dealt = sized.select(shard.alias("shard"), F.explode(own).alias("task"), alone.alias("alone"), "stretch", "name", "at", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard, alone = None, Shard(), True
@@ -163,7 +174,7 @@ def occurrences(found: DataFrame, shard_words: int = SHARD_WORDS, shard_stretche
         if now is not None:
             yield close()
 
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = small_batches(dealt).repartition(parts, "shard", "task").sortWithinPartitions("shard", "task", "stretch")
     spans = stored(ordered.mapInArrow(run, "name long, start long, end long, passage binary"))
     sure = spans.where("passage is null").select("name", "start", "end")
@@ -185,9 +196,13 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     """
     kind = kind_of(window)
     rows = named(docs, id_col, text_col)
-    known, single, passes = search(rows.select("name", "text"), kind)
-    found = stored(passages_and_stretches(rows.select("name", "text"), kind, known, single, passes))
-    places = occurrences(found, shard_words, shard_stretches)
+    found = search(rows.select("name", "text"), kind)
+    tokens = found.single.groupBy("h").agg(F.min("t").alias("t")).select("t")
+    for one in found.passes:
+        tokens = tokens.unionByName(one.where("n > 1").select("t"))
+    tokens = stored(tokens)
+    both = passages_and_stretches(rows.select("name", "text"), kind, found, tokens)
+    places = occurrences(both, found.owners, tokens.count(), window + kind.sizes[0] - 1, shard_words, shard_stretches)
     places = stored(places.groupBy("name").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("at")))
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(places, "name"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text

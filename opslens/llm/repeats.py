@@ -203,15 +203,12 @@ def decide(kind: Kind, symbols: np.ndarray, bounds: np.ndarray, names: np.ndarra
             continue
         owned = now = owned.take(may_hold(known.owners, owned.name))
         sure: list[Ranges] = []
-        settled = np.zeros(len(now.low), bool)  # their windows are in ``sure`` already
         for size, level in zip(kind.sizes, known.levels):
-            count = (now.place - now.low) // size - (now.place - now.high) // size + 1
             ranges, parts = now.cut(kind, size)
-            done = np.repeat(settled, count)
             single = may_hold(level.once, ranges.outer)
-            sure.append(ranges.take(~single & ~done))
+            sure.append(ranges.take(~single))
             going = np.where(single, may_hold(level.shared, ranges.inner), may_hold(level.chosen, ranges.tokens(names)))
-            settled, now = (done | ~single)[going], parts.take(going)
+            now = parts.take(going)
         ask, _ = now.cut(kind, kind.sizes[len(known.levels)] if len(known.levels) < len(kind.sizes) else 1)
         yield owned, sure, ask
 
@@ -237,14 +234,22 @@ def _scan(rows: DataFrame, kind: Kind, known: Known, schema: str, make: Callable
     return done
 
 
-def search(rows: DataFrame, kind: Kind) -> tuple[Known, DataFrame, list[DataFrame]]:
-    """What is known of the windows of ``name long, text`` rows, and stored frames: ``h, name, at, t``, the single windows
-    that recur beyond it, and for each pass ``i, o, n, t``, its ranges with their counts and one token.
+@dataclass
+class Found:
+    """What a search has stored: ``h, n``, the owners that occur twice; for each pass ``i, o, n, t``, its ranges with their
+    counts and one token; ``h, name, at, t``, the single windows that recur beyond the ranges."""
 
-    ``name`` tells rows apart; rows of equal name must have equal text.
-    """
-    twice = lambda df: df.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    known = Known(filter_of(_scan(rows, kind, Known(), "h long", lambda names, owned, sure, ask: [owned.name], twice), "h"))
+    known: Known
+    owners: DataFrame
+    passes: list[DataFrame]
+    single: DataFrame
+
+
+def search(rows: DataFrame, kind: Kind) -> Found:
+    """Which windows of ``name long, text`` rows recur. ``name`` tells rows apart; rows of equal name must have equal text."""
+    twice = lambda df: df.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    owners = _scan(rows, kind, Known(), "h long", lambda names, owned, sure, ask: [owned.name], twice)
+    known = Known(filter_of(owners, "h"))
     passes: list[DataFrame] = []
     for _ in kind.sizes:
         outer = _scan(
@@ -260,7 +265,7 @@ def search(rows: DataFrame, kind: Kind) -> tuple[Known, DataFrame, list[DataFram
         rows, kind, known, "h long, name long, at long, t long",
         lambda names, owned, sure, ask: [ask.outer, names[ask.text], ask.low, ask.tokens(names)],
     )
-    return known, stored(single.join(twice(single), "h", "left_semi")), passes
+    return Found(known, owners, passes, stored(single.join(twice(single), "h", "left_semi")))
 
 
 def sure_windows(kind: Kind, symbols: np.ndarray, bounds: np.ndarray, names: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:

@@ -45,9 +45,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     """
     kind = kind_of(length)
     rows = named(docs, id_col, text_col)
-    known, single, _ = search(rows.select("name", "text"), kind)
-    places = stored(single.groupBy("name").agg(F.array_distinct(F.collect_list("at")).alias("at")))
-    sent = docs.sparkSession.sparkContext.broadcast((known.arrays(), filter_of(places, "name")))
+    found = search(rows.select("name", "text"), kind)
+    places = stored(found.single.groupBy("name").agg(F.array_distinct(F.collect_list("at")).alias("at")))
+    sent = docs.sparkSession.sparkContext.broadcast((found.known.arrays(), filter_of(places, "name")))
     spans = "array<struct<start:long,end:long>>"
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans {spans}, kept string" * with_text
     kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()][: 3 if with_text else 1]
