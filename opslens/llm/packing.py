@@ -9,6 +9,7 @@ windows are full; what remains goes on to the next block, and at the end of a pa
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
@@ -28,8 +29,8 @@ LEAST_WINDOW = 64
 #: Tokens that are packed together, and tokens of a step group.
 BLOCK_TOKENS, STEP_TOKENS = 64 * 4096, 16 * 4096
 END_ID = 2
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 500_000
+#: Pieces whose ids a worker remembers.
+CACHED_PIECES = 600_000
 
 Piece = tuple[int, int, int]  # length, document, start
 
@@ -103,63 +104,49 @@ def step_groups(windows: Sequence[Sequence[Piece]], tokens: int = STEP_TOKENS) -
 # -- tokens ----------------------------------------------------------------------------------------------------------
 
 
-class WordTokenizer:
-    """Ids of texts from a tokenizer that works on words: it splits at white space, lowers, splits words into pieces,
-    and marks the last token of each piece.
+class PieceTokenizer:
+    """Ids of texts from a tokenizer that lowers a text, splits it into pieces by a pattern and encodes each piece alone.
 
-    A text's ids are those of its words, so each word is encoded once and remembered. Pieces that are new in a batch
-    go to the library in one call. Words that white space of other scripts or special tokens may split go to it alone.
+    Each piece is encoded once, by the library's model, and remembered. Texts of plain characters (those that Unicode
+    normalisation leaves alone and that every lower-casing treats alike) are lowered and split here; a text with any
+    other character, or with what may be a special token, goes to the library as a whole.
     """
 
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the vocabulary's own pattern
+    LATIN = "\xdf-\xf6\xf8-\xff\u0100-\u012f\u0131-\u0148\u014a-\u017e"  # letters beyond ASCII, after lowering
+    PLAIN = f"\t\n\x0b\x0c\r\x20-\x7e\xc0-\xd6\xd8-\xde{LATIN}\u2010-\u2027\u20ac"
+    #: Fixed value: the vocabulary's own pattern, over plain characters.
+    PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\\s0-9a-z{LATIN}]+"
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces_in = regex.compile(self.PIECES).findall
-        self.odd = regex.compile(r"\s|<\|").search
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
-            self.pieces.clear()
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [(w, t) for w, t in zip(words, texts) if not self.odd(t)]
-        self.words.update((w, self.encode(t)) for w, t in zip(words, texts) if self.odd(t))
-        lowered = self.tokenizer.normalizer.normalize_str(" ".join(t for _, t in plain)).split(" ")
-        if len(lowered) != len(plain):
-            lowered = [self.tokenizer.normalizer.normalize_str(t) for _, t in plain]
-        split = [self.pieces_in(t) for t in lowered]
-        fresh = list(dict.fromkeys(p for p in chain.from_iterable(split) if p not in self.pieces))
-        ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(fresh) and (not len(fresh) or ends[-1] == len(ids)):
-            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.pieces.update((p, data[a:b]) for p, a, b in zip(fresh, at, at[1:]))
-        else:
-            self.pieces.update((p, self.encode(p)) for p in fresh)
-        known = self.pieces
-        self.words.update((w, b"".join([known[p] for p in s])) for (w, _), s in zip(plain, split))
+        self.model = self.tokenizer.model
+        self.pieces_in = re.compile(self.PIECES).findall
+        self.odd = re.compile(f"[^{self.PLAIN}]|<\\|").search
+        self.known: dict[str, bytes] = {}
+        # a byte-level vocabulary writes printable bytes as themselves and the others as characters from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self.written = {b: 256 + i for i, b in enumerate(rest)}
+
+    def encode_piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.written)
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
 
     def __call__(self, texts: Sequence[bytes]) -> list[np.ndarray]:
-        split = [x.split() for x in texts]
-        fresh = {w for s in split for w in s if w not in self.words}
-        if fresh and len(self.words) + len(fresh) > CACHED_WORDS:
-            fresh = set(chain.from_iterable(split))
-        if fresh:
-            self.learn(list(fresh))
-        known = self.words
-        return [np.frombuffer(b"".join([known[w] for w in s]), "<u4") for s in split]
+        decoded = [x.decode("utf-8", "replace") for x in texts]
+        split = [None if self.odd(t) else self.pieces_in(t.lower()) for t in decoded]
+        own = [s for s in split if s]
+        fresh = set(chain.from_iterable(own)).difference(self.known)
+        if fresh and len(self.known) + len(fresh) > CACHED_PIECES:
+            self.known.clear()
+            fresh = set(chain.from_iterable(own))
+        known = self.known
+        known.update((p, self.encode_piece(p)) for p in fresh)
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+        return [whole(t) if s is None else np.frombuffer(b"".join([known[p] for p in s]), "<u4") for t, s in zip(decoded, split)]
 
 
 # -- operator --------------------------------------------------------------------------------------------------------
@@ -198,7 +185,7 @@ def pack_documents(
         return pa.record_batch(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_in_worker(f"words {tokenizer}", lambda: WordTokenizer(tokenizer))
+        encode = kept_in_worker(f"tokens {tokenizer}", lambda: PieceTokenizer(tokenizer))
         end = np.array([end_id], "<u4")
         part = TaskContext.get().partitionId() << 36
         made = groups = 0

@@ -4,8 +4,9 @@ A text is its characters, spaces being U+2581 and one of them put in front. All
 vocabulary are on the agenda; the pair of the highest score (the leftmost of a tie) is merged and its new neighbours
 join the agenda. What is not in the vocabulary at the end becomes bytes.
 
-No piece of the vocabulary goes from another character on to a space mark, or holds a line feed next to another character (checked when the vocabulary is
-loaded), so no merge crosses these places: texts are encoded by the parts between them, and each part once.
+No piece of the vocabulary goes from another character on to a space mark, joins a sign or digit and a letter (any other character), or
+holds a line feed beside anything (checked when the vocabulary is loaded). So no merge crosses these places: texts are
+encoded by the parts between them, and each part once.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from opslens.llm.support import kept_in_worker, small_batches, utf8
 MARK = "▁"
 #: Parts whose ids a worker remembers.
 CACHED_PARTS = 400_000
-_PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_SIGNS = r"\x00-\t\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2580\u2582-\u2bff"  # no letters, line feed or space mark
+_OTHER, _LETTER = f"[{_SIGNS}]", f"[^{_SIGNS}\n{MARK}]"
+_PARTS = re.compile(f"{MARK}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+|\n")
+_CROSSING = re.compile(f"[^{MARK}]{MARK}|{_LETTER}{_OTHER}|{_OTHER}{_LETTER}|.\n|\n.", re.S)
 
 
 class MergeEncoder:
@@ -40,8 +44,8 @@ class MergeEncoder:
         self.ids = {sp.id_to_piece(i): i for i in pieces if i not in special}
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S) for p in self.ids):
-            raise ValueError("pieces of this vocabulary cross words")
+        if any(_CROSSING.search(p) for p in self.ids):
+            raise ValueError("pieces of this vocabulary cross the parts of a text")
         self.known: dict[str, tuple[list[int], str]] = {}
 
     def encode_part(self, part: str) -> list[int]:

@@ -83,23 +83,23 @@ def check_pieces(rows, docs, encode):
 
 
 def test_pieces_hold_the_tokenizers_ids(spark, docs):
-    encode = packing.WordTokenizer(WORDS)
+    encode = packing.PieceTokenizer(WORDS)
     rows = packing.pack_documents(docs, WORDS).collect()
     check_pieces(rows, corpus(), lambda t: encode.tokenizer.encode(t, add_special_tokens=False).ids)
 
 
 def test_packing_in_small_blocks_and_tiers(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_TOKENS", 500)
-    encode = packing.WordTokenizer(WORDS)
+    encode = packing.PieceTokenizer(WORDS)
     odd = [(i, t) for i, t in enumerate(ODD * 40)]
     rows = packing.pack_documents(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1), WORDS, tiers=(64, 16)).collect()
     assert {r.window for r in rows} <= {64, 32, 16, 8, 4, 2, 1}
     assert sum(r.length for r in rows) == sum(len(encode.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in odd)
 
 
-def test_word_tokenizer_equals_the_library(monkeypatch):
-    encode = packing.WordTokenizer(WORDS)
-    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+def test_piece_tokenizer_equals_the_library(monkeypatch):
+    encode = packing.PieceTokenizer(WORDS)
+    monkeypatch.setattr(packing, "CACHED_PIECES", 50)
     texts = [r[1] or "" for r in corpus()] + ODD
     for first in range(0, len(texts), 7):
         part = texts[first : first + 7]
