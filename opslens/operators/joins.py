@@ -27,9 +27,17 @@ HOT_SAMPLE = 0.01
 
 
 def settle(lookup: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Evaluate ``lookup`` now and return an equal frame that is cheap to use several times."""
+    """Evaluate ``lookup`` now and return an equal frame that is cheap to use several times.
+
+    A lookup with text is stored first, and comes to the driver only if its bytes are known to be few.
+    """
+    wide = _wide(lookup)
+    if wide:
+        lookup = stored(lookup)
+        if not is_small(lookup, small_rows):
+            return lookup
     head = lookup.limit(small_rows + 1).toArrow()
-    if head.num_rows <= small_rows and head.nbytes <= SMALL_BYTES:
+    if head.num_rows <= small_rows:
         return lookup.sparkSession.createDataFrame(head, schema=lookup.schema)
     return stored(lookup)
 
@@ -40,13 +48,18 @@ def is_small(lookup: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
         return True
     if lookup.count() > small_rows:
         return False
-    text = [name for name, kind in lookup.dtypes if any(part in kind for part in ("string", "binary", "array", "map"))]
+    text = _wide(lookup)
     if not text:
         return True
     size = sum(F.coalesce(F.sum(F.octet_length(F.col(name).cast("string"))), F.lit(0)) for name in text)
     return lookup.agg(size).first()[0] <= SMALL_BYTES
 
 
+def _wide(lookup: DataFrame) -> list[str]:
+    """Columns whose values have no fixed size."""
+    return [name for name, kind in lookup.dtypes if any(part in kind for part in ("string", "binary", "array", "map"))]
+
+
 def join_lookup(
     facts: DataFrame,
     lookup: DataFrame,

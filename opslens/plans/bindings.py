@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions.scalar import clamp
+from opslens.operators.features import add_bucket
 from opslens.operators.joins import join_lookup
 from opslens.operators.rollups import Hop
 
@@ -156,14 +157,13 @@ class TestTables:
     def measure_features(self) -> DataFrame:
         """Line items under the names the dashboard measures use."""
         score = F.col("score")
-        bucket = F.when((score > 0) & (score <= 40), "Rushed (0-40)").when((score > 80) & (score <= 100), "Excellent (80-100)")
-        return self.lines().select(
+        return add_bucket(self.lines(), "score").select(
             "l_linestatus",
             F.col("stay_days").alias("length_of_stay_days"),
             F.col("wait").alias("wait_minutes"),
             F.when(F.col("wait") > 0, clamp(score, F.lit(0.0), F.lit(90.0))).alias("satisfaction_score"),
             F.col("flag").alias("readmitted_30d"),
-            bucket.alias("discharge_efficiency_bucket"),
+            "discharge_efficiency_bucket",
             F.col("gross").alias("gross_charge"),
             (F.col("gross") - F.col("cost")).alias("margin"),
         )

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 _short, _int, _long, _text = T.ShortType(), T.IntegerType(), T.LongType(), T.StringType()
 _double, _date, _moment, _money = T.DoubleType(), T.DateType(), T.TimestampNTZType(), T.DecimalType(12, 2)
 
+# Names of the operational tables and columns.
 _FIELDS: dict[str, dict[str, T.DataType]] = {
     "departments": {"department_id": _short, "department": _text, "staffed_beds": _short},
     "doctors": {
