@@ -14,7 +14,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.support import small_batches
@@ -188,7 +188,7 @@ def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset())
     return "\n".join(blocks)
 
 
-def host_of(url) -> F.Column:
+def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
@@ -219,7 +219,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     A null page counts as empty, and a null url as a host of its own name (the empty one). Ids and urls may be null
     or repeat; each row is a page. Further columns are ignored; an empty table gives an empty result.
     """
-    id_type, url_type = (docs_type(pages, c) for c in (id_col, url_col))
+    id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = rows.join(stored(templates(rows, least_pages, least_share)), "host", "left").select("page_id", "url", "html", "hashes")
 
@@ -234,7 +234,3 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return small_batches(joined).mapInArrow(run, f"page_id {id_type}, url {url_type}, text string, n_chars long")
-
-
-def docs_type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()

@@ -29,8 +29,8 @@ LEAST_WINDOW = 64
 #: Tokens that are packed together, and tokens of a step group.
 BLOCK_TOKENS, STEP_TOKENS = 64 * 4096, 16 * 4096
 END_ID = 2
-#: Pieces whose ids a worker remembers.
-CACHED_PIECES = 600_000
+#: Pieces whose ids a task remembers.
+CACHED_PIECES = 300_000
 
 Piece = tuple[int, int, int]  # length, document, start
 
@@ -214,6 +214,7 @@ def pack_documents(
                     yield from block(False)
         if held:
             yield from block(True)
+        encode.known.clear()  # the worker may go on to other work
 
     schema = f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:9]) + ", ids array<int>" * with_ids
     return small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)

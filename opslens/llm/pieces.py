@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from opslens.llm.support import kept_in_worker, small_batches, utf8
 
 MARK = "▁"
-#: Parts whose ids a worker remembers.
-CACHED_PARTS = 400_000
+#: Parts whose ids a task remembers.
+CACHED_PARTS = 300_000
 _SIGNS = r"\x00-\t\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2580\u2582-\u2bff"  # no letters, line feed or space mark
 _OTHER, _LETTER = f"[{_SIGNS}]", f"[^{_SIGNS}\n{MARK}]"
 _PARTS = re.compile(f"{MARK}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+|\n")
@@ -133,6 +133,7 @@ def encode_documents(docs: DataFrame, model: str, outputs: bool = True, id_col:
                 if outputs:
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.record_batch(columns, names)
+        encode.known.clear()  # the worker may go on to other work
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs
     return small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)

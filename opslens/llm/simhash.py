@@ -71,37 +71,35 @@ def _remainder(word: int) -> int:
     return word
 
 
-def anchor_masks(extra: int) -> tuple[np.ndarray, np.ndarray]:
+def anchor_masks(extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every syndrome the differences to all code words within ``3 + extra`` bits, padded with -1, and the
-    syndromes of all 23-bit words."""
-    patterns = np.array([sum(1 << b for b in c) for n in range(_RADIUS + 1) for c in combinations(range(_CODE_BITS), n)])
-    single = [_remainder(1 << b) for b in range(_CODE_BITS)]
-    words = np.arange(1 << _CODE_BITS, dtype=np.uint32)
-    syndromes = np.zeros(1 << _CODE_BITS, np.uint16)
-    for b, s in enumerate(single):
-        syndromes ^= ((words >> np.uint32(b)) & np.uint32(1)).astype(np.uint16) * np.uint16(s)
-    code = np.flatnonzero(syndromes == 0)
+    syndromes of the lower 12 and the upper 11 bits of a word, which add up to the word's."""
+    lower = np.array([_remainder(x) for x in range(1 << 12)])
+    upper = np.array([_remainder(x << 12) for x in range(1 << 11)])
+    code = np.array([x << 11 | _remainder(x << 11) for x in range(1 << 12)])
     leaders = np.zeros(1 << 11, np.int64)
-    leaders[syndromes[patterns]] = patterns
+    for n in range(_RADIUS + 1):
+        for bits in combinations(range(_CODE_BITS), n):
+            pattern = sum(1 << b for b in bits)
+            leaders[lower[pattern & 0xFFF] ^ upper[pattern >> 12]] = pattern
     near = [leader ^ code[np.bitwise_count(leader ^ code) <= _RADIUS + extra] for leader in leaders]
     masks = np.full((len(near), max(map(len, near))), -1, np.int64)
     for row, found in zip(masks, near):
         row[: len(found)] = found
-    return masks, syndromes
+    return masks, lower, upper
 
 
 def anchored(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``anchor, fp``: every fingerprint at each of its anchors; at least one part differs in ``max_bits // 3`` bits or fewer."""
-    masks, syndromes = anchor_masks(max_bits // len(PARTS))
-    sent = fps.sparkSession.sparkContext.broadcast((masks, syndromes))
+    sent = fps.sparkSession.sparkContext.broadcast(anchor_masks(max_bits // len(PARTS)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        masks, syndromes = sent.value
+        masks, lower, upper = sent.value
         fp = batch.column(0).to_numpy().view(np.uint64)
         anchors, owners = [], []
         for number, (low, width) in enumerate(PARTS):
             part = (fp >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-            near = masks[syndromes[part]]
+            near = masks[lower[part & 0xFFF] ^ upper[part >> 12]]
             row, _ = held = np.nonzero(near >= 0)
             anchors.append((number << _CODE_BITS) | (part[row] ^ near[held]))
             owners.append(fp[row].view(np.int64))
@@ -175,5 +173,6 @@ def near_duplicates(
     groups = stored(components(links(distinct, max_bits, block)))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     joined = groups.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    labels = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    labels = stored(distinct.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    # both sides are plain scans here, so that the rows of a frequent fingerprint can be split over tasks
     return found.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

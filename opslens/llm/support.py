@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.session import stored
 
 #: Rows and bytes that one Arrow batch may hold; a longer text has a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 * 1024**2
+BATCH_ROWS, BATCH_BYTES = 1000, 8 * 1024**2
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -43,10 +43,6 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def hex_digest(text: Column) -> Column:
-    return F.sha2(text, 256)
-
-
 # -- bit filters -----------------------------------------------------------------------------------------------------
 
 #: Most bits of a filter. It bounds what is broadcast, whatever the input; a fuller filter only lets more through.
