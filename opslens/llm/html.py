@@ -105,29 +105,64 @@ def parse(html: str) -> list[Element]:
     return tree
 
 
-def article(tree: list[Element]) -> int:
-    """The article element with the most text, else such a main element, else the whole page."""
-    for wanted in (lambda e: e.tag == "article", lambda e: e.tag == "main" or 'role="main"' in e.attributes):
-        found = [i for i, e in enumerate(tree) if wanted(e) and not named_out(e)]
-        if len(found) > 1:
-            sizes = [sum(len(p) for p in e.parts if isinstance(p, str)) for e in tree]
-            for i in range(len(tree) - 1, 0, -1):
-                sizes[tree[i].parent] += sizes[i]
-            return max(found, key=lambda i: (sizes[i], -i))
-        if found:
-            return found[0]
-    return 0
-
-
-def subtree_hashes(tree: list[Element], root: int = 0) -> dict[int, int]:
-    """A 64-bit hash of each element with all below it, if it has text. What is in ``root`` or around it has none."""
+def measure(tree: list[Element]) -> tuple[list[bool], list[bool], list[int]]:
+    """For each element: whether it is left out itself, whether something around it is, and its characters of text
+    without what is left out below it. A form may hold a whole page, so an article within one counts."""
+    out = [e.tag in DROPPED or named_out(e) for e in tree]
+    away = [False] * len(tree)
+    sizes = [sum(len("".join(p.split())) for p in e.parts if isinstance(p, str)) for e in tree]
+    for i in range(1, len(tree)):
+        above = tree[i].parent
+        away[i] = away[above] or (out[above] and (tree[above].tag != "form" or named_out(tree[above])))
+    for i in range(len(tree) - 1, 0, -1):
+        if not out[i]:
+            sizes[tree[i].parent] += sizes[i]
+    return out, away, sizes
+
+
+def _around(tree: list[Element], i: int) -> list[int]:
+    """The element and all it lies in, from the page down."""
+    path = []
+    while i >= 0:
+        path.append(i)
+        i = tree[i].parent
+    return path[::-1]
+
+
+def _outermost(tree: list[Element], found: list[int]) -> list[int]:
+    held = set(found)
+    return [i for i in found if not held.intersection(_around(tree, i)[:-1])]
+
+
+def article(tree: list[Element]) -> list[int]:
+    """Where the main text is: the article elements, else the main elements, else the whole page.
+
+    Those without text, and those in or of what is left out (a teaser in an aside, a reader's comment) do not count
+    unless the page has no other text. Of several, the element around them all is taken, or each of them in page order
+    if that is the body. A main element that holds more text beside its articles than in them is taken itself.
+    """
+    out, away, sizes = measure(tree)
+    kinds = [[i for i, e in enumerate(tree) if sizes[i] and is_one(e)] for is_one in (lambda e: e.tag == "article", lambda e: e.tag == "main" or 'role="main"' in e.attributes)]
+    articles, mains = (_outermost(tree, [i for i in kind if not (out[i] or away[i])]) for kind in kinds)
+    found = articles or mains
+    if not found:
+        return [0] if sizes[0] else _outermost(tree, kinds[0] or kinds[1]) or [0]
+    paths = [_around(tree, i) for i in found]
+    shared = [same[0] for same in zip(*paths) if len(set(same)) == 1]
+    for i in mains if articles else []:
+        if i in shared and sizes[i] > 2 * sum(sizes[k] for k in articles):
+            return [i]
+    return [shared[-1]] if len(found) == 1 or tree[shared[-1]].tag not in ("", "html", "body") else found
+
+
+def subtree_hashes(tree: list[Element], roots: list[int] = [0]) -> dict[int, int]:
+    """A 64-bit hash of each element with all below it, if it has text. What is in ``roots`` or around them has none."""
     skip = [False] * len(tree)
     for i in range(1, len(tree)):
-        skip[i] = bool(root) and (i == root or skip[tree[i].parent])
-    around = root
-    while around >= 0:
-        skip[around] = True
-        around = tree[around].parent
+        skip[i] = roots != [0] and (i in roots or skip[tree[i].parent])
+    for root in roots:
+        for i in _around(tree, root):
+            skip[i] = True
     hashes: dict[int, int] = {}
     sizes = [0] * len(tree)
     for i in range(len(tree) - 1, 0, -1):
@@ -148,7 +183,7 @@ def subtree_hashes(tree: list[Element], root: int = 0) -> dict[int, int]:
 
 
 def named_out(element: Element) -> bool:
-    if not element.attributes:
+    if not element.attributes or element.tag in ("html", "body"):
         return False
     return any(word in NAMES for names in _NAMED.findall(element.attributes) for word in " ".join(names).lower().split())
 
@@ -228,9 +263,10 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             texts = []
             for html, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 tree = parse(html or "")
-                root = article(tree)
-                known = set(drop) if drop and not root else set()
-                texts.append(text_of(tree, root, {i for i, h in subtree_hashes(tree).items() if h in known} if known else set()))
+                roots = article(tree)
+                known = set(drop) if drop and roots == [0] else set()
+                gone = {i for i, h in subtree_hashes(tree).items() if h in known} if known else set()
+                texts.append("\n".join(filter(None, (text_of(tree, root, gone) for root in roots))))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return small_batches(joined).mapInArrow(run, f"page_id {id_type}, url {url_type}, text string, n_chars long")

@@ -172,6 +172,25 @@ def test_deep_and_empty_pages(spark):
     assert html.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<main><p>main text</p><aside><article>teaser</article></aside></main>", "main text"),
+    ("<div><p>main text</p></div><nav><article>teaser</article></nav>", "main text"),
+    ("<div><p>main text</p></div><section class='related'><article>teaser</article></section>", "main text"),
+    ("<div><p>main text</p></div><section class=comments><article>a reader's long comment</article></section>", "main text"),
+    ("<article></article><div>main text</div>", "main text"),
+    ("<article> <nav>x</nav></article><main>main text</main>", "main text"),
+    ("<main><p>main text, a long one</p><div><article>teaser</article></div></main>", "main text, a long one\nteaser"),
+    ("<div><h1>head</h1><article>part one, longer</article><article>part two</article></div><p>other", "head\npart one, longer\npart two"),
+    ("<body><article>part one, longer</article><p>other</p><article>part two</article>", "part one, longer\npart two"),
+    ("<article>outer <article>inner, the longer one</article></article>", "outer\ninner, the longer one"),
+    ("<body class=search><form><article>in a form</article></form>", "in a form"),
+    ("<aside><article>nothing else</article></aside>", "nothing else"),
+])
+def test_articles_are_looked_at_where_they_are(page, want):
+    tree = html.parse(page)
+    assert "\n".join(html.text_of(tree, root) for root in html.article(tree)) == want
+
+
 # -- languages -------------------------------------------------------------------------------------------------------
 
 SYLLABLES = {"aa": "the and ing shu wor".split(), "bb": "der und ein sch keit".split(), "cc": "привет мир как дела".split()}
