@@ -1,8 +1,9 @@
 """Main text of web pages, with removal of what a site repeats on its pages.
 
-Outside a page's article, every element's subtree has a hash of its tags, attributes and text. Spark counts for each host on how many pages a
-subtree occurs; subtrees that recur on many pages of the host are deleted where a page has no article of its own. An
-article may repeat a passage of another one, so nothing inside it counts as a template. What is left gives blocks of text.
+Every element's subtree has a hash of its tags, attributes and text, inside a page's article as well. Spark counts for each
+host on how many pages a subtree occurs, and subtrees that recur on many pages of the host are deleted. Articles may share
+passages, so paragraphs, headings and items inside an article must recur on more pages than boxes, lists and links. What is
+left gives blocks of text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from opslens.session import stored
 
 #: A subtree is a template if it is on at least so many pages of its host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: Prose and items inside an article are templates from this share of the host's pages on.
+PROSE_SHARE = 0.5
 #: Shortest subtree, in characters of text, that is counted: a lone dot may well recur.
 LEAST_TEXT = 2
 
@@ -39,6 +42,11 @@ NAMES = frozenset(
     "disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related share sharing sidebar side-bar "
     "skip social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search replies reply responses discussion".split()
 )
+#: Paragraphs and the like, and parts of lists and tables: articles may share one of them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre summary figcaption caption dt".split())
+ITEMS = frozenset("li dd tr td th tbody thead tfoot hgroup".split())
+#: Never a template, though what is in it may be one.
+NEVER = frozenset("html body head main article".split()) | RAW
 #: Start tags that end an open element of the same group.
 ENDS_P = BLOCK - {"body", "caption", "dd", "dt", "head", "html", "legend", "option", "optgroup", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -155,19 +163,23 @@ def article(tree: list[Element]) -> list[int]:
     return [shared[-1]] if len(found) == 1 or tree[shared[-1]].tag not in ("", "html", "body") else found
 
 
-def subtree_hashes(tree: list[Element], roots: list[int] = [0]) -> dict[int, int]:
-    """A 64-bit hash of each element with all below it, if it has text. What is in ``roots`` or around them has none."""
-    skip = [False] * len(tree)
+def _lone(tree: list[Element]) -> list[bool]:
+    """Whether an element stands for itself: not one inside a line of text, a paragraph or a heading."""
+    lone = [False] * len(tree)
+    holds = [True] + [False] * (len(tree) - 1)  # what is directly below may stand for itself
     for i in range(1, len(tree)):
-        skip[i] = roots != [0] and (i in roots or skip[tree[i].parent])
-    for root in roots:
-        for i in _around(tree, root):
-            skip[i] = True
+        one = tree[i]
+        within = holds[one.parent]
+        lone[i] = within or (one.tag in BLOCK and tree[one.parent].tag not in PROSE)
+        holds[i] = lone[i] and one.tag not in PROSE and not any(isinstance(p, str) and p.strip() for p in one.parts)
+    return lone
+
+
+def subtree_hashes(tree: list[Element]) -> dict[int, int]:
+    """A 64-bit hash of each element with all below it, if it has text and stands for itself."""
     hashes: dict[int, int] = {}
     sizes = [0] * len(tree)
     for i in range(len(tree) - 1, 0, -1):
-        if skip[i]:
-            continue
         one, content = tree[i], []
         for part in one.parts:
             if isinstance(part, int):
@@ -179,7 +191,20 @@ def subtree_hashes(tree: list[Element], roots: list[int] = [0]) -> dict[int, int
                 sizes[i] += len(text)
         data = "\0".join([one.tag, one.attributes, *content])
         hashes[i] = xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass")) - (1 << 63)
-    return {i: h for i, h in hashes.items() if sizes[i] >= LEAST_TEXT}
+    lone = _lone(tree)
+    return {i: h for i, h in hashes.items() if lone[i] and sizes[i] >= LEAST_TEXT and tree[i].tag not in NEVER}
+
+
+def needs_more(tree: list[Element], roots: list[int]) -> list[bool]:
+    """Whether an element is, or is in, prose or an item inside an article: a template at a higher share only."""
+    inside, more = [False] * len(tree), [False] * len(tree)
+    for i in roots if roots != [0] else []:
+        inside[i] = True
+    for i in range(1, len(tree)):
+        above = tree[i].parent
+        more[i] = inside[above] and (more[above] or tree[i].tag in PROSE or tree[i].tag in ITEMS)
+        inside[i] |= inside[above]
+    return more
 
 
 def named_out(element: Element) -> bool:
@@ -223,20 +248,26 @@ def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset())
     return "\n".join(blocks)
 
 
+def recurring(tree: list[Element], roots: list[int], known: set, wide: set) -> set[int]:
+    """The elements that are templates: those of a hash in ``known``, or in ``wide`` for prose and items of an article."""
+    more = needs_more(tree, roots)
+    return {i for i, h in subtree_hashes(tree).items() if h in (wide if more[i] else known)}
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``host, hashes``: the subtrees outside the article that recur on many pages of a host. A page counts a subtree
-    once. There are at most ``1 / least_share`` times as many for a host as a page has elements."""
+    """``host, hashes, wide``: the subtrees that recur on many pages of a host, and those of them on ``PROSE_SHARE`` of
+    its pages. A page counts a subtree once. There are at most ``1 / least_share`` times as many for a host as a page has elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, found = [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tree = parse(html or "")
-                own = set(subtree_hashes(tree, article(tree)).values())
+                own = set(subtree_hashes(tree).values())
                 found += own
                 hosts += [host] * len(own)
             yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
@@ -245,7 +276,8 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     counted = rows.groupBy("host", "hash").agg(F.count("*").alias("n"))
     total = pages.groupBy("host").agg(F.count("*").alias("pages"))
     many = counted.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    wide = F.when(F.col("n") >= F.lit(PROSE_SHARE) * F.col("pages"), F.col("hash"))
+    return many.groupBy("host").agg(F.collect_set("hash").alias("hashes"), F.collect_set(wide).alias("wide"))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -256,16 +288,15 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     """
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(stored(templates(rows, least_pages, least_share)), "host", "left").select("page_id", "url", "html", "hashes")
+    joined = rows.join(stored(templates(rows, least_pages, least_share)), "host", "left").select("page_id", "url", "html", "hashes", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for html, known, wide in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 tree = parse(html or "")
                 roots = article(tree)
-                known = set(drop) if drop and roots == [0] else set()
-                gone = {i for i, h in subtree_hashes(tree).items() if h in known} if known else set()
+                gone = recurring(tree, roots, set(known), set(wide)) if known else set()
                 texts.append("\n".join(filter(None, (text_of(tree, root, gone) for root in roots))))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -191,6 +191,19 @@ def test_articles_are_looked_at_where_they_are(page, want):
     assert "\n".join(html.text_of(tree, root) for root in html.article(tree)) == want
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_templates_inside_an_article_go_and_shared_prose_stays(spark):
+    box, links = "<div class=box><p>Get our letter</p></div>", "<ul><li><a href=/a>Read this too</a></li></ul>"
+    own = [f"the text of page {i} alone, which is about {'abcdefghijklmnopqrstuvwxyz'[i] * 30}" for i in range(20)]
+    shared = "<p>A passage that some articles share.</p><ul><li><b>Salt</b></li><li>{}</li></ul>"
+    rows = [(i, f"http://h/{i}", f"<article><h1>Head {i}</h1>{box}<p>{own[i]}, see <a href=/b>the same page</a>.</p>{shared.format(i) if i < 8 else ''}{links if i % 2 else ''}<p>Rights reserved</p></article>") for i in range(20)]
+    got = extracted(spark, rows)
+    assert got == {i: f"Head {i}\n{own[i]}, see the same page." + (f"\nA passage that some articles share.\nSalt\n{i}" if i < 8 else "") for i in range(20)}
+
+
 # -- languages -------------------------------------------------------------------------------------------------------
 
 SYLLABLES = {"aa": "the and ing shu wor".split(), "bb": "der und ein sch keit".split(), "cc": "привет мир как дела".split()}
