@@ -1,8 +1,8 @@
 """Main text of web pages, with removal of what a site repeats on its pages.
 
 Every element's subtree has a hash of its tags, attributes and text, inside a page's article as well. Spark counts for each
-host on how many pages a subtree occurs, and subtrees that recur on many pages of the host are deleted. Articles may share
-passages, so paragraphs, headings and items inside an article must recur on more pages than boxes, lists and links. What is
+host on how many distinct pages a subtree occurs, and subtrees that recur on many pages of the host are deleted. The block that
+holds most of a page's text is none of them, nor is the prose of a near copy of other pages. Articles may share passages, so paragraphs, headings and items inside an article must recur on more pages than boxes, lists and links. What is
 left gives blocks of text.
 """
 
@@ -47,6 +47,8 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre summary figcaption caption
 ITEMS = frozenset("li dd tr td th tbody thead tfoot hgroup".split())
 #: Never a template, though what is in it may be one.
 NEVER = frozenset("html body head main article".split()) | RAW
+#: Characters of own text from which on a block is taken for a paragraph.
+PARAGRAPH = 80
 #: Start tags that end an open element of the same group.
 ENDS_P = BLOCK - {"body", "caption", "dd", "dt", "head", "html", "legend", "option", "optgroup", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -248,34 +250,68 @@ def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset())
     return "\n".join(blocks)
 
 
+def candidates(tree: list[Element], roots: list[int]) -> dict[int, int]:
+    """The subtree hashes without the main text's own elements and the blocks that hold most of the page's text."""
+    sizes = measure(tree)[2]
+    most = sum(sizes[i] for i in roots) / 2
+    return {i: h for i, h in subtree_hashes(tree).items() if sizes[i] <= most and i not in roots}
+
+
 def recurring(tree: list[Element], roots: list[int], known: set, wide: set) -> set[int]:
-    """The elements that are templates: those of a hash in ``known``, or in ``wide`` for prose and items of an article."""
+    """The elements that are templates: those of a hash in ``known``, or in ``wide`` for prose and items of an article.
+
+    A page most of whose prose recurs is a near copy of others and keeps it all: what holds no prose goes alone. A
+    block with a paragraph's worth of text of its own counts as prose here, and all text does where there is none.
+    """
     more = needs_more(tree, roots)
-    return {i for i, h in subtree_hashes(tree).items() if h in (wide if more[i] else known)}
+    found = {i for i, h in candidates(tree, roots).items() if h in (wide if more[i] else known)}
+    if not found:
+        return found
+    out, _, sizes = measure(tree)
+    prose = [0] * len(tree)
+    gone = [0] * len(tree)  # characters of prose in templates
+    for by_tag in (True, False):
+        for i in range(len(tree) - 1, -1, -1):
+            one = tree[i]
+            below = [part for part in one.parts if isinstance(part, int) and not out[part]]
+            if not by_tag or one.tag in PROSE or (one.tag in BLOCK and sum(len(p) for p in one.parts if isinstance(p, str)) >= PARAGRAPH):
+                prose[i] = sizes[i]
+            else:
+                prose[i] = sum(prose[part] for part in below)
+            gone[i] = prose[i] if i in found else sum(gone[part] for part in below)
+        if any(prose[i] for i in roots):
+            break
+    if 2 * sum(gone[i] for i in roots) <= sum(prose[i] for i in roots):
+        return found
+    return {i for i in found if not prose[i]}
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``host, hashes, wide``: the subtrees that recur on many pages of a host, and those of them on ``PROSE_SHARE`` of
-    its pages. A page counts a subtree once. There are at most ``1 / least_share`` times as many for a host as a page has elements."""
+def page_hashes(pages: DataFrame) -> DataFrame:
+    """``page, host, hashes`` for each distinct page of a host: copies are one page. The hash 0 is the page's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = []
+            for html in batch.column(2).to_pylist():
                 tree = parse(html or "")
-                own = set(subtree_hashes(tree).values())
-                found += own
-                hosts += [host] * len(own)
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
-
-    rows = small_batches(pages.select("host", "html")).mapInArrow(run, "host string, hash long")
-    counted = rows.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    many = counted.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages"))
+                found.append([0, *set(candidates(tree, article(tree)).values())])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["page", "host", "hashes"])
+
+    rows = small_batches(pages.select("page", "host", "html")).mapInArrow(run, "page long, host string, hashes array<long>")
+    return rows.groupBy("page").agg(F.first("host").alias("host"), F.first("hashes").alias("hashes"))
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """``host, hashes, wide``: the subtrees that recur on many distinct pages of a host, and those of them on
+    ``PROSE_SHARE`` of its pages. There are at most ``1 / least_share`` times as many for a host as a page has elements."""
+    counted = page_hashes(pages).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counted = stored(counted.where((F.col("n") >= least_pages) | (F.col("hash") == 0)))
+    total = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
+    many = counted.where("hash <> 0").join(total, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages"))
     wide = F.when(F.col("n") >= F.lit(PROSE_SHARE) * F.col("pages"), F.col("hash"))
     return many.groupBy("host").agg(F.collect_set("hash").alias("hashes"), F.collect_set(wide).alias("wide"))
 
@@ -288,6 +324,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     """
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    rows = rows.withColumn("page", F.xxhash64("host", "html"))
     joined = rows.join(stored(templates(rows, least_pages, least_share)), "host", "left").select("page_id", "url", "html", "hashes", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -204,6 +204,29 @@ def test_templates_inside_an_article_go_and_shared_prose_stays(spark):
     assert got == {i: f"Head {i}\n{own[i]}, see the same page." + (f"\nA passage that some articles share.\nSalt\n{i}" if i < 8 else "") for i in range(20)}
 
 
+def test_copies_and_near_copies_keep_their_text(spark):
+    body = "".join(f"<p>Paragraph {k} of the copied page</p>" for k in range(6))
+    other = [f"<html><body><div>Top of the site</div><p>the text of page {i} alone, of some length</p></body></html>" for i in range(12)]
+    whole = [f"<html><body><div>Top of the site</div>{body}</body></html>"] * 9
+    near = [f"<html><body><div>Top of the site</div>{body.replace('copied', 'other')}<p>seen {i} times</p></body></html>" for i in range(9)]
+    held = [f"<title>{i}</title><body><div>Top of the site</div><div class=x>{body.replace('copied', 'third')}</div></body>" for i in range(9)]
+    parted = [f"<div>Top of the site</div>" + "".join(f"<section><h2>Part {k}</h2><p>Paragraph {k} of parts</p></section>" for k in range(4)) + f"<p>{i}" for i in range(9)]
+    for url in ("http://h/{}", None):
+        pages = [*other, *whole, *near, *held, *parted, "", None]
+        got = extracted(spark, [(i, url and url.format(i), x) for i, x in enumerate(pages)])
+        text = "\n".join(f"Paragraph {k} of the copied page" for k in range(6))
+        want = [f"the text of page {i} alone, of some length" for i in range(12)] + [text] * 9
+        want += [text.replace("copied", "other") + f"\nseen {i} times" for i in range(9)] + [text.replace("copied", "third")] * 9
+        want += ["\n".join(f"Part {k}\nParagraph {k} of parts" for k in range(4)) + f"\n{i}" for i in range(9)] + ["", ""]
+        assert got == dict(enumerate(want))
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<div>A remark of this page</div><p>own text of the page, a good deal of it</p>"
+    got = extracted(spark, [(i, f"http://h/{i}", page if i < 20 else page.replace("own", f"other {i}")) for i in range(23)])
+    assert all(text.startswith("A remark of this page\n") for text in got.values())
+
+
 # -- languages -------------------------------------------------------------------------------------------------------
 
 SYLLABLES = {"aa": "the and ing shu wor".split(), "bb": "der und ein sch keit".split(), "cc": "привет мир как дела".split()}
