@@ -1,7 +1,7 @@
 """Main text of web pages, with removal of what a site repeats on its pages.
 
 Every element's subtree has a hash of its tags, attributes and text, inside a page's article as well. Spark counts for each
-host on how many distinct pages a subtree occurs, and subtrees that recur on many pages of the host are deleted. The block that
+host on how many distinct pages a subtree occurs, and subtrees that recur on at least five pages of the host are deleted. The block that
 holds most of a page's text is none of them, nor is the prose of a near copy of other pages. Articles may share passages, so paragraphs, headings and items inside an article must recur on more pages than boxes, lists and links. What is
 left gives blocks of text.
 """
@@ -13,18 +13,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.support import small_batches
+from opslens.operators.joins import join_lookup
 from opslens.session import stored
 
-#: A subtree is a template if it is on at least so many pages of its host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A subtree is a template if it is on at least so many distinct pages of its host, however large the host is.
+LEAST_PAGES = 5
 #: Prose and items inside an article are templates from this share of the host's pages on.
 PROSE_SHARE = 0.5
+#: Most templates that are sent to all tasks: 36 MB.
+MOST_BROADCAST = 1 << 22
 #: Shortest subtree, in characters of text, that is counted: a lone dot may well recur.
 LEAST_TEXT = 2
 
@@ -144,14 +148,14 @@ def _outermost(tree: list[Element], found: list[int]) -> list[int]:
     return [i for i in found if not held.intersection(_around(tree, i)[:-1])]
 
 
-def article(tree: list[Element]) -> list[int]:
+def article(tree: list[Element], measured: tuple | None = None) -> list[int]:
     """Where the main text is: the article elements, else the main elements, else the whole page.
 
     Those without text, and those in or of what is left out (a teaser in an aside, a reader's comment) do not count
     unless the page has no other text. Of several, the element around them all is taken, or each of them in page order
     if that is the body. A main element that holds more text beside its articles than in them is taken itself.
     """
-    out, away, sizes = measure(tree)
+    out, away, sizes = measured or measure(tree)
     kinds = [[i for i, e in enumerate(tree) if sizes[i] and is_one(e)] for is_one in (lambda e: e.tag == "article", lambda e: e.tag == "main" or 'role="main"' in e.attributes)]
     articles, mains = (_outermost(tree, [i for i in kind if not (out[i] or away[i])]) for kind in kinds)
     found = articles or mains
@@ -177,8 +181,9 @@ def _lone(tree: list[Element]) -> list[bool]:
     return lone
 
 
-def subtree_hashes(tree: list[Element]) -> dict[int, int]:
-    """A 64-bit hash of each element with all below it, if it has text and stands for itself."""
+def subtree_hashes(tree: list[Element], host: str) -> dict[int, int]:
+    """A 64-bit hash, by host, of each element with all below it, if it has text and stands for itself."""
+    seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
     hashes: dict[int, int] = {}
     sizes = [0] * len(tree)
     for i in range(len(tree) - 1, 0, -1):
@@ -192,7 +197,7 @@ def subtree_hashes(tree: list[Element]) -> dict[int, int]:
                 content.append(f"={text}")
                 sizes[i] += len(text)
         data = "\0".join([one.tag, one.attributes, *content])
-        hashes[i] = xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass")) - (1 << 63)
+        hashes[i] = xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
     lone = _lone(tree)
     return {i: h for i, h in hashes.items() if lone[i] and sizes[i] >= LEAST_TEXT and tree[i].tag not in NEVER}
 
@@ -250,24 +255,26 @@ def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset())
     return "\n".join(blocks)
 
 
-def candidates(tree: list[Element], roots: list[int]) -> dict[int, int]:
+def candidates(tree: list[Element], roots: list[int], measured: tuple, host: str) -> dict[int, int]:
     """The subtree hashes without the main text's own elements and the blocks that hold most of the page's text."""
-    sizes = measure(tree)[2]
+    sizes = measured[2]
     most = sum(sizes[i] for i in roots) / 2
-    return {i: h for i, h in subtree_hashes(tree).items() if sizes[i] <= most and i not in roots}
+    return {i: h for i, h in subtree_hashes(tree, host).items() if sizes[i] <= most and i not in roots}
 
 
-def recurring(tree: list[Element], roots: list[int], known: set, wide: set) -> set[int]:
+def recurring(tree: list[Element], roots: list[int], measured: tuple, hashes: dict[int, int], known: set, wide: set) -> set[int]:
     """The elements that are templates: those of a hash in ``known``, or in ``wide`` for prose and items of an article.
 
     A page most of whose prose recurs is a near copy of others and keeps it all: what holds no prose goes alone. A
     block with a paragraph's worth of text of its own counts as prose here, and all text does where there is none.
     """
+    if not known:
+        return set()
     more = needs_more(tree, roots)
-    found = {i for i, h in candidates(tree, roots).items() if h in (wide if more[i] else known)}
+    found = {i for i, h in hashes.items() if h in (wide if more[i] else known)}
     if not found:
         return found
-    out, _, sizes = measure(tree)
+    out, _, sizes = measured
     prose = [0] * len(tree)
     gone = [0] * len(tree)  # characters of prose in templates
     for by_tag in (True, False):
@@ -286,6 +293,15 @@ def recurring(tree: list[Element], roots: list[int], known: set, wide: set) -> s
     return {i for i in found if not prose[i]}
 
 
+def chosen(hashes: dict[int, int], known: np.ndarray, wide: np.ndarray) -> tuple[set, set]:
+    """Which of a page's hashes are among the sorted ``known`` ones, and which of those are wide."""
+    own = np.fromiter(hashes.values(), np.int64, len(hashes))
+    at = np.searchsorted(known, own)
+    here = at < len(known)
+    here[here] = known[at[here]] == own[here]
+    return set(own[here].tolist()), set(own[here][wide[at[here]]].tolist())
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
@@ -296,45 +312,62 @@ def page_hashes(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for html in batch.column(2).to_pylist():
+            for host, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 tree = parse(html or "")
-                found.append([0, *set(candidates(tree, article(tree)).values())])
+                measured = measure(tree)
+                found.append([0, *set(candidates(tree, article(tree, measured), measured, host).values())])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["page", "host", "hashes"])
 
     rows = small_batches(pages.select("page", "host", "html")).mapInArrow(run, "page long, host string, hashes array<long>")
     return rows.groupBy("page").agg(F.first("host").alias("host"), F.first("hashes").alias("hashes"))
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``host, hashes, wide``: the subtrees that recur on many distinct pages of a host, and those of them on
-    ``PROSE_SHARE`` of its pages. There are at most ``1 / least_share`` times as many for a host as a page has elements."""
-    counted = page_hashes(pages).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``hash, wide``: the subtrees on ``least_pages`` or more distinct pages of their host, and whether they are on
+    ``PROSE_SHARE`` of its pages. ``found`` is what ``page_hashes`` returns."""
+    counted = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     counted = stored(counted.where((F.col("n") >= least_pages) | (F.col("hash") == 0)))
     total = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
-    many = counted.where("hash <> 0").join(total, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages"))
-    wide = F.when(F.col("n") >= F.lit(PROSE_SHARE) * F.col("pages"), F.col("hash"))
-    return many.groupBy("host").agg(F.collect_set("hash").alias("hashes"), F.collect_set(wide).alias("wide"))
+    many = join_lookup(counted.where("hash <> 0"), total, "host")
+    return many.select("hash", (F.col("n") >= F.lit(PROSE_SHARE) * F.col("pages")).alias("wide"))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(
+    pages: DataFrame, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST
+) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row.
 
     A null page counts as empty, and a null url as a host of its own name (the empty one). Ids and urls may be null
-    or repeat; each row is a page. Further columns are ignored; an empty table gives an empty result.
+    or repeat; each row is a page. Further columns are ignored; an empty table gives an empty result. Up to
+    ``most_broadcast`` templates are sent to all tasks; more are joined to the pages that hold them.
     """
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     rows = rows.withColumn("page", F.xxhash64("host", "html"))
-    joined = rows.join(stored(templates(rows, least_pages, least_share)), "host", "left").select("page_id", "url", "html", "hashes", "wide")
+    found = page_hashes(rows)
+    known = stored(templates(found, least_pages))
+    if known.count() <= most_broadcast:
+        local = known.orderBy("hash").toArrow()
+        sent = pages.sparkSession.sparkContext.broadcast((local["hash"].to_numpy(), local["wide"].to_numpy()))
+        given = rows.select("page_id", "url", "html", "host")
+    else:
+        sent = None
+        held = join_lookup(found.select("page", F.explode("hashes").alias("hash")), known, "hash")
+        held = held.groupBy("page").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("wide"), F.col("hash"))).alias("wide"))
+        given = join_lookup(rows, stored(held), "page", "left").select("page_id", "url", "html", "host", "hashes", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, known, wide in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            lists = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
+            for html, host, *own in zip(*lists):
                 tree = parse(html or "")
-                roots = article(tree)
-                gone = recurring(tree, roots, set(known), set(wide)) if known else set()
+                measured = measure(tree)
+                roots = article(tree, measured)
+                hashes = candidates(tree, roots, measured, host) if sent or own[0] else {}
+                known, wide = chosen(hashes, *sent.value) if sent else map(set, (own[0] or (), own[1] or ()))
+                gone = recurring(tree, roots, measured, hashes, known, wide)
                 texts.append("\n".join(filter(None, (text_of(tree, root, gone) for root in roots))))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return small_batches(joined).mapInArrow(run, f"page_id {id_type}, url {url_type}, text string, n_chars long")
+    return small_batches(given).mapInArrow(run, f"page_id {id_type}, url {url_type}, text string, n_chars long")

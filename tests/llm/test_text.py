@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fixtures import DOCS_DDL, corpus, ordered, prose, sha
 from opslens.llm import html, language, pii, quality
+from opslens.operators import joins
 
 
 @pytest.fixture(scope="module")
@@ -227,6 +228,23 @@ def test_copies_of_a_page_count_once(spark):
     assert all(text.startswith("A remark of this page\n") for text in got.values())
 
 
+def test_templates_of_a_section_go_on_a_large_host(spark, monkeypatch):
+    menu, notice = "<div><a href=/s>Section</a></div>", "<div>Closed on Sundays</div>"
+    rows = [(i, "http://large/", f"{menu if i < 30 else ''}<p>the text of page {i} alone, of some length</p>{notice if 10 < i < 20 else ''}") for i in range(400)]
+    rows += [(1000 + i, f"http://small{i % 2}/", f"{notice}<p>the text of page {i} alone, of some length</p>") for i in range(9)]
+    rows += [(2000, "http://large/", rows[12][2])] * 300
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    want = {i: f"the text of page {i} alone, of some length" for i in range(400)}
+    want |= {1000 + i: f"{'Closed on Sundays' + chr(10) if i % 2 else ''}the text of page {i} alone, of some length" for i in range(9)} | {2000: want[12]}
+    assert got == want
+    monkeypatch.setattr(joins, "HOT_PARTITIONS", 0.5)
+    small = joins.join_lookup.__kwdefaults__ | {"small_rows": 0, "hot_sample": 1.0}
+    monkeypatch.setattr(joins.join_lookup, "__kwdefaults__", small)
+    assert ordered(html.extract(df, most_broadcast=0).collect()) == ordered(html.extract(df).collect())
+    assert html.extract(df, most_broadcast=0).count() == len(rows)
+
+
 # -- languages -------------------------------------------------------------------------------------------------------
 
 SYLLABLES = {"aa": "the and ing shu wor".split(), "bb": "der und ein sch keit".split(), "cc": "привет мир как дела".split()}
