@@ -16,8 +16,6 @@ from opslens.session import stored
 
 #: Least share of a document's letters in its language.
 LEAST_SCORE = 0.5
-#: Keys that stand for missing ids lie above this number; an id does not.
-_NO_ID = (1 << 63) - (1 << 50)
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -41,10 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component: the one of the smallest id, and of equal ids the one whose text has the
     smallest hash. A document without an id stays only where no other has one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 49))))
-    groups = simhash.near_duplicates(keyed, id_col="_key")
-    first = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct())
-    one = Window.partitionBy("_key").orderBy(F.xxhash64(text))
+    # ids may be shared by different texts, so a row is known by its id and its text
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), text))
+    groups = simhash.near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), "_key")
+    ranked = keyed.select("_key", order.alias("order")).distinct().join(groups, "_key")
+    first = stored(ranked.groupBy("component_id").agg(F.min("order").alias("first")).select("first._key"))
+    one = Window.partitionBy("_key").orderBy("_key")
     kept = keyed.join(first, "_key", "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1")
     return kept.select(*docs.columns)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from fixtures import DOCS_DDL, corpus, ordered, simhash_rows, suffix_rows
+from fixtures import DOCS_DDL, corpus, ordered, prose, simhash_rows, suffix_rows
 from opslens.llm import packing, pii, queries, topk
 from opslens.session import stored
 from oracle import compare, connect
@@ -87,6 +87,15 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(r[0] for r in after) == sorted(groups) and set(after) <= set(before)
 
 
+def test_each_group_keeps_a_document_where_ids_are_shared(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (2, c), (1, a), (None, c), (3, c + " x"), (None, None), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text or "") for r in pipeline.drop_near_duplicates(spark, df, FOLDER).collect()]
+    assert ordered(got) == ordered([(1, a), (1, b), (2, c), (None, "")])
+
+
 def test_repeats_are_cut(stages):
     before, after = rows_of(stages[2]), rows_of(stages[3])
     want = {r[0]: n for r, (_, _, n, _, _) in zip(before, suffix_rows(before, 400))}
