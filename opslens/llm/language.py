@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.support import bounded_sample, per_batch, small_batches, utf8
+from opslens.llm.support import per_batch, small_batches, utf8
 
-#: Labelled documents from which is learned at most, chosen by the hash of their ids.
+#: Labelled documents of each language from which is learned, about: all up to so many, of more that share by their hash.
 TRAINING_DOCS = 20_000
 #: Hash buckets of character triples.
 BUCKETS = 1 << 16
@@ -26,6 +26,7 @@ PENALTY = 12.0
 LEAST_SCRIPT = 0.01
 UNKNOWN = "und"
 _PACK = 1 << 19
+_SLOTS = 1 << 24
 
 #: Ranges of code points and the script they belong to; what is in none counts as one more script.
 SCRIPTS = (
@@ -162,7 +163,8 @@ def packs(texts: list[str]) -> Iterator[list[str]]:
 
 
 def learn(docs: DataFrame, training_docs: int = TRAINING_DOCS, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a bounded sample of rows with a language. Without any, every text is of unknown language."""
+    """A model from a sample of about ``training_docs`` rows of each language, so that none crowds out another. Without
+    any, every text is of unknown language."""
     table = letter_scripts()
     sent = docs.sparkSession.sparkContext.broadcast(table)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
@@ -182,7 +184,9 @@ def learn(docs: DataFrame, training_docs: int = TRAINING_DOCS, penalty: float =
                     counts += n.tolist()
         return pa.record_batch([pa.array(langs, pa.string()), pa.array(buckets, pa.int64()), pa.array(counts, pa.int64())], ["lang", "bucket", "n"])
 
-    sample = bounded_sample(labelled, "id", training_docs).select("lang", "text")
+    labelled = labelled.withColumn("h", F.xxhash64("id", "text"))
+    counts = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("docs"))  # a row for each language
+    sample = labelled.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(_SLOTS)) * F.col("docs") < F.lit(_SLOTS * training_docs)).select("lang", "text")
     rows = per_batch(sample, "lang string, bucket long, n long", run).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(rows["lang"].to_pylist()))
     counts = np.zeros((BUCKETS + OTHER + 1, len(languages)))

@@ -269,6 +269,17 @@ def test_languages(spark, model):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(9)
+    rare = "".join(chr(c) for c in range(0x10D0, 0x10F0))
+    rows = [(i, prose(rng, 30), "en") for i in range(2000)] + [(5000 + i, "".join(rng.choice(rare + "   ") for _ in range(300)), "ka") for i in range(2)]
+    df = spark.createDataFrame([*rows, (None, rows[-1][1], "ka")], "doc_id long, text string, lang string").repartition(4)
+    learned = language.learn(df, training_docs=50)
+    assert learned.languages == ["en", "ka"]
+    got = {(r.lang, r.lang_pred) for r in language.predict(df, learned).collect()}
+    assert got == {("en", "en"), ("ka", "ka")}
+
+
 def test_spans_of_mixed_text(spark, model):
     rng = random.Random(3)
     text = spoken(rng, "aa", 30) + ". " + spoken(rng, "bb", 50) + " 12 " + spoken(rng, "cc", 10)
