@@ -30,13 +30,3 @@ def frame(spark):
         return spark.createDataFrame(rows, ddl)
 
     return make
-
-
-def rows(df) -> list[tuple]:
-    return [tuple(r) for r in df.collect()]
-
-
-def row_set(df) -> set[tuple]:
-    found = rows(df)
-    assert len(set(found)) == len(found)
-    return set(found)

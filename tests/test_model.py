@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from conftest import row_set, rows
+from helpers import row_set, rows
 from pyspark.sql import functions as F
 
 from opslens.operators import model

@@ -5,7 +5,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import row_set, rows
+from helpers import row_set, rows
 from pyspark.sql import functions as F
 
 from opslens.operators import quality

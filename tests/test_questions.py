@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
-from conftest import row_set, rows
+from helpers import row_set, rows
 from pyspark.sql import functions as F
 
 from opslens.operators import distributions, features, kpis, measures, trends

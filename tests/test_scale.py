@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pytest
-from conftest import row_set, rows
+from helpers import row_set, rows
 from pyspark.sql import functions as F
 
 from opslens.operators import joins
