@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,19 +90,20 @@ def mix_long(df: DataFrame, group: str, kind: str, digits: int = 4) -> DataFrame
 def correlations(df: DataFrame, fields: Sequence[str], digits: int = 6) -> DataFrame:
     """Pearson correlation of all field pairs over the rows where both are known: (field_a, field_b, corr).
 
-    NULL for a constant field. All pairs come from one pass, and only (number of pairs) rows leave it.
+    NULL for a constant field. The co-moments of all pairs are one aggregate, which merges: a task keeps one row of them,
+    and one row for each task leaves it.
     """
     row = df.select(*[F.col(c).cast("double").alias(c) for c in fields])
-    pairs = [(a, a) for a in fields] + list(combinations(fields, 2))
-    cells = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs]
-    )
-    long = row.select(F.explode(cells).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    spread = F.stddev_samp("x") * F.stddev_samp("y")
-    upper = long.groupBy("a", "b").agg(half_up(F.try_divide(F.covar_samp("x", "y"), spread), digits).alias("corr"))
-    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
-        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    )
-    return upper.select(F.explode(ends).alias("e"), "corr").select(
-        F.col("e.a").alias("field_a"), F.col("e.b").alias("field_b"), "corr"
-    )
+    cells = {}
+    for i, a in enumerate(fields):
+        cells[i, i] = F.when(F.var_samp(a) > 0, F.lit(1.0))
+        for j in range(i + 1, len(fields)):
+            both = F.col(a).isNotNull() & F.col(fields[j]).isNotNull()
+            x, y = F.when(both, F.col(a)), F.when(both, F.col(fields[j]))
+            cells[i, j] = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    moments = row.agg(*[half_up(c, digits).alias(f"{i}_{j}") for (i, j), c in cells.items()])
+    mirrored = {f"{j}_{i}": F.col(f"{i}_{j}") for i, j in cells if i != j}
+    every = moments.withColumns(mirrored) if mirrored else moments
+    names, places = F.array(*map(F.lit, fields)), F.split("cell", "_")
+    long = every.unpivot([], every.columns, "cell", "corr")
+    return long.select(F.get(names, places[0].cast("int")).alias("field_a"), F.get(names, places[1].cast("int")).alias("field_b"), "corr")

@@ -75,9 +75,15 @@ def describe(df: DataFrame, fields: Sequence[str], digits: int = 2, task_rows: i
         *[F.struct(F.lit(c).alias("field"), *[of(c).alias(name) for name, of in basics.items()]).alias(c) for c in fields]
     )
     basic = settle(row.select(F.explode(F.array(*fields)).alias("s")).select("s.*"))
-    long = wide.unpivot([], list(fields), "field", "value")
     points = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    quartiles = group_quantiles(long, ["field"], "value", points, sizes=basic, task_rows=task_rows)
+    if (basic.agg(F.max("n")).first()[0] or 0) <= task_rows:
+        # few enough values for one aggregate: a row of quartiles for each field, and no row per value
+        picked = [F.struct(F.lit(c).alias("field"), F.percentile(c, list(points.values())).alias("q")).alias(c) for c in fields]
+        each = wide.agg(*picked).select(F.explode(F.array(*fields)).alias("s")).select("s.*")
+        quartiles = each.select("field", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(points)])
+    else:
+        long = wide.unpivot([], list(fields), "field", "value")
+        quartiles = group_quantiles(long, ["field"], "value", points, sizes=basic, task_rows=task_rows)
     numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
     return basic.join(quartiles, "field", "left").select(
         "field", "n", *[half_up(F.col(c), digits).alias(c) for c in numbers]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.operators.joins import join_lookup, settle
 from opslens.operators.running import numbered
+from opslens.session import stored
 
 SLOT_BITS = 16  # leading bits of the hash by which rows are counted before a split
 HASH_DIGITS = 13  # hex digits of the hash in use: 52 bits, exact in a double as well
@@ -36,8 +37,10 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], train_share:
     the hash at the cut are interchangeable, and as many as needed are taken.
     """
     hashed = df.select("*", F.struct(label).alias("_group"), key_hash(key).alias("_hash"))
+    # counting passes read the hashes only, which are taken once
+    slim = stored(hashed.select("_group", "_hash"))
     slot = F.shiftright("_hash", 4 * HASH_DIGITS - SLOT_BITS).alias("_slot")
-    counts = hashed.groupBy("_group", slot).agg(F.count(F.lit(1)).alias("_n"))
+    counts = slim.groupBy("_group", slot).agg(F.count(F.lit(1)).alias("_n"))
     wanted = F.floor(F.sum("_n").over(Window.partitionBy("_group")) * F.lit(float(train_share))).alias("_train")
     upto = F.sum("_n").over(_before("_slot")).alias("_upto")
     at_cut = (F.col("_upto") - F.col("_n") < F.greatest("_train", F.lit(1))) & (F.greatest("_train", F.lit(1)) <= F.col("_upto"))
@@ -45,7 +48,7 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], train_share:
         counts.select("_group", "_slot", "_n", wanted, upto).where(at_cut)
         .select("_group", "_slot", (F.col("_train") - (F.col("_upto") - F.col("_n"))).alias("_left"))
     )
-    inside = join_lookup(hashed.select("_group", slot, "_hash"), slots, ["_group", "_slot"])
+    inside = join_lookup(slim.select("_group", slot, "_hash"), slots, ["_group", "_slot"])
     ranked = inside.groupBy("_group", "_left", "_hash").agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked.withColumn("_upto", F.sum("_n").over(_before("_hash")))
     least = F.greatest("_left", F.lit(1))

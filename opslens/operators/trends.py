@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opslens.functions.scalar import half_up, month_label, month_start, ratio
+from opslens.operators.joins import settle
+from opslens.session import stored
 
 
 def monthly_counts(facts: DataFrame, date: str) -> DataFrame:
@@ -19,9 +21,13 @@ def monthly_trend(facts: DataFrame, date: str, periods: int = 3, min_periods: in
 
     The mean is NULL until ``min_periods`` rows are there.
     """
+    return trend_of_counts(monthly_counts(facts, date), periods, min_periods)
+
+
+def trend_of_counts(counts: DataFrame, periods: int = 3, min_periods: int = 1) -> DataFrame:
+    """``monthly_trend`` of the rows per month."""
     order = Window.orderBy("month")
     last = order.rowsBetween(1 - periods, Window.currentRow)
-    counts = monthly_counts(facts, date)
     average = F.when(F.count(F.lit(1)).over(last) >= min_periods, half_up(F.avg("admissions").over(last), 1))
     return counts.select(
         F.col("month").alias("admission_month"),
@@ -93,3 +99,48 @@ def calendar_days(span: DataFrame) -> DataFrame:
     return days.select(
         "date", F.year(date).alias("year"), F.month(date).alias("month"), (F.weekday(date) >= 5).alias("is_weekend")
     )
+
+
+# --- a series kept up to date from load to load -----------------------------------------------------------
+
+
+def add_load(state: str, facts: DataFrame, date: str, load: str) -> DataFrame:
+    """Adds the rows of a load to the monthly state in the folder ``state``, and returns the months it has changed.
+
+    The state has one row per month and load, partitioned by month. A load writes only the partitions of its months,
+    whose other rows are read and written with it; a load that is run again replaces what it added before, so a rerun
+    after a failure counts nothing twice. Its months are those of the rows it has now and of those it had.
+    """
+    spark = facts.sparkSession
+    new = monthly_counts(facts, date).select(
+        F.lit(load).alias("load"), F.col("admissions").alias("n_rows"), F.date_format("month", "yyyy-MM-dd").alias("month")
+    )
+    before = read_state(spark, state)
+    if before is None:
+        changed = stored(new)
+        kept = changed.limit(0)
+    else:
+        new = stored(new)
+        months = stored(new.select("month").unionByName(before.where(F.col("load") == load).select("month")).distinct())
+        others = before.where(F.col("load") != load)
+        kept = stored(others.join(F.broadcast(settle(months)), "month", "left_semi").select("load", "n_rows", "month"))
+        # a month that the load has left keeps a row, so that its partition is written anew
+        gone = months.join(new.select("month"), "month", "left_anti").select(F.lit(load).alias("load"), F.lit(0).cast("long").alias("n_rows"), "month")
+        changed = new.unionByName(gone)
+    written = stored(kept.unionByName(changed))
+    written.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(state)
+    return written.select("month").distinct()
+
+
+def read_state(spark: SparkSession, state: str) -> DataFrame | None:
+    """``load, n_rows, month`` of the monthly state; None before the first load."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(state)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema("load string, n_rows long, month string").parquet(state)
+
+
+def trend_of_state(spark: SparkSession, state: str, periods: int = 3, min_periods: int = 1) -> DataFrame:
+    """The monthly trend from the state alone: one row per month and load is read, and no fact."""
+    months = read_state(spark, state).groupBy(F.to_date("month").alias("month")).agg(F.sum("n_rows").alias("admissions"))
+    return trend_of_counts(months.where("admissions > 0"), periods, min_periods)

@@ -132,6 +132,18 @@ class TestTables:
     def order_surveys(self) -> DataFrame:
         return self.surveys().select(F.col("doc_id").alias("admission_id"), F.col("score").alias("satisfaction_score"))
 
+    def second_orders(self) -> DataFrame:
+        """A copy of the orders in which some are missing, some have another price, and some are new."""
+        orders = self.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+        key = F.col("o_orderkey")
+        changed = F.when(key % 1009 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+        kept = orders.where(key % 997 != 5).withColumn("o_totalprice", changed)
+        new = self.read("customer").where(F.col("c_custkey") % 101 == 7).select(
+            (F.col("c_custkey") * 1000 + 10**9).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"),
+            F.lit("O").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"),
+        )
+        return kept.unionByName(new)
+
     # Raw labels and scores.
 
     def raw_labels(self) -> DataFrame:
@@ -142,6 +154,23 @@ class TestTables:
         raw = F.when(odd, F.lower("n_name")).otherwise(F.col("n_name"))
         return joined.select("s_suppkey", "s_nationkey", raw.alias("raw_label"))
 
+    def misspelt_labels(self) -> DataFrame:
+        """Customers with a label of their segment and nation, a part of them with a slip in its letters."""
+        people = self.read("customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
+        joined = join_lookup(people, self.read("nation").select("n_nationkey", "n_name"), "n_nationkey")
+        label = F.concat("c_mktsegment", F.lit(" "), "n_name")
+        rest = lambda start: F.substr(label, F.lit(start), F.lit(100))
+        part = lambda start, n: F.substr(label, F.lit(start), F.lit(n))
+        slips = [
+            F.lower(label), F.concat(part(1, 2), rest(4)), F.concat(part(1, 4), part(4, 1), rest(5)), F.concat(part(1, 1), part(3, 1), part(2, 1), rest(4)),
+            F.concat(part(1, 4), F.lit("x"), rest(6)), F.concat(label, F.lit(" .")), F.replace(label, F.lit(" "), F.lit("-")),
+        ]
+        kind = F.col("c_custkey") % 16
+        raw = label
+        for i, slip in enumerate(slips):
+            raw = F.when(kind == i, slip).otherwise(raw)
+        return joined.select("c_custkey", raw.alias("raw_label"))
+
     def nation_labels(self) -> DataFrame:
         return self.read("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("label"))
 
@@ -172,7 +201,7 @@ class TestTables:
         """The measures' columns next to the parts of the ship date and the supplier's region."""
         date = F.col("l_shipdate")
         lines = self.lines().select(
-            "l_suppkey", F.year(date).alias("year"), F.month(date).alias("month"), F.col("stay_days").alias("length_of_stay_days"),
+            "l_suppkey", "l_partkey", F.year(date).alias("year"), F.month(date).alias("month"), F.col("stay_days").alias("length_of_stay_days"),
             F.col("gross").alias("gross_charge"), (F.col("gross") - F.col("cost")).alias("margin"),
             F.lit(None).cast("double").alias("wait_minutes"), F.lit(None).cast("double").alias("satisfaction_score"),
             F.col("flag").alias("readmitted_30d"), F.lit(None).cast("string").alias("discharge_efficiency_bucket"),

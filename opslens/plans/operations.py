@@ -3,7 +3,7 @@
     python -m opslens.plans.operations --raw RAW_FOLDER --out OUT_FOLDER
 
 Each function below takes and returns frames; ``run`` strings them together and writes every stage, so that a
-later stage reads a table and not the whole plan before it.
+later stage reads a table and not the whole plan before it. ``publish`` makes a run visible when it has ended well.
 """
 
 from __future__ import annotations
@@ -11,15 +11,17 @@ from __future__ import annotations
 import argparse
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions.scalar import half_up, ratio
 from opslens.operators import cleaning, distributions, features, kpis, measures, model, quality, trends
+from opslens.operators.observed import observed_write
 from opslens.operators.rollups import Hop
 from opslens.operators.sampling import stratified_split
 from opslens.session import build_session, input_size, run_folder, shuffle_partitions_for, spread, stored
 from opslens.sources import tables as io
+from opslens.sources.publish import Published
 from opslens.sources.schemas import NATURAL_KEY
 
 Frames = Mapping[str, DataFrame]
@@ -29,6 +31,7 @@ WINDOW_DAYS = 1096
 CLIPPED = ["length_of_stay_days", "severity_score"]
 ADMISSION_TYPES = ["Emergency", "Urgent", "Elective", "Newborn", "Trauma"]
 EMPLOYMENT = ["Full-Time", "Part-Time", "Contract"]
+RESULTS = ["raw", "quality", "profile", "tables", "cleaned", "query_results", "dashboard_data", "charts", "measures"]
 KPI_METRICS = [
     "total_admissions", "avg_los_days", "readmission_rate_pct", "avg_wait_minutes", "avg_discharge_efficiency",
     "avg_satisfaction", "gross_billings",
@@ -86,17 +89,18 @@ def clean(raw: Frames) -> tuple[DataFrame, DataFrame]:
     return cleaning.iqr_clip(slim, CLIPPED), audit
 
 
+def clean_tests() -> dict[str, Column]:
+    """What must hold in every row after cleaning."""
+    return {
+        "wait_minutes is positive": F.coalesce(F.col("wait_minutes") > 0, F.lit(False)),
+        "every stay has a department": F.col("department").isNotNull(),
+    }
+
+
 def clean_rules(stays: DataFrame) -> DataFrame:
     """What must hold after cleaning."""
     return quality.all_rules(
-        quality.unique_rule(stays, ["admission_id"], "admission_id is unique"),
-        quality.row_rules(
-            stays,
-            {
-                "wait_minutes is positive": F.coalesce(F.col("wait_minutes") > 0, F.lit(False)),
-                "every stay has a department": F.col("department").isNotNull(),
-            },
-        ),
+        quality.unique_rule(stays, ["admission_id"], "admission_id is unique"), quality.row_rules(stays, clean_tests())
     )
 
 
@@ -314,10 +318,11 @@ def run(spark: SparkSession, raw_folder: str, out: str, with_model: bool = True,
     io.write_results(profile(raw), f"{out}/profile")
 
     stays, audit = clean(raw)
-    io.write_table(stays, f"{out}/tables/admissions")
+    # the rows are judged as they are written; only the key's uniqueness needs the table afterwards
+    judged = observed_write(stays, clean_tests(), lambda rows: io.write_table(rows, f"{out}/tables/admissions"))
     io.write_csv(audit, f"{out}/cleaned/department_naming_audit")
     t = {**raw, "admissions": io.read_table(spark, f"{out}/tables/admissions")}
-    quality.require(clean_rules(t["admissions"]))
+    quality.require(judged.unionByName(quality.unique_rule(t["admissions"], ["admission_id"], "admission_id is unique")))
     io.write_csv(t["admissions"], f"{out}/cleaned/admissions_cleaned")
 
     io.write_results(business_queries(t), f"{out}/query_results")
@@ -340,6 +345,15 @@ def run(spark: SparkSession, raw_folder: str, out: str, with_model: bool = True,
     quality.require(io.read_table(spark, f"{out}/tables/validation"))
 
 
+def publish(spark: SparkSession, raw_folder: str, out: str, with_model: bool = True, **params: int) -> Published:
+    """A whole run as a new version of the results in ``out``. A run that fails leaves the version before it in place."""
+    results = Published(spark, out)
+    with results.write() as version:
+        run(spark, raw_folder, version.folder, with_model, **params)
+        version.add(*RESULTS, *["model"] * with_model)
+    return results
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description="Run the operations pipeline over a folder of raw CSV tables.")
     parser.add_argument("--raw", required=True)
@@ -352,7 +366,7 @@ def main() -> None:
         size = sum(input_size(frame) for frame in io.read_raw(spark, options.raw).values())
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions_for(size)))
     with run_folder(spark):
-        run(spark, options.raw, options.out, with_model=not options.skip_model)
+        publish(spark, options.raw, options.out, with_model=not options.skip_model)
 
 
 if __name__ == "__main__":

@@ -468,3 +468,65 @@ sql("m10_importances", f"WITH {SPLIT}, f AS (" + " UNION ALL ".join(
     + [f"SELECT '{c}_vec_{extra}'" for c in CATEGORIES for extra in ("__unknown", "invalidValues")]
     + [f"SELECT '{c}'" for c in NUMBERS]
 ) + ") SELECT feature, true AS is_share FROM f")
+
+# --- measures by every subset of the slicers, variants, bitmaps, drill-down -------------------------------------------
+
+sql("t_cube", f"""WITH {LINES}, f AS (
+  SELECT year(l_shipdate)::INTEGER AS year, month(l_shipdate)::INTEGER AS month, n_regionkey, stay_days, gross, cost, flag, l_suppkey, l_partkey
+  FROM lines JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT year, month, n_regionkey, GROUPING(year, month, n_regionkey)::BIGINT AS slice, count(*) AS total_admissions,
+  {r('avg(stay_days)', 6)} AS avg_length_of_stay, {r('sum(gross)', 6)} AS gross_billings,
+  {r('sum(gross - cost)::DOUBLE / nullif(sum(gross), 0)::DOUBLE', 6)} AS margin_fraction,
+  {r('100.0::DOUBLE * sum(flag) / count(*)', 6)} AS readmission_rate_pct,
+  count(DISTINCT l_suppkey) AS doctors, count(DISTINCT l_partkey) AS procedures
+FROM f GROUP BY CUBE (year, month, n_regionkey)""")
+
+MISSPELT = """misspelt AS (
+  SELECT c_custkey, CASE c_custkey % 16 WHEN 0 THEN lower(l) WHEN 1 THEN l[1:2] || l[4:] WHEN 2 THEN l[1:4] || l[4:4] || l[5:]
+    WHEN 3 THEN l[1:1] || l[3:3] || l[2:2] || l[4:] WHEN 4 THEN l[1:4] || 'x' || l[6:] WHEN 5 THEN l || ' .' WHEN 6 THEN replace(l, ' ', '-')
+    ELSE l END AS raw_label
+  FROM (SELECT c_custkey, c_mktsegment || ' ' || n_name AS l FROM customer JOIN nation ON c_nationkey = n_nationkey))"""
+CLUSTERS = f"""{MISSPELT}, spellings AS (
+  SELECT raw_label AS label, count(*) AS n_rows, lower(regexp_replace(raw_label, '[^A-Za-z0-9]+', '', 'g')) AS norm FROM misspelt GROUP BY 1
+), norms AS (SELECT DISTINCT norm, regexp_replace(norm, '[^0-9]+', '', 'g') AS figures FROM spellings), pairs AS (
+  SELECT a.norm AS a, b.norm AS b FROM norms a JOIN norms b
+    ON a.figures = b.figures AND damerau_levenshtein(a.norm, b.norm) <= 1 AND (a.norm = b.norm OR (length(a.norm) >= 5 AND length(b.norm) >= 5))
+), reached AS (
+  SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON r.b = p.a
+), clustered AS (SELECT s.*, c.cluster FROM spellings s JOIN (SELECT a, min(b) AS cluster FROM reached GROUP BY a) c ON c.a = s.norm), named AS (
+  SELECT label, n_rows, first_value(label) OVER (PARTITION BY cluster ORDER BY n_rows DESC, label) AS canonical,
+    count(*) OVER (PARTITION BY cluster) AS cluster_spellings, (sum(n_rows) OVER (PARTITION BY cluster))::BIGINT AS cluster_rows FROM clustered)"""
+sql("j3_variant_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT * FROM named")
+sql("j9_canonical_spelling", f"""WITH RECURSIVE {CLUSTERS}
+SELECT c_custkey, raw_label, canonical AS label FROM misspelt LEFT JOIN named ON raw_label = named.label""")
+
+sql("j13_fk_bitmap", ORACLE_SQL["j13_fk"])
+sql("j5_orphans_bitmap", ORACLE_SQL["j5_orphans"])
+
+sql("j14_drilldown", """WITH a AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_totalprice AS p FROM orders), b AS (
+  SELECT k, c, s, CASE WHEN k % 1009 = 3 THEN p + 1 ELSE p END AS p FROM a WHERE k % 997 <> 5
+  UNION ALL SELECT c_custkey * 1000 + 1000000000, c_custkey, 'O', c_acctbal FROM customer WHERE c_custkey % 101 = 7)
+SELECT coalesce(a.k, b.k) AS key, count(a.k) AS left_rows, count(b.k) AS right_rows,
+  CASE WHEN count(b.k) = 0 THEN 'missing' WHEN count(a.k) = 0 THEN 'extra' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR (a.c, a.s, a.p) IS DISTINCT FROM (b.c, b.s, b.p) GROUP BY 1""")
+
+# --- loads, publication, incremental state, buckets -------------------------------------------------------------------
+
+sql("q2_incremental", ORACLE_SQL["q2_trend_full"])
+sql("k7_bucketed", ORACLE_SQL["k7_features"])
+sql("a1_quarantine", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 50 NOT BETWEEN 1 AND 5 THEN o_custkey END AS o_custkey,
+  CASE WHEN o_orderkey % 50 NOT BETWEEN 1 AND 5 THEN 'a, ' || o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 50 NOT BETWEEN 1 AND 5 THEN o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 50 NOT BETWEEN 1 AND 5 THEN {day('o_orderdate')} END AS o_orderdate,
+  CASE o_orderkey % 50 WHEN 1 THEN 'o_totalprice is not double' WHEN 2 THEN 'too few fields' WHEN 3 THEN 'too many fields'
+    WHEN 4 THEN 'o_custkey is missing' WHEN 5 THEN 'o_totalprice is not double; o_orderdate is not date' ELSE 'good' END AS outcome
+FROM orders""")
+sql("a6_publish", """SELECT n_name, count(*) AS customers, sum(c_acctbal::DECIMAL(12,2))::DOUBLE AS balance
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+sql("j17_gate", """WITH judged AS (
+  SELECT 'orders' AS t, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 0, false)) AS a,
+    count(*) FILTER (WHERE o_custkey IS NULL) AS b, 'price is positive' AS ra, 'customer is given' AS rb FROM orders
+  UNION ALL SELECT 'customer', count(*), count(*) FILTER (WHERE NOT coalesce(c_acctbal > 0, false)),
+    count(*) FILTER (WHERE c_mktsegment IS NULL), 'balance is positive', 'segment is given' FROM customer)
+SELECT t AS "table", 'rows written' AS rule, n AS violations, true AS passed, a + b = 0 AS published FROM judged
+UNION ALL SELECT t, ra, a, a = 0, a + b = 0 FROM judged UNION ALL SELECT t, rb, b, b = 0, a + b = 0 FROM judged""")

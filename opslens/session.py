@@ -72,6 +72,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_name() -> str:
+    """Name of the run that is under way."""
+    return _RUN.get()
+
+
 @contextmanager
 def run_folder(spark: SparkSession) -> Iterator[str]:
     """A folder of its own for the tables that a run stores, removed when the run ends or fails."""

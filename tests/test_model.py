@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from helpers import row_set, rows
 from pyspark.sql import functions as F
 
+from helpers import row_set, rows
 from opslens.operators import model
+from opslens.plans import queries
+from opslens.plans.bindings import TestTables
 
 
 def test_auc_extremes(frame):
@@ -65,3 +67,18 @@ def test_forest_learns_and_names_its_features(spark):
     everything = rows(model.importances(fitted, train, top=50))
     assert sum(r[1] for r in everything) == pytest.approx(1.0)
     assert {"c_vec_even", "c_vec_odd", "x", "noise"} <= {r[0] for r in everything}
+
+
+def test_registered_figures_of_the_forest(spark):
+    """One fit serves all queries; report and area are those of its scores, and shares add up."""
+    folder = "/root/testdata/sf0.001"
+    report = {r.row: r for r in queries.m4_report(TestTables(spark, folder)).collect()}
+    fitted, _, scored = queries._fitted(TestTables(spark, folder))
+    pairs = [(int(r.readmitted), r.predicted, r.score) for r in scored.collect()]
+    hits, called, wanted = sum(a and b for a, b, _ in pairs), sum(b for _, b, _ in pairs), sum(a for a, _, _ in pairs)
+    assert report["1"].support == wanted and abs(report["1"].precision - hits / called) < 1e-5 and abs(report["1"].recall - hits / wanted) < 1e-5
+    above = sum((x > y) + 0.5 * (x == y) for a, _, x in pairs if a for b, _, y in pairs if not b)
+    (auc,) = rows(queries.m4_auc(TestTables(spark, folder)))[0]
+    assert abs(auc - above / wanted / (len(pairs) - wanted)) < 1e-5
+    shares = rows(queries.m10_shares(TestTables(spark, folder)))
+    assert abs(sum(s for _, s in shares) - 1) < 1e-4 and queries._fitted(TestTables(spark, folder))[0] is fitted

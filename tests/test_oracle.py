@@ -9,6 +9,8 @@ from opslens.plans.oracle import ORACLE_SQL
 from opslens.plans.queries import QUERIES as LIBRARY
 
 FOLDER = "/root/testdata/sf0.001"
+#: Figures of a fitted model, which SQL cannot express; ``test_model`` holds them against their definitions.
+WITHOUT_SQL = {"m4_report", "m4_auc", "m10_shares"}
 QUERIES, TEXTS = {k: entry.queries()[k] for k in LIBRARY}, dict(ORACLE_SQL)
 
 
@@ -18,7 +20,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(TEXTS)
+    assert set(QUERIES) - set(TEXTS) == WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(TEXTS))
