@@ -40,12 +40,20 @@ BLOCK = frozenset(
 )
 #: Never part of the main text.
 DROPPED = frozenset("head nav footer aside form button select input textarea svg canvas audio video object menu dialog".split()) | RAW
-#: Words of class, id or role that name what is not the main text.
+#: Words of class, id or role that name what is not the main text. They are weak evidence: see ``named_out``.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list cookie cookies cookie-banner "
-    "disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo related share sharing sidebar side-bar "
-    "skip social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search replies reply responses discussion".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead "
+    "menu modal nav navbar navigation newsletter notice notices popup promo related share sharing sidebar skip social sponsor sponsored "
+    "subscribe subscription toolbar widget complementary contentinfo search".split()
 )
+#: Those that tell of a paragraph, heading or item as well.
+NAMES_OF_LINES = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies newsletter promo share sharing "
+    "social sponsor sponsored subscribe subscription".split()
+)
+#: Those of readers' comments, and words that name them only where there are such elements inside.
+COMMENTS = frozenset("comment comments disqus".split())
+TALK = frozenset("discussion replies reply responses response".split())
 #: Paragraphs and the like, and parts of lists and tables: articles may share one of them.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre summary figcaption caption dt".split())
 ITEMS = frozenset("li dd tr td th tbody thead tfoot hgroup".split())
@@ -119,18 +127,57 @@ def parse(html: str) -> list[Element]:
     return tree
 
 
-def measure(tree: list[Element]) -> tuple[list[bool], list[bool], list[int]]:
+def words_of(element: Element) -> set[str]:
+    """Words of class, id and role: as they are, without hyphens, and their parts between hyphens and underscores."""
+    found: set[str] = set()
+    for names in _NAMED.findall(element.attributes) if element.attributes else ():
+        for word in " ".join(names).lower().split():
+            found.update((word, word.replace("-", "").replace("_", ""), *re.split("[-_]", word)))
+    return found
+
+
+def named_out(tree: list[Element]) -> list[bool]:
+    """Which elements are not main text by their names.
+
+    A name needs evidence beside it. It never tells of the block that holds most of the page's text (three quarters for
+    comments, which may be longer than the article; a list of several goes in any case); a paragraph, heading or item
+    goes by few names only; and a discussion is one of readers if there are comments in it.
+    """
+    sizes = [sum(len("".join(p.split())) for p in e.parts if isinstance(p, str)) for e in tree]
+    names = [words_of(e) if e.attributes and e.tag not in ("html", "body") else set() for e in tree]
+    comments = [0] * len(tree)  # elements named as comments directly below
+    within = [False] * len(tree)  # whether there are any below
+    for i in range(len(tree) - 1, 0, -1):
+        above = tree[i].parent
+        if tree[i].tag not in DROPPED:
+            sizes[above] += sizes[i]
+        if COMMENTS & names[i]:
+            comments[above] += 1
+        within[above] |= within[i] or bool(COMMENTS & names[i])
+    out = []
+    for i, e in enumerate(tree):
+        known = NAMES_OF_LINES if e.tag in PROSE or e.tag in ITEMS else NAMES
+        named = bool(known & names[i]) or (bool(TALK & names[i]) and within[i])
+        large = 4 * sizes[i] > 3 * sizes[0] if COMMENTS & names[i] else 2 * sizes[i] > sizes[0]
+        out.append(named and (not large or (comments[i] > 1 and sizes[i] < sizes[0])))
+    return out
+
+
+def measure(tree: list[Element], by_name: bool = True) -> tuple[list[bool], list[bool], list[int]]:
     """For each element: whether it is left out itself, whether something around it is, and its characters of text
     without what is left out below it. A form may hold a whole page, so an article within one counts."""
-    out = [e.tag in DROPPED or named_out(e) for e in tree]
+    named = named_out(tree) if by_name else [False] * len(tree)
+    out = [e.tag in DROPPED or n for e, n in zip(tree, named)]
     away = [False] * len(tree)
     sizes = [sum(len("".join(p.split())) for p in e.parts if isinstance(p, str)) for e in tree]
     for i in range(1, len(tree)):
         above = tree[i].parent
-        away[i] = away[above] or (out[above] and (tree[above].tag != "form" or named_out(tree[above])))
+        away[i] = away[above] or (out[above] and (tree[above].tag != "form" or named[above]))
     for i in range(len(tree) - 1, 0, -1):
         if not out[i]:
             sizes[tree[i].parent] += sizes[i]
+    if by_name and not sizes[0]:
+        return measure(tree, False)  # names alone do not empty a page
     return out, away, sizes
 
 
@@ -214,14 +261,9 @@ def needs_more(tree: list[Element], roots: list[int]) -> list[bool]:
     return more
 
 
-def named_out(element: Element) -> bool:
-    if not element.attributes or element.tag in ("html", "body"):
-        return False
-    return any(word in NAMES for names in _NAMED.findall(element.attributes) for word in " ".join(names).lower().split())
-
-
-def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset()) -> str:
-    """Blocks below ``root`` in page order, one a line, without the elements of ``drop``."""
+def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset(), out: list[bool] | None = None) -> str:
+    """Blocks below ``root`` in page order, one a line, without the elements of ``drop`` and those left ``out``."""
+    out = measure(tree)[0] if out is None else out
     blocks: list[str] = []
     line: list[str] = []
 
@@ -236,7 +278,7 @@ def text_of(tree: list[Element], root: int, drop: frozenset | set = frozenset())
         i, k = todo.pop()
         one = tree[i]
         if k == 0:
-            if i != root and (one.tag in DROPPED or (one.tag == "header" and not root) or named_out(one) or i in drop):
+            if i != root and (out[i] or (one.tag == "header" and not root) or i in drop):
                 if one.tag in BLOCK:
                     flush()
                 continue
@@ -367,7 +409,7 @@ def extract(
                 hashes = candidates(tree, roots, measured, host) if sent or own[0] else {}
                 known, wide = chosen(hashes, *sent.value) if sent else map(set, (own[0] or (), own[1] or ()))
                 gone = recurring(tree, roots, measured, hashes, known, wide)
-                texts.append("\n".join(filter(None, (text_of(tree, root, gone) for root in roots))))
+                texts.append("\n".join(filter(None, (text_of(tree, root, gone, measured[0]) for root in roots))))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return small_batches(given).mapInArrow(run, f"page_id {id_type}, url {url_type}, text string, n_chars long")

@@ -192,6 +192,74 @@ def test_articles_are_looked_at_where_they_are(page, want):
     assert "\n".join(html.text_of(tree, root) for root in html.article(tree)) == want
 
 
+LONG = "a paragraph of the article that goes on for quite a while, as paragraphs of articles do. " * 3
+
+
+@pytest.mark.parametrize("page, want", [
+    # names that the main text may have as well
+    (f"<article><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>of the results</p></section></article>", f"{LONG.strip()}\nDiscussion\nof the results"),
+    (f"<article><p>{LONG}</p><p class=notice>Mind the gap.</p></article>", f"{LONG.strip()}\nMind the gap."),
+    (f"<nav>x</nav><div id=notice class='content social'><p>{LONG}</p></div>", LONG.strip()),
+    (f"<div class='main no-sidebar share-page'><p>{LONG}</p></div><p>rest</p>", f"{LONG.strip()}\nrest"),
+    ("<div class=comments>all there is</div>", "all there is"),
+    # names of several words
+    *((f"<article><p>{LONG}</p><div class={name}>Something else.</div></article>", LONG.strip()) for name in ("post-comments", "ad-slot", "cookie-notice", "related-posts", "side-bar", "share_buttons", "'box newsletter-box'")),
+    (f"<article><p>{LONG}</p><p class=sponsor-line>Paid for.</p><ul><li>a<li class=ad>b</ul></article>", f"{LONG.strip()}\na"),
+    # comments that are longer than the article, and a discussion of readers
+    (f"<article><p>{LONG}</p><div class=comments>" + f"<div class=comment><p>{LONG}</p></div>" * 4 + "</div></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><section class=discussion><h2>Replies</h2><div class=comment>no</div></section></article>", LONG.strip()),
+])
+def test_names_are_weak_evidence(page, want):
+    tree = html.parse(page)
+    assert "\n".join(html.text_of(tree, root) for root in html.article(tree)) == want
+
+
+def plain_extraction(rows, least_pages):
+    """The same rule by dictionaries: subtrees as nested tuples, counted over the distinct pages of their host."""
+    host = lambda url: re.sub(r"^\w+://([^/]*).*", r"\1", url or "").lower()
+
+    def nested(tree, i):
+        return (tree[i].tag, tree[i].attributes, *(nested(tree, p) if isinstance(p, int) else " ".join(p.split()) for p in tree[i].parts))
+
+    def looked_at(page, name):
+        tree = html.parse(page)
+        measured = html.measure(tree)
+        roots = html.article(tree, measured)
+        return tree, measured, roots, {i: nested(tree, i) for i in html.candidates(tree, roots, measured, name)}
+
+    pages, seen = {(host(u), h or "") for _, u, h in rows}, Counter()
+    for name, page in pages:
+        seen.update((name, subtree) for subtree in set(looked_at(page, name)[3].values()))
+    out = []
+    for number, url, page in rows:
+        name = host(url)
+        tree, measured, roots, subtrees = looked_at(page or "", name)
+        count = {t: seen[name, t] for t in subtrees.values()}
+        known = {t for t, n in count.items() if n >= least_pages}
+        wide = {t for t in known if count[t] >= html.PROSE_SHARE * sum(h == name for h, _ in pages)}
+        gone = html.recurring(tree, roots, measured, subtrees, known, wide)
+        out.append((number, url, "\n".join(filter(None, (html.text_of(tree, r, gone) for r in roots)))))
+    return out
+
+
+def test_extraction_against_counts_of_whole_subtrees(spark):
+    """Hosts with templates that neither a tag nor a name tells of, shared passages, copies, nulls."""
+    rng = random.Random(8)
+    parts = [f"<div class=k{i}><span>{prose(rng, 3)}</span></div>" for i in range(4)] + [f"<ul><li>{prose(rng, 2)}</li></ul>" for _ in range(3)] + [f"<p>{prose(rng, 12)}</p>" for _ in range(3)]
+    rows = []
+    for i in range(120):
+        name = rng.choice(["a.org", "A.org", "b.org", "c.org"])
+        body = "".join(rng.choice([rng.choice(parts), f"<p>{prose(rng, 20)}</p>", f"<section><h2>{prose(rng, 2)}</h2><p>{prose(rng, 15)}</p></section>"]) for _ in range(rng.randint(1, 9)))
+        rows.append((i, f"http://{name}/{i}", f"<body><div>{prose(random.Random(name.lower()), 4)}</div>{f'<article>{body}</article>' if rng.random() < 0.5 else body}</body>"))
+    rows += [(200 + i, rows[i % 5][1], rows[i % 5][2]) for i in range(30)] + [(300, None, None), (301, "", "<p>x"), (302, None, "<p>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = [tuple(r)[:3] for r in html.extract(df).collect()]
+    want = plain_extraction(rows, html.LEAST_PAGES)
+    assert ordered(got) == ordered(want)
+    plain = [(n, u, "\n".join(filter(None, (html.text_of(t, r) for r in html.article(t))))) for n, u, t in ((n, u, html.parse(h or "")) for n, u, h in rows)]
+    assert sum(a != b for a, b in zip(ordered(want), ordered(plain))) > 60  # so many pages are changed by templates
+
+
 def extracted(spark, rows):
     return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
