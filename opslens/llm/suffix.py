@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from opslens.llm.repeats import Kind, Known, byte_symbols, covered, packs, search, sure_windows
 from opslens.llm.support import filter_of, may_hold, small_batches, utf8
+from opslens.operators.joins import join_lookup
 from opslens.session import stored
 
 LENGTH = 400
@@ -41,7 +42,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     the input. Null texts count as empty, repeated rows as copies of each other, further columns are ignored, ids may
     be null. An empty table gives an empty result.
 
-    Most rows are finished where they are read; only those with single windows to look up are shuffled.
+    Most rows are finished where they are read; only those that may have single windows to look up are shuffled.
     """
     kind = kind_of(length)
     rows = named(docs, id_col, text_col)
@@ -49,9 +50,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     places = stored(found.single.groupBy("name").agg(F.array_distinct(F.collect_list("at")).alias("at")))
     sent = docs.sparkSession.sparkContext.broadcast((found.known.arrays(), filter_of(places, "name")))
     spans = "array<struct<start:long,end:long>>"
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans {spans}, kept string" * with_text
+    figures = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", spans {spans}, kept string" * with_text
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *StructType.fromDDL(figures).fields])
     kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()][: 3 if with_text else 1]
-    columns = [x.split()[0] for x in schema.replace(spans, "spans").split(", ")]
+    columns = schema.fieldNames()
 
     def finish(texts: list[bytes], names: np.ndarray, more: list[np.ndarray] | None, known: Known) -> list[tuple]:
         out: list[tuple] = []
@@ -69,30 +71,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
                 out.append((*row, [{"start": s, "end": e} for s, e in zip(starts, ends)], kept.decode("utf-8", "ignore")) if with_text else row)
         return out
 
-    def arrays(found: list, kinds: list) -> list[pa.Array]:
-        return [pa.array([None if x is None else x[i] for x in found], t) for i, t in enumerate(kinds)]
+    def arrays(found: list) -> list[pa.Array]:
+        return [pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)]
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that no single window can be in, finished where they are read."""
         known, waiting = Known.of(sent.value[0]), sent.value[1]
         for batch in batches:
-            names, texts = batch.column("name").to_numpy(), utf8(batch.column("text"))
-            later = may_hold(waiting, names.view(np.uint64))
-            found = iter(finish([x for x, y in zip(texts, later) if not y], names[~later], None, known))
-            rows = [None if y else next(found) for y in later]
-            left = pa.array([x if y else None for x, y in zip(texts, later)], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), *arrays(rows, kinds), batch.column("name"), left], [*columns, "_name", "_text"])
+            ready = ~may_hold(waiting, batch.column("name").to_numpy().view(np.uint64))
+            some = batch.filter(pa.array(ready))
+            rows = finish(utf8(some.column("text")), some.column("name").to_numpy(), None, known)
+            yield pa.record_batch([some.column("doc_id"), *arrays(rows)], columns)
+
+    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            later = may_hold(sent.value[1], batch.column("name").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(later))
 
     def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known.of(sent.value[0])
         for batch in batches:
-            names, texts = batch.column("_name").to_numpy(), utf8(batch.column("_text"))
-            later = np.array([x.is_valid for x in batch.column("_text")], bool)
-            more = [np.array(x if x is not None else [], np.int64) for x, y in zip(batch.column("at").to_pylist(), later) if y]
-            found = iter(finish([x for x, y in zip(texts, later) if y], names[later], more, known))
-            mine = arrays([next(found) if y else None for y in later], kinds)
-            mask = pa.array(later)
-            yield pa.record_batch([batch.column(0), *(pc.if_else(mask, a, b) for a, b in zip(mine, batch.columns[1:]))], columns)
-
-    first = small_batches(rows).mapInArrow(here, f"{schema}, _name long, _text binary")
-    joined = first.join(places, first["_name"] == places["name"], "left").drop("name")
-    return joined.mapInArrow(there, schema)
+            more = [np.array(x or [], np.int64) for x in batch.column("at").to_pylist()]
+            rows = finish(utf8(batch.column("text")), batch.column("name").to_numpy(), more, known)
+            yield pa.record_batch([batch.column("doc_id"), *arrays(rows)], columns)
+
+    rows = small_batches(rows)
+    asked = rows.mapInArrow(waiting, rows.schema)
+    answered = join_lookup(asked, places, "name", "left").select("name", "text", "doc_id", "at")
+    return rows.mapInArrow(here, schema).unionByName(answered.mapInArrow(there, schema))
