@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from opslens.functions.scalar import half_up, ratio
 from opslens.operators.joins import join_lookup, settle
 from opslens.operators.running import running_totals
-from opslens.session import ensure_checkpoint_dir, run_name
+from opslens.session import drop_at_end, run_path
 
 # Model inputs. Costs and margin are left out, as they are not known at discharge.
 CATEGORICAL = ["department", "admission_type", "age_group"]
@@ -62,7 +62,7 @@ def forest_pipeline(
     assembler = VectorAssembler(inputCols=[*encoded, *numeric], outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
+        minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
     )
     return Pipeline(stages=[*stages, assembler, forest])
 
@@ -73,8 +73,9 @@ def train_forest(
     """The fitted pipeline, as saved in the checkpoint folder and loaded again: without the summary of its training, which
     holds on to the session and would travel with every task that scores."""
     fitted = forest_pipeline(categorical, numeric, label, **params).fit(with_class_weights(train, label))
-    path = f"{ensure_checkpoint_dir(train.sparkSession)}/{run_name()}/model-{uuid.uuid4().hex}"
+    path = f"{run_path(train.sparkSession)}/model-{uuid.uuid4().hex}"
     fitted.save(path)
+    drop_at_end(train.sparkSession)
     return PipelineModel.load(path)
 
 

@@ -16,7 +16,7 @@ from opslens.operators.joins import join_lookup
 from opslens.operators.observed import observed_write
 from opslens.operators.rollups import sums_along
 from opslens.plans.bindings import TestTables, money
-from opslens.session import ensure_checkpoint_dir, run_name, spread, stored
+from opslens.session import run_name, run_path, spread, stored
 from opslens.sources import tables
 from opslens.sources.publish import Published
 from opslens.sources.quarantine import read_with_quarantine
@@ -575,7 +575,8 @@ def tables_of(ddl: str) -> list[str]:
 
 
 def scratch(t: TestTables, name: str) -> str:
-    return f"{ensure_checkpoint_dir(t.spark)}/roundtrip/{name}-{uuid.uuid4().hex}"
+    """A new path in the run's folder, which is removed with it."""
+    return f"{run_path(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("a_csv_roundtrip")

@@ -10,8 +10,10 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folder of the run that is under way, below the checkpoint folder.
-_RUN: ContextVar[str] = ContextVar("run", default="tables")
+#: Folder of the run that is under way, below the checkpoint folder; one for each process unless a run names its own.
+_RUN: ContextVar[str] = ContextVar("run", default=f"session-{uuid.uuid4().hex}")
+#: Applications and folders that are removed when the session's JVM ends.
+_MARKED: set[tuple[str, str]] = set()
 
 PARTITION_BYTES = 128 * 1024**2
 
@@ -82,7 +84,7 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
     """A folder of its own for the tables that a run stores, removed when the run ends or fails."""
     name = f"run-{uuid.uuid4().hex}"
     token = _RUN.set(name)
-    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    path = run_path(spark)
     try:
         yield path
     finally:
@@ -91,6 +93,21 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def run_path(spark: SparkSession) -> str:
+    """Folder for what the run under way stores."""
+    return f"{ensure_checkpoint_dir(spark)}/{_RUN.get()}"
+
+
+def drop_at_end(spark: SparkSession) -> None:
+    """Has the run's folder removed when the session's JVM ends, whoever uses the tables in it until then. Call it when the
+    folder is there."""
+    folder = run_path(spark)
+    if (spark.sparkContext.applicationId, folder) not in _MARKED:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place):
+            _MARKED.add((spark.sparkContext.applicationId, folder))
+
+
 def input_size(df: DataFrame) -> int:
     """Bytes that the planner expects a frame's scans to read."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -101,8 +118,9 @@ def stored(df: DataFrame) -> DataFrame:
 
     Unlike checkpointed rows, the copy is scanned by column and its size is known to the planner.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{_RUN.get()}/{uuid.uuid4().hex}"
+    path = f"{run_path(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
