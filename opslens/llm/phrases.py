@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ from opslens.session import stored
 
 WINDOW = 35
 #: Words of the passages of one automaton, and stretches that one task streams through it at most.
-SHARD_WORDS, SHARD_STRETCHES = 1_000_000, 200_000
+SHARD_WORDS, SHARD_STRETCHES = 250_000, 25_000
 
 
 def kind_of(window: int = WINDOW) -> Kind:
@@ -203,7 +202,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     tokens = stored(tokens)
     both = passages_and_stretches(rows.select("name", "text"), kind, found, tokens)
     places = occurrences(both, found.owners, tokens.count(), window + kind.sizes[0] - 1, shard_words, shard_stretches)
-    places = stored(places.groupBy("name").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("at")))
+    places = stored(places.groupBy("name").agg(F.collect_set(F.struct("start", "end")).alias("at")))
     sent = docs.sparkSession.sparkContext.broadcast(filter_of(places, "name"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 if with_text else 3]
@@ -219,23 +218,24 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
         row = (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest())
         return (*row, kept) if with_text else row
 
-    def arrays(rows: list) -> list[pa.Array]:
-        return [pa.array([None if x is None else x[i] for x in rows], t) for i, t in enumerate(kinds)]
+    def arrays(found: list) -> list[pa.Array]:
+        return [pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)]
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that no passage can be in, finished where they are read."""
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            later = may_hold(sent.value, batch.column("name").to_numpy().view(np.uint64))
-            done = [None if y else finish(x, None) for x, y in zip(texts, later)]
-            left = pa.array([x if y else None for x, y in zip(texts, later)], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), *arrays(done), batch.column("name"), left], [*columns, "_name", "_text"])
+            some = batch.filter(pa.array(~may_hold(sent.value, batch.column("name").to_numpy().view(np.uint64))))
+            yield pa.record_batch([some.column("doc_id"), *arrays([finish(x, None) for x in utf8(some.column("text"))])], columns)
+
+    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(sent.value, batch.column("name").to_numpy().view(np.uint64))))
 
     def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = batch.column("_text").to_pylist()
-            mine = arrays([None if x is None else finish(x, y) for x, y in zip(left, batch.column("at").to_pylist())])
-            mask = pa.array([x is not None for x in left])
-            yield pa.record_batch([batch.column(0), *(pc.if_else(mask, a, b) for a, b in zip(mine, batch.columns[1:]))], columns)
+            done = [finish(x, y) for x, y in zip(utf8(batch.column("text")), batch.column("at").to_pylist())]
+            yield pa.record_batch([batch.column("doc_id"), *arrays(done)], columns)
 
-    first = small_batches(rows).mapInArrow(here, f"{schema}, _name long, _text binary")
-    return first.join(places, first["_name"] == places["name"], "left").drop("name").mapInArrow(there, schema)
+    rows = small_batches(rows)
+    answered = rows.mapInArrow(waiting, rows.schema).join(places, "name", "left").select("text", "doc_id", "at")
+    return rows.mapInArrow(here, schema).unionByName(answered.mapInArrow(there, schema))
