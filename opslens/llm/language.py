@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from opslens.llm.support import per_batch, small_batches, utf8
 
@@ -221,8 +222,8 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False, text_col: s
                 columns.append(pa.array([[dict(zip(("lang", "start", "end"), s)) for s in f[2]] for f in found], kind))
             yield pa.record_batch([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "lang_pred", "score", *["spans"] * with_spans])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return small_batches(kept).mapInArrow(run, f"{schema}, {extra}" if schema else extra)
+    schema = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(extra).fields])
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

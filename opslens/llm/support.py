@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from opslens.session import stored
 
 #: Rows and bytes that one Arrow batch may hold; a longer text has a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 * 1024**2
+BATCH_ROWS, BATCH_BYTES = 1000, 4 * 1024**2
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -191,3 +191,32 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
     if name not in store:
         store[name] = make()
     return store[name]
+
+
+class Recent(dict):
+    """A cache of two generations, each bounded by ``limit`` entries: what is used again outlives what is not.
+
+    Callers look up and update the younger one as a plain dictionary, after ``admit`` has moved to it what they need.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def admit(self, needed: set) -> set:
+        """Makes the known ones of ``needed`` ready for look-up, and returns those that are not known."""
+        fresh = needed.difference(self)
+        if fresh and len(self) + len(fresh) > self.limit:
+            self.older = dict(self)
+            self.clear()
+            fresh = needed
+        older = self.older
+        if older and fresh:
+            again = {k: older[k] for k in fresh if k in older}
+            self.update(again)
+            fresh = fresh.difference(again)
+        return fresh
+
+    def rest(self) -> None:
+        """Keeps the younger generation only; the worker may go on to other work."""
+        self.older = {}

@@ -98,7 +98,7 @@ def test_each_group_keeps_a_document_where_ids_are_shared(spark):
 
 def test_repeats_are_cut(stages):
     before, after = rows_of(stages[2]), rows_of(stages[3])
-    want = {r[0]: n for r, (_, _, n, _, _) in zip(before, suffix_rows(before, 400))}
+    want = {r[0]: n for r, (_, _, n, _, _) in zip(before, suffix_rows(before, pipeline.REPEAT_BYTES))}
     assert sorted(r[0] for r in after) == sorted(want)
     for r in after:
         text = next(b[1] for b in before if b[0] == r[0])
@@ -125,6 +125,20 @@ def test_stages_take_empty_tables_and_rows_without_ids(spark, stages):
     assert pipeline.redact(spark, df, FOLDER).count() == 4
 
 
+def test_stages_keep_columns_with_any_name(spark):
+    """Names that the operators use themselves, and one with a dot."""
+    names = ["score", "spans", "lang_pred", "_held", "_key", "_row", "_spans", "key", "row", "others", "place", "text_", "a.b", "component_id", "_"]
+    base = [r[:5] for r in corpus() if r[0] is not None]
+    docs = spark.createDataFrame([(*r, *(f"{n} {r[0]}" for n in names)) for r in base], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stored(stage(spark, docs, FOLDER))
+        assert after.columns == docs.columns, name
+        assert all(r[n] == f"{n} {r.doc_id}" for r in after.collect() for n in names), name
+        docs = after
+    assert docs.count() and pipeline.pack(spark, docs, FOLDER).count()
+
+
 def test_personal_data_leaves_the_pipeline(spark):
     rows = [(1, "Reach me: a@b.cd, card 4111 1111 1111 1111.", "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -137,7 +151,7 @@ def test_personal_data_leaves_the_pipeline(spark):
 
 def test_all_operators_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
