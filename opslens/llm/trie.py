@@ -36,7 +36,7 @@ from opslens.session import stored
 #: Rows of a group that begin alike, first turns taken from another conversation, and the pattern of a word.
 GROUP, MOST_TAKEN, WORD = 20, 4, r"[^\x20\x09-\x0D]+"
 #: Distinct sequences of the first batch, and growth from batch to batch.
-FIRST_BATCH, GROWTH = 4096, 16
+FIRST_BATCH, GROWTH = 512, 16
 _ROOT = bytes(16)
 _NODES = "node binary, parent binary, low int, high int, edge array<binary>, before long, sums array<long>"
 _SLOTS = 1 << 30
