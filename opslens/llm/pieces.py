@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.support import kept_in_worker, small_batches, utf8
+from opslens.llm.support import Recent, kept_in_worker, small_batches, utf8
 
 MARK = "▁"
-#: Parts whose ids a task remembers.
-CACHED_PARTS = 300_000
+#: Parts whose ids a worker remembers in each of two generations; about 350 bytes each.
+CACHED_PARTS = 400_000
 _SIGNS = r"\x00-\t\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2580\u2582-\u2bff"  # no letters, line feed or space mark
 _OTHER, _LETTER = f"[{_SIGNS}]", f"[^{_SIGNS}\n{MARK}]"
 _PARTS = re.compile(f"{MARK}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+|\n")
@@ -46,7 +46,7 @@ class MergeEncoder:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(_CROSSING.search(p) for p in self.ids):
             raise ValueError("pieces of this vocabulary cross the parts of a text")
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known: dict[str, tuple[list[int], str]] = Recent(CACHED_PARTS)
 
     def encode_part(self, part: str) -> list[int]:
         """Ids of one part by the agenda."""
@@ -86,8 +86,6 @@ class MergeEncoder:
         return out
 
     def learn(self, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > CACHED_PARTS:
-            self.known.clear()
         found = [self.encode_part(p) for p in parts]
         line = self.encode_part("\n")
         ours = [*self.encode_part(MARK), *chain.from_iterable(line + ids for ids in found)]
@@ -98,12 +96,10 @@ class MergeEncoder:
     def __call__(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and the same as decimal text joined by commas."""
         split = [_PARTS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {p for s in split for p in s if p not in self.known}
-        if fresh and len(self.known) + len(fresh) > CACHED_PARTS:
-            fresh = set(chain.from_iterable(split))
+        known = self.known
+        fresh = known.admit(set(chain.from_iterable(split)))
         if fresh:
             self.learn(list(fresh))
-        known = self.known
         out = []
         for s in split:
             found = [known[p] for p in s]
@@ -133,7 +129,6 @@ def encode_documents(docs: DataFrame, model: str, outputs: bool = True, id_col:
                 if outputs:
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.record_batch(columns, names)
-        encode.known.clear()  # the worker may go on to other work
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs
     return small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)

@@ -138,7 +138,7 @@ def test_encoded_documents(docs, encoder):
 
 def test_a_wrong_agenda_is_noticed(encoder, monkeypatch):
     monkeypatch.setattr(encoder, "encode_part", lambda part: [5])
-    monkeypatch.setattr(encoder, "known", {})
+    monkeypatch.setattr(encoder, "known", type(encoder.known)(10))
     with pytest.raises(ValueError):
         encoder(["some words"])
 
