@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.support import kept_in_worker, small_batches, utf8
+from opslens.llm.support import Recent, kept_in_worker, small_batches, utf8
 
 TIERS = (4096, 2048, 1024, 512)
 #: Shortest window that the end of a partition is cut into; a shorter rest is padded to the longest window.
@@ -29,8 +29,8 @@ LEAST_WINDOW = 64
 #: Tokens that are packed together, and tokens of a step group.
 BLOCK_TOKENS, STEP_TOKENS = 64 * 4096, 16 * 4096
 END_ID = 2
-#: Pieces whose ids a task remembers.
-CACHED_PIECES = 300_000
+#: Pieces whose ids a worker remembers in each of two generations; about 150 bytes each.
+CACHED_PIECES = 200_000
 
 Piece = tuple[int, int, int]  # length, document, start
 
@@ -124,7 +124,7 @@ class PieceTokenizer:
         self.model = self.tokenizer.model
         self.pieces_in = re.compile(self.PIECES).findall
         self.odd = re.compile(f"[^{self.PLAIN}]|<\\|").search
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = Recent(CACHED_PIECES)
         # a byte-level vocabulary writes printable bytes as themselves and the others as characters from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
@@ -139,11 +139,8 @@ class PieceTokenizer:
         decoded = [x.decode("utf-8", "replace") for x in texts]
         split = [None if self.odd(t) else self.pieces_in(t.lower()) for t in decoded]
         own = [s for s in split if s]
-        fresh = set(chain.from_iterable(own)).difference(self.known)
-        if fresh and len(self.known) + len(fresh) > CACHED_PIECES:
-            self.known.clear()
-            fresh = set(chain.from_iterable(own))
         known = self.known
+        fresh = known.admit(set(chain.from_iterable(own)))
         known.update((p, self.encode_piece(p)) for p in fresh)
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
         return [whole(t) if s is None else np.frombuffer(b"".join([known[p] for p in s]), "<u4") for t, s in zip(decoded, split)]
@@ -214,7 +211,7 @@ def pack_documents(
                     yield from block(False)
         if held:
             yield from block(True)
-        encode.known.clear()  # the worker may go on to other work
+        encode.known.rest()
 
     schema = f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:9]) + ", ids array<int>" * with_ids
     return small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
