@@ -23,6 +23,8 @@ NUMERIC = [
     "severity_score", "length_of_stay_days", "wait_minutes", "discharge_efficiency", "patient_age",
     "is_weekend_admission", "is_flu_season", "treatment_count",
 ]
+#: Most bytes of the remembered tree nodes of all rows (three generations of 4 bytes for each row and tree).
+NODE_ID_BYTES = 2 * 1024**3
 
 
 def model_frame(features: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str) -> DataFrame:
@@ -48,9 +50,13 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def forest_pipeline(
     categorical: Sequence[str], numeric: Sequence[str], label: str,
-    trees: int = 300, depth: int = 8, min_leaf: int = 25, seed: int = 42,
+    trees: int = 300, depth: int = 8, min_leaf: int = 25, seed: int = 42, cache_nodes: bool = False,
 ) -> Pipeline:
-    """One-hot encoding (an unseen category encodes to its own slot) and a weighted random forest."""
+    """One-hot encoding (an unseen category encodes to its own slot) and a weighted random forest.
+
+    With ``cache_nodes`` each row's node in every tree is kept from level to level instead of being found from the root
+    again. The forest is the same.
+    """
     indexed = [f"{c}_index" for c in categorical]
     encoded = [f"{c}_vec" for c in categorical]
     stages = []
@@ -62,17 +68,22 @@ def forest_pipeline(
     assembler = VectorAssembler(inputCols=[*encoded, *numeric], outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
+        minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=cache_nodes,
     )
     return Pipeline(stages=[*stages, assembler, forest])
 
 
 def train_forest(
-    train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str, **params: int
+    train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str, trees: int = 300, **params: int
 ) -> PipelineModel:
     """The fitted pipeline, as saved in the checkpoint folder and loaded again: without the summary of its training, which
-    holds on to the session and would travel with every task that scores."""
-    fitted = forest_pipeline(categorical, numeric, label, **params).fit(with_class_weights(train, label))
+    holds on to the session and would travel with every task that scores.
+
+    Tree nodes are remembered while that takes at most ``NODE_ID_BYTES``.
+    """
+    cache = 12 * trees * train.count() <= NODE_ID_BYTES
+    pipeline = forest_pipeline(categorical, numeric, label, trees=trees, cache_nodes=cache, **params)
+    fitted = pipeline.fit(with_class_weights(train, label))
     path = f"{run_path(train.sparkSession)}/model-{uuid.uuid4().hex}"
     fitted.save(path)
     drop_at_end(train.sparkSession)

@@ -69,6 +69,23 @@ def test_forest_learns_and_names_its_features(spark):
     assert {"c_vec_even", "c_vec_odd", "x", "noise"} <= {r[0] for r in everything}
 
 
+def test_nodes_are_remembered_while_they_are_few(spark, monkeypatch):
+    """The rows' tree nodes are kept from level to level up to a bound, and the forest is the same either way."""
+    df = spark.range(2000).select(
+        F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("c"), ((F.col("id") * 7919) % 1000 / 1000).alias("x"),
+        ((F.col("id") * 31) % 7 > 2).cast("int").alias("y"),
+    )
+    inputs = (["c"], ["x"], "y")
+    train, seen = model.model_frame(df, *inputs).repartition(3, "x"), []
+    monkeypatch.setattr(model, "forest_pipeline", lambda *a, own=model.forest_pipeline, **k: seen.append(own(*a, **k)) or seen[-1])
+    forests = []
+    for most in (12 * 9 * 2000, 12 * 9 * 2000 - 1):
+        monkeypatch.setattr(model, "NODE_ID_BYTES", most)
+        forests.append(model.train_forest(train, *inputs, trees=9, depth=4, min_leaf=5).stages[-1].toDebugString.split("\n")[1:])
+    assert [p.getStages()[-1].getCacheNodeIds() for p in seen] == [True, False]
+    assert forests[0] == forests[1] and len(forests[0]) > 30
+
+
 def test_registered_figures_of_the_forest(spark):
     """One fit serves all queries; report and area are those of its scores, and shares add up."""
     folder = "/root/testdata/sf0.001"
