@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from opslens.llm.support import Recent, kept_in_worker, small_batches, utf8
 
 MARK = "▁"
-#: Parts whose ids a worker remembers in each of two generations; about 350 bytes each.
+#: Parts whose ids a worker remembers in each of two generations; about 200 bytes each.
 CACHED_PARTS = 400_000
+#: Characters of a part up to which it is encoded together with all new parts of its length.
+SHORT_PART = 24
 _SIGNS = r"\x00-\t\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2580\u2582-\u2bff"  # no letters, line feed or space mark
 _OTHER, _LETTER = f"[{_SIGNS}]", f"[^{_SIGNS}\n{MARK}]"
 _PARTS = re.compile(f"{MARK}*{_LETTER}+|{MARK}*{_OTHER}+|{MARK}+|\n")
@@ -46,7 +50,8 @@ class MergeEncoder:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(_CROSSING.search(p) for p in self.ids):
             raise ValueError("pieces of this vocabulary cross the parts of a text")
-        self.known: dict[str, tuple[list[int], str]] = Recent(CACHED_PARTS)
+        self.pairs = self.pairs_of_symbols()
+        self.known: dict[str, bytes] = Recent(CACHED_PARTS)
 
     def encode_part(self, part: str) -> list[int]:
         """Ids of one part by the agenda."""
@@ -85,28 +90,108 @@ class MergeEncoder:
                     out.append(found)
         return out
 
+    def symbol(self, text: str) -> int:
+        """Number of a symbol: a piece's id, and beyond all ids the code point of any other character."""
+        found = self.ids.get(text)
+        return len(self.strings) + ord(text) if found is None else found
+
+    def pairs_of_symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ascending keys of all pairs of symbols whose join is in the vocabulary, with the join's score and number; a last
+        key stands for no pair."""
+        self.strings = [str(i) for i in range(self.library.get_piece_size())]
+        self.symbols = np.arange(0x110000, dtype=np.int64) + len(self.strings)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = i
+        is_symbol = lambda x: len(x) == 1 or x in self.ids
+        found = sorted(
+            (self.symbol(p[:k]) << 32 | self.symbol(p[k:]), self.scores[p], i)
+            for p, i in self.ids.items() for k in range(1, len(p)) if is_symbol(p[:k]) and is_symbol(p[k:])
+        )
+        keys, scores, joined = zip(*found, (2**63 - 1, -np.inf, 0))
+        return np.array(keys, np.int64), np.array(scores), np.array(joined, np.int64)
+
+    def looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of pairs of symbols, and the numbers of their joins."""
+        keys, scores, joined = self.pairs
+        wanted = left << 32 | right
+        at = np.searchsorted(keys, wanted)
+        return np.where(keys[at] == wanted, scores[at], -np.inf), joined[at]
+
+    def merged(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Merges the symbols of parts of equal length (a row each), a pair of every part at a time; yields numbers of parts
+        and their symbols when nothing merges them any more. A row's agenda is its pairs' scores: the first highest is next."""
+        parts = np.arange(len(symbols))
+        scores, joined = self.looked_up(symbols[:, :-1], symbols[:, 1:])
+        while symbols.shape[1] > 1 and len(parts):
+            best, row = scores.argmax(1), np.arange(len(parts))
+            open_ = scores[row, best] > -np.inf
+            if not open_.all():
+                yield parts[~open_], symbols[~open_]
+                parts, symbols, scores, joined, best = (x[open_] for x in (parts, symbols, scores, joined, best))
+                row = row[: len(parts)]
+            n, width = symbols.shape
+            symbols[row, best] = joined[row, best]
+            place = np.arange(width)
+            symbols = symbols[place != best[:, None] + 1].reshape(n, width - 1)
+            rest = place[:-1] != best[:, None]
+            scores, joined = scores[rest].reshape(n, width - 2), joined[rest].reshape(n, width - 2)
+            for rows, at in ((row[best > 0], best[best > 0] - 1), (row[best < width - 2], best[best < width - 2])):
+                scores[rows, at], joined[rows, at] = self.looked_up(symbols[rows, at], symbols[rows, at + 1])
+        yield parts, symbols
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts (32 bits each) by the agenda: short ones together with all of their length, others one by one."""
+        out = [b""] * len(parts)
+        by_length: dict[int, list[int]] = {}
+        for i, p in enumerate(parts):
+            if len(p) > SHORT_PART:
+                out[i] = packed(self.encode_part(p))
+            else:
+                by_length.setdefault(len(p), []).append(i)
+        for length, which in by_length.items():
+            chars = np.frombuffer("".join([parts[i] for i in which]).encode("utf-32-le"), "<u4")
+            for own, symbols in self.merged(self.symbols[chars].reshape(-1, length)):
+                data, size = symbols.astype(np.int32).tobytes(), 4 * symbols.shape[1]
+                for k, i in enumerate(own.tolist()):
+                    out[which[i]] = data[k * size : (k + 1) * size]
+                for k in np.flatnonzero((symbols >= len(self.strings)).any(1)).tolist():
+                    ids = [[s] if s < len(self.strings) else self.bytes_of(s) for s in symbols[k].tolist()]
+                    out[which[own[k]]] = packed(list(chain.from_iterable(ids)))
+        return out
+
+    def bytes_of(self, symbol: int) -> list[int]:
+        return [self.bytes[b] for b in chr(symbol - len(self.strings)).encode()]
+
     def learn(self, parts: list[str]) -> None:
-        found = [self.encode_part(p) for p in parts]
-        line = self.encode_part("\n")
-        ours = [*self.encode_part(MARK), *chain.from_iterable(line + ids for ids in found)]
-        if ours != self.library.encode("\n" + "\n".join(parts).replace(MARK, " ")):
+        found = self.encode_parts(parts)
+        line = packed(self.encode_part("\n"))
+        ours = packed(self.encode_part(MARK)) + line + line.join(found)
+        if ours != packed(self.library.encode("\n" + "\n".join(parts).replace(MARK, " "))):
             raise ValueError("the agenda's ids differ from the library's")
-        self.known.update((p, (ids, ",".join(map(str, ids)))) for p, ids in zip(parts, found))
+        self.known.update(zip(parts, found))
 
     def __call__(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and the same as decimal text joined by commas."""
         split = [_PARTS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
         known = self.known
-        fresh = known.admit(set(chain.from_iterable(split)))
-        if fresh:
+        found = [list(map(known.get, s)) for s in split]
+        lacking = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        if fresh := known.admit({s[i] for s, places in zip(split, lacking) for i in places}):
             self.learn(list(fresh))
-        out = []
-        for s in split:
-            found = [known[p] for p in s]
-            out.append((list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])))
+        out, text = [], self.strings.__getitem__
+        for s, f, places in zip(split, found, lacking):
+            for i in places:
+                f[i] = known[s[i]]
+            ids = memoryview(b"".join(f)).cast("i").tolist()
+            out.append((ids, ",".join(map(text, ids))))
         return out
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def encode_documents(docs: DataFrame, model: str, outputs: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row and, if asked for, ``ids`` and the ``decoded`` text.
 

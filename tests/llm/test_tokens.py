@@ -126,6 +126,22 @@ def test_ties_go_to_the_left(encoder):
         assert encoder([text])[0][0] == encoder.library.encode(text)
 
 
+def test_parts_are_encoded_together_as_one_by_one(encoder, monkeypatch):
+    """New parts of a batch share their steps; only long ones have an agenda of their own."""
+    rng = random.Random(8)
+    parts = list({"".join(rng.choice("aabeilnrst▁▁éßzÅ中\U0001f600-.0\t") for _ in range(rng.randint(1, 40))) for _ in range(2000)} | {"a", "▁", "\U0001f600", "\n", "▁the"})
+    one_by_one = [pieces.packed(encoder.encode_part(p)) for p in parts]
+    alone = []
+    monkeypatch.setattr(encoder, "encode_part", lambda p, own=encoder.encode_part: alone.append(p) or own(p))
+    assert encoder.encode_parts(parts) == one_by_one and encoder.encode_parts([]) == []
+    assert sorted(alone) == sorted(p for p in parts if len(p) > pieces.SHORT_PART) and alone
+    short = [p for p in parts if len(p) <= pieces.SHORT_PART]
+    alone.clear()
+    monkeypatch.setattr(encoder, "known", type(encoder.known)(10))
+    encoder.learn(short)
+    assert set(alone) == {"\n", "▁"}  # what stands between the parts in the check against the library
+
+
 def test_encoded_documents(docs, encoder):
     def row(r):
         ids = encoder.library.encode(r[1] or "")
