@@ -10,6 +10,7 @@ windows are full; what remains goes on to the next block, and at the end of a pa
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
@@ -133,7 +134,8 @@ class PieceTokenizer:
     def encode_piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.written)
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         decoded = [x.decode("utf-8", "replace") for x in texts]
@@ -143,7 +145,7 @@ class PieceTokenizer:
         fresh = known.admit(set(chain.from_iterable(own)))
         known.update((p, self.encode_piece(p)) for p in fresh)
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
-        return [whole(t) if s is None else np.frombuffer(b"".join([known[p] for p in s]), "<u4") for t, s in zip(decoded, split)]
+        return [whole(t) if s is None else np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4") for t, s in zip(decoded, split)]
 
 
 # -- operator --------------------------------------------------------------------------------------------------------
