@@ -118,19 +118,26 @@ class PieceTokenizer:
     #: Fixed value: the vocabulary's own pattern, over plain characters.
     PIECES = f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\\s0-9a-z{LATIN}]+"
 
-    def __init__(self, path: str):
+    #: Plain bytes, which need no look at their characters.
+    PLAIN_BYTES = bytes([*range(9, 14), *range(32, 127)])
+
+    def __init__(self, path: str, cached_pieces: int = CACHED_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces_in = re.compile(self.PIECES).findall
-        self.odd = re.compile(f"[^{self.PLAIN}]|<\\|").search
-        self.known: dict[str, bytes] = Recent(CACHED_PIECES)
+        self.odd = re.compile(f"[^{self.PLAIN}]").search
+        self.known: dict[str, bytes] = Recent(cached_pieces)
         # a byte-level vocabulary writes printable bytes as themselves and the others as characters from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.written = {b: 256 + i for i, b in enumerate(rest)}
 
+    def is_plain(self, text: bytes, decoded: str) -> bool:
+        rest = text.translate(None, self.PLAIN_BYTES)  # an ASCII byte is no part of another character
+        return b"<|" not in text and "\ufffd" not in decoded and not (rest and self.odd(rest.decode("utf-8", "replace")))
+
     def encode_piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.written)
@@ -139,7 +146,7 @@ class PieceTokenizer:
 
     def __call__(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         decoded = [x.decode("utf-8", "replace") for x in texts]
-        split = [None if self.odd(t) else self.pieces_in(t.lower()) for t in decoded]
+        split = [self.pieces_in(t.lower()) if self.is_plain(x, t) else None for x, t in zip(texts, decoded)]
         own = [s for s in split if s]
         known = self.known
         fresh = known.admit(set(chain.from_iterable(own)))
@@ -152,7 +159,8 @@ class PieceTokenizer:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = END_ID, tiers: Sequence[int] = TIERS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int = END_ID, tiers: Sequence[int] = TIERS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text",
+    cached_pieces: int = CACHED_PIECES,
 ) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, step_group``
     and, if asked for, its ``ids``.
@@ -161,7 +169,8 @@ def pack_documents(
     the pieces of a sequence follow each other without a gap, and ``window`` is the length a sequence is padded to: its
     own if that is a power of two, else the longest tier. Only the last sequence of a partition can need padding.
     Repeated rows are packed as often as they are given, ids may be null, further columns are ignored, and an empty
-    table gives an empty result. ``sequence_id`` is unique across partitions.
+    table gives an empty result. ``sequence_id`` is unique across partitions. ``cached_pieces`` bounds what a worker remembers,
+    and changes the time alone.
     """
     tiers = tuple(sorted(tiers, reverse=True))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -184,7 +193,7 @@ def pack_documents(
         return pa.record_batch(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_in_worker(f"tokens {tokenizer}", lambda: PieceTokenizer(tokenizer))
+        encode = kept_in_worker(f"tokens {cached_pieces} {tokenizer}", lambda: PieceTokenizer(tokenizer, cached_pieces))
         end = np.array([end_id], "<u4")
         part = TaskContext.get().partitionId() << 36
         made = groups = 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -106,6 +107,22 @@ def test_piece_tokenizer_equals_the_library(monkeypatch):
         assert [x.tolist() for x in encode([t.encode() for t in part])] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def test_plain_texts_are_told_by_their_bytes(spark):
+    encode = packing.PieceTokenizer(WORDS)
+    plain = re.compile(f"(?!.*<\\|)[{encode.PLAIN}]*", re.DOTALL).fullmatch
+    texts = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + ["a<|b", "a<é|b", "é<", "naïve Ünder € –\n\t", "naïve \x1c"] + [r[1] or "" for r in corpus()] + ODD
+    assert [encode.is_plain(t.encode(), t) for t in texts] == [plain(t) is not None for t in texts]
+    broken = b"\xc3a\xa9"  # not UTF-8, though its bytes beyond ASCII are a plain character
+    assert not encode.is_plain(broken, broken.decode("utf-8", "replace"))
+
+
+def test_remembered_pieces_change_no_id(spark):
+    rows = [(r[0], r[1]) for r in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    few, many = (packing.pack_documents(docs, WORDS, cached_pieces=n).collect() for n in (20, 50_000))
+    assert few == many and packing.PieceTokenizer(WORDS, 20).known.limit == 20
+
+
 # -- pieces ----------------------------------------------------------------------------------------------------------
 
 
