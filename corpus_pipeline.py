@@ -19,6 +19,9 @@ LEAST_SCORE = 0.5
 #: Bytes of a repeat that is removed. 51 words of common length have more (248 and up in 95 of 100 documents), so repeated
 #: passages of over 50 words are found, unless their words are very short.
 REPEAT_BYTES = 200
+#: Pieces that a packing worker remembers in each of two generations; few, as the workers and the executors' heaps have
+#: grown over the stages before and share their memory.
+CACHED_PIECES = 40_000
 
 
 def _held(docs: DataFrame, *used: str) -> DataFrame:
@@ -80,7 +83,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences, with their ids. A null or empty text is its end token alone."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_pieces=CACHED_PIECES)
 
 
 STAGES = [

@@ -164,3 +164,9 @@ def test_held_out_documents_get_their_language(spark):
     got = queries.op10_language(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     right, all_ = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
     assert all_ > 200 and right / all_ > 0.97
+
+
+def test_packing_workers_of_the_pipeline_remember_few_pieces(monkeypatch):
+    # four workers share an executor's memory with a heap that the stages before have filled
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, tokenizer, cached_pieces=packing.CACHED_PIECES: cached_pieces)
+    assert corpus_pipeline.pack(None, None, "") <= 50_000
