@@ -169,4 +169,4 @@ def test_held_out_documents_get_their_language(spark):
 def test_packing_workers_of_the_pipeline_remember_few_pieces(monkeypatch):
     # four workers share an executor's memory with a heap that the stages before have filled
     monkeypatch.setattr(packing, "pack_documents", lambda docs, tokenizer, cached_pieces=packing.CACHED_PIECES: cached_pieces)
-    assert corpus_pipeline.pack(None, None, "") <= 50_000
+    assert pipeline.pack(None, None, "") <= 50_000
