@@ -2,11 +2,9 @@
 
 *Tokens.* The words of a text, A-Z lower-cased, then one end. N tokens are learned from, V of them distinct.
 
-*Counts.* Every word is counted. Longer n-grams grow by one word in each round: an n-gram is looked at where the two
-shorter ones it consists of are frequent, and is frequent itself with at least ``LEAST_SHARE`` of all tokens (and
-``LEAST_COUNT``). The share bounds the tree by construction - no more than 1 / ``LEAST_SHARE`` n-grams of a length are
-frequent, whatever the corpus - while all occurrences in all texts are counted. An n-gram is known by the places of
-its two parts in the sorted list of shorter ones, so its 64-bit name stands for it alone; a word is known by a 64-bit hash.
+*Counts.* Every word is counted, and every longer n-gram whose two shorter parts are frequent; frequent is what occurs
+``LEAST_COUNT`` times in the training texts. No share of the corpus is asked for unless a caller sets ``least_share``.
+Words and n-grams are known by hashes of 64 bits.
 
 *Divergence.* A frequent n-gram s is a context if the tokens after it are better told by their own counts than by the
 distribution of s without its first word: the gain in log-likelihood over all its occurrences must pay half a ln N for
@@ -16,38 +14,41 @@ context is one.
 *Smoothing.* A listed successor has (c - 0.5) / c(s); what is left goes to all others in proportion to the distribution
 one word shorter. The root has (c + 1) / (N + V + 1), one share for unseen words. Every distribution adds up to one.
 
-*Scores.* A token is told by the longest context before it. Where this leads to the root and the word is not frequent,
-its count comes from a second exchange, in which a text's rare words meet their counts; no word with more than
-``LEAST_SHARE`` of the tokens takes part in it.
+*Scores.* A token is told by the longest context before it.
 
-Counts travel as sorted, compressed lists, one for each block of texts and bucket of names.
+*Exchange.* Texts are dealt into blocks, names into buckets. In each step a block asks for the names that it holds, once
+each however often they occur there, and gets their counts, or whether they are contexts; so no task gets more
+than a block, or a bucket, and no table of n-grams comes to the driver. Of the blocks that hold an n-gram one owns it and
+brings it to the sums of its context, as a single figure for all successors that the block owns. Names are sent as sorted,
+compressed lists; answers follow their order and need no names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from opslens.llm.support import small_batches
+from opslens.llm.support import mixed, small_batches
 from opslens.session import stored
 
 #: Least share of the training tokens, and least count, of a frequent n-gram; most words of a context.
-LEAST_SHARE, LEAST_COUNT, DEPTH = 1e-6, 2, 3
+LEAST_SHARE, LEAST_COUNT, DEPTH = 0.0, 2, 3
 DISCOUNT = 0.5
 #: Text of a block, whose words are counted together, and of a bucket, whose names are counted in one task.
 BLOCK_BYTES, BUCKET_BYTES = 8 * 1024**2, 16 * 1024**2
-_END = np.uint64(0)
+_GRAM = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -137,265 +138,277 @@ def unpacked_names(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
-    h = names * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+def dealt(names: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """For each bucket with names, which slice of the ascending names it gets: its range of their upper halves."""
+    own = (names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(own, prepend=own[:1] ^ np.uint64(1)))
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)]):
+        yield int(own[low]), low, high
 
 
-def dealt(names: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each bucket with names, which of the (ascending) names it gets."""
-    own = bucket_of(names, buckets)
-    order = np.argsort(own, kind="stable")
-    cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
-    for low, high in zip(cuts, [*cuts[1:], len(order)]):
-        yield int(own[order[low]]), order[low:high]
+# -- blocks ----------------------------------------------------------------------------------------------------------
 
-
-# -- counts ----------------------------------------------------------------------------------------------------------
-
-_COUNTED = "bucket int, names binary, counts binary"
-
-
-def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct names of several lists, ascending, and their summed counts."""
-    names, counts = (np.concatenate(x) for x in zip(*tables))
-    order = np.argsort(names, kind="stable")
-    names, counts = names[order], counts[order]
-    first = np.flatnonzero(np.diff(names, prepend=names[:1] ^ np.uint64(1)))
-    return names[first], np.add.reduceat(counts, first) if len(first) else counts
+_STATE = "block long, ids array<{id}>, learned array<boolean>, tokens binary, names binary, sizes binary, n long"
+#: Kind k: n-grams of k tokens and their training occurrences in a block. Kind -k: contexts of k tokens, and of each its
+#: count, then of its successors that the block owns number, counts, gain and probability one word shorter.
+_ASKED = "block long, kind int, bucket int, names binary, figures binary"
+#: Kind k: twice the count, and 1 for the block that owns the n-gram. Kind -k: log10 of the factor for tokens that are not
+#: listed, NaN if it is no context. ``v``: distinct words of the bucket, on one of its rows.
+_ANSWERED = "block long, kind int, bucket int, figures binary, v long"
+_SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def counted(docs: DataFrame, names_of: Callable[[Block], np.ndarray], buckets: int) -> DataFrame:
-    """``bucket, names, counts``: a row for each block and bucket. ``names_of`` gives the names of a block's training tokens."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """The tokens of the rows ``doc_id, text, learned``, a row for each block."""
+    schema = _STATE.format(id=docs.schema["doc_id"].dataType.simpleString())
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in blocks_of(batches):
-            names, counts = np.unique(names_of(block), return_counts=True)
-            rows = [(b, packed_names(names[which]), packed(counts[which])) for b, which in dealt(names, buckets)]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([], [], []), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "names", "counts"])
-
-    return small_batches(docs).mapInArrow(run, _COUNTED)
-
-
-def frequent(lists: DataFrame, least: Callable[[], int]) -> tuple[np.ndarray, np.ndarray]:
-    """Names with a count of ``least`` or more, and their counts. At most 1 / ``LEAST_SHARE`` names come to the driver."""
-    floor = least()
-
-    def run(table: pa.Table) -> pa.Table:
-        names, counts = merged([(unpacked_names(n), unpacked(c)) for n, c in zip(table["names"].to_pylist(), table["counts"].to_pylist())])
-        many = counts >= floor
-        return pa.table({"name": names[many].view(np.int64), "n": counts[many].astype(np.int64)})
-
-    found = lists.groupBy("bucket").applyInArrow(run, "name long, n long").toArrow()
-    names, counts = found["name"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(names)
-    return names[order], counts[order]
-
-
-def totals(lists: DataFrame) -> tuple[int, int]:
-    """Training tokens, and distinct ones among them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        names, counts = merged([(unpacked_names(n), unpacked(c)) for n, c in zip(table["names"].to_pylist(), table["counts"].to_pylist())])
-        return pa.table({"n": [int(counts.sum())], "v": [len(names)]})
+        part = TaskContext.get().partitionId()
+        for i, (table, block) in enumerate(blocks_of(batches)):
+            row = {
+                "block": part << 32 | i, "ids": table["doc_id"].chunk(0), "learned": block.learned, "tokens": packed(block.tokens),
+                "names": packed(block.names), "sizes": packed(np.diff(block.bounds)), "n": int(block.mask().sum()),
+            }
+            yield pa.record_batch([pa.array([row[f.name]], f.type) for f in fields], schema=fields)
 
-    row = lists.groupBy("bucket").applyInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return row[0] or 0, row[1] or 0
+    return small_batches(docs).mapInArrow(run, schema)
 
 
-# -- the tree --------------------------------------------------------------------------------------------------------
+def restored(row: dict) -> Block:
+    bounds = np.concatenate([[0], np.cumsum(unpacked(row["sizes"]).astype(np.int64))])
+    return Block(unpacked(row["tokens"]).astype(np.int64), unpacked(row["names"]), bounds, np.array(row["learned"], bool))
 
 
 @dataclass
-class Tree:
-    """Frequent n-grams by length, in the order of their names, and what follows which context.
+class Grams:
+    """N-grams of a block by length: ``names[k]``, ascending, of those of k + 1 tokens, ``counts[k]`` and ``owned[k]``, ``at[k]``
+    the place among them of the one that ends at each token (-1: not asked for), ``first[k]`` a token that each ends at.
 
-    ``names[k]``, ``counts[k]``: n-grams of k + 1 tokens. ``prior[k]``: log10 probability of the n-gram's last token in
-    the context before it. ``kept[k]``: whether the n-gram is a context, ``rest[k]``: log10 of the factor that tokens
-    not listed after it have to the distribution one word shorter.
+    ``kept[k]``, ``rest[k]``: whether it is a context, and the log10 factor of tokens not listed after it. ``score``: log10
+    probability of each token by the contexts known so far.
     """
 
-    n: int = 0
-    v: int = 0
+    at: list[np.ndarray] = field(default_factory=list)
     names: list[np.ndarray] = field(default_factory=list)
+    first: list[np.ndarray] = field(default_factory=list)
     counts: list[np.ndarray] = field(default_factory=list)
-    prior: list[np.ndarray] = field(default_factory=list)
+    owned: list[np.ndarray] = field(default_factory=list)
     kept: list[np.ndarray] = field(default_factory=list)
     rest: list[np.ndarray] = field(default_factory=list)
+    score: np.ndarray | None = None
 
-    @property
-    def total(self) -> int:
-        return self.n + self.v + 1
-
-
-def look_up(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted name, or -1."""
-    if not len(names):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-    return np.where(names[at] == wanted, at, -1)
-
-
-def joined(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """Names of n-grams by the places of the shorter ones before and at a token."""
-    return (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
-
-
-def places(block: Block, names: list[np.ndarray]) -> list[np.ndarray]:
-    """For each length the place of the n-gram that ends at each token, -1 where it is not frequent or leaves the text."""
-    now = look_up(names[0], block.names)[block.tokens]
-    out = [now]
-    for longer in names[1:]:
-        before = np.concatenate([[-1], now[:-1]])
-        before[block.bounds[:-1]] = -1
-        both = np.flatnonzero((before >= 0) & (now >= 0))
-        found = np.full(len(now), -1, np.int64)
-        found[both] = look_up(longer, joined(before[both], now[both]))
-        out.append(now := found)
-    return out
-
-
-def grown(block: Block, names: list[np.ndarray]) -> np.ndarray:
-    """Names of the training n-grams one token longer than the longest in ``names``."""
-    now = places(block, names)[-1]
-    before = np.concatenate([[-1], now[:-1]])
-    before[block.bounds[:-1]] = -1
-    both = (before >= 0) & (now >= 0) & block.mask()
-    return joined(before[both], now[both])
-
-
-def grow(tree: Tree) -> None:
-    """Adds ``prior``, ``kept`` and ``rest`` to the counts, from short contexts to long ones."""
-    tree.prior = [np.log10((tree.counts[0] + 1.0) / tree.total)]
-    tree.kept, tree.rest = [], []
-    for k in range(len(tree.names) - 1):
-        names, counts, contexts = tree.names[k + 1], tree.counts[k + 1].astype(float), tree.counts[k].astype(float)
-        own, shorter = (names >> np.uint64(32)).astype(np.int64), (names & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        own_p = (counts - DISCOUNT) / contexts[own]
-        # a successor told one word shorter: listed there if that context is kept, else as that context tells it itself
-        short_p = 10.0 ** tree.prior[k][shorter]
-        left, short_left = (np.maximum(1 - np.bincount(own, x, len(contexts)), 1e-12) for x in (own_p, short_p))
-        successors = np.bincount(own, minlength=len(contexts))
-        gain = np.bincount(own, counts * np.log(own_p / short_p), len(contexts))
-        gain += (contexts - np.bincount(own, counts, len(contexts))) * np.log(left / short_left)
-        parent = np.ones(len(contexts), bool) if k == 0 else tree.kept[k - 1][(tree.names[k] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        kept = parent & (successors > 0) & (gain > 0.5 * (successors + 1) * np.log(max(tree.n, 2)))
-        tree.kept.append(kept)
-        tree.rest.append(np.where(kept, np.log10(left / short_left), 0.0))
-        tree.prior.append(np.where(kept[own], np.log10(own_p), tree.prior[k][shorter]))
-
-
-def learn(docs: DataFrame, buckets: int, least_share: float = LEAST_SHARE, least_count: int = LEAST_COUNT, depth: int = DEPTH) -> Tree:
-    """The tree of the rows ``text, learned``."""
-    words = stored(counted(docs, lambda block: block.names[block.tokens[block.mask()]], buckets))
-    tree = Tree(*totals(words))
-
-    def least() -> int:
-        return max(least_count, int(np.ceil(least_share * tree.n)))
-
-    lists = words
-    for length in range(depth + 1):
-        names, counts = frequent(lists, least)
-        if not len(names) and length:
-            break
-        tree.names.append(names)
-        tree.counts.append(counts)
-        if length < depth:
-            known = docs.sparkSession.sparkContext.broadcast(tree.names)
-            lists = counted(docs, lambda block, known=known: grown(block, known.value), buckets)
-    grow(tree)
-    return tree
-
-
-# -- scores ----------------------------------------------------------------------------------------------------------
+    def add(self, tokens: np.ndarray, which: np.ndarray, names: np.ndarray) -> None:
+        """N-grams of one more token, of the names that end at the tokens ``which``."""
+        own, place = np.unique(names, return_inverse=True)
+        at = np.full(len(tokens), -1, np.int32)
+        at[which] = place
+        first = np.zeros(len(own), np.int64)
+        first[place[::-1]] = which[::-1]
+        self.at.append(at)
+        self.names.append(own)
+        self.first.append(first)
 
 
 def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """``values[at]``, and 0 where the place is -1."""
-    out = np.zeros(len(at), values.dtype)
-    out[at >= 0] = values[at[at >= 0]]
-    return out
+    return np.append(values, np.zeros(1, values.dtype))[at]
 
 
-def token_scores(block: Block, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token its log10 probability by the tree, whether the root probability of a word that is not frequent is
-    still to be added to it, and the place of the word among the frequent ones."""
-    at = places(block, tree.names)
-    score, is_open = picked(tree.prior[0], at[0]), at[0] < 0
-    for k, kept in enumerate(tree.kept):
-        context = np.concatenate([[-1], at[k][:-1]])
-        context[block.bounds[:-1]] = -1
-        state = picked(kept, context)
-        listed = state & (at[k + 1] >= 0)
-        other = np.flatnonzero(state & ~listed)
-        score[other] += tree.rest[k][context[other]]
-        score[listed] = tree.prior[k + 1][at[k + 1][listed]]
-        is_open &= ~listed
-    return score, is_open, at[0]
-
-
-#: Rows of two kinds: a block's texts (bucket -1) with their rare tokens, and the rare words that it asks a bucket for.
-_ASKED = """block long, bucket int, names binary, counts binary, ids array<{id}>, held array<boolean>, n_tokens array<long>,
-    n_known array<long>, base array<double>, score array<double>, text binary, place binary, open binary"""
-_SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def before(block: Block, at: np.ndarray) -> np.ndarray:
+    """For each token the place of what ends at the one before it in its text."""
+    out = np.concatenate([[-1], at[:-1]]).astype(at.dtype)
+    out[block.bounds[:-1]] = -1
+    return out
 
 
-def _asked(number: int, ids: pa.Array, block: Block, tree: Tree, buckets: int) -> list[dict]:
-    score, is_open, at = token_scores(block, tree)
+def grams_of(block: Block, answers: dict[int, np.ndarray], upto: int, depth: int, floor: int, total: int) -> Grams:
+    """The n-grams of up to ``upto`` tokens, with what the answers tell of them. The longest ones are no contexts, and are
+    taken only where the context before them may be one."""
+    grams, every = Grams(), np.arange(len(block.tokens))
+    for k in range(upto):
+        if not k:
+            grams.add(block.tokens, every, block.names[block.tokens])
+        else:
+            now, context = picked(grams.counts[k - 1] >= floor, grams.at[k - 1]), before(block, grams.at[k - 1])
+            may = candidates(grams, k, floor) if k == depth else grams.counts[k - 1] >= floor
+            which = np.flatnonzero(now & picked(may, context))
+            grams.add(block.tokens, which, mixed(grams.names[k - 1][context[which]] * _GRAM + block.names[block.tokens[which]]))
+        if k + 1 in answers:
+            grams.counts.append((answers[k + 1] >> np.uint64(1)).astype(np.int64))
+            grams.owned.append((answers[k + 1] & np.uint64(1)).astype(bool))
+        if not k and answers:
+            grams.score = np.log10((grams.counts[0] + 1.0) / total)[grams.at[0]]
+        if -k in answers:
+            apply(block, grams, k, answers[-k], floor)
+    return grams
+
+
+def candidates(grams: Grams, k: int, floor: int) -> np.ndarray:
+    """Which n-grams of k tokens may be contexts: the frequent ones whose suffix is one."""
+    many = grams.counts[k - 1] >= floor
+    if k > 1:
+        many &= picked(grams.kept[k - 2], grams.at[k - 2][grams.first[k - 1]])
+    return many
+
+
+def apply(block: Block, grams: Grams, k: int, answer: np.ndarray, floor: int) -> None:
+    """Lets the contexts of k tokens tell what follows them."""
+    rest = np.full(len(grams.names[k - 1]), np.nan)
+    rest[candidates(grams, k, floor)] = answer.view(np.float64)
+    grams.kept.append(~np.isnan(rest))
+    grams.rest.append(rest)
+    context = before(block, grams.at[k - 1])
+    state = np.flatnonzero(picked(grams.kept[-1], context))
+    context, longer = context[state], grams.at[k][state]
+    count = picked(grams.counts[k], longer)
+    listed = count >= floor
+    grams.score[state[~listed]] += rest[context[~listed]]
+    grams.score[state[listed]] = np.log10((count[listed] - DISCOUNT) / grams.counts[k - 1][context[listed]])
+
+
+def successors(block: Block, grams: Grams, k: int, floor: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Names of the contexts of k tokens that are asked for, and the figures of each."""
+    asked = candidates(grams, k, floor)
+    context = before(block, grams.at[k - 1])[grams.first[k]]
+    own = np.flatnonzero(grams.owned[k] & (grams.counts[k] >= floor) & asked[context])
+    context, count, short = context[own], grams.counts[k][own].astype(float), 10.0 ** grams.score[grams.first[k][own]]
+    gain = count * np.log((count - DISCOUNT) / grams.counts[k - 1][context] / short)
+    summed = lambda *x: np.bincount(context, *x, minlength=len(asked))[asked]
+    numbers = [grams.counts[k - 1][asked], summed(), summed(count)]
+    return grams.names[k - 1][asked], [*(x.astype(np.uint64) for x in numbers), *(summed(x).view(np.uint64) for x in (gain, short))]
+
+
+def steps(depth: int) -> list[list[int]]:
+    """What is asked for one after the other, by kind: contexts wait for the counts of what follows them and for the contexts
+    one word shorter, the longest n-grams for the contexts that they may be listed by."""
+    return [*([k, 2 - k][: 1 + (k > 2)] for k in range(1, depth + 1)), *[[1 - depth]] * (depth > 1), [depth + 1], [-depth]]
+
+
+def asked(row: dict, answers: dict[int, np.ndarray], kinds: list[int], depth: int, buckets: int, floor: int, total: int) -> pa.Table:
+    """What a block asks for in a step."""
+    block = restored(row)
+    grams = grams_of(block, answers, max(0, *answers, *kinds), depth, floor, total)
+    wanted = []
+    for kind in kinds:
+        if kind > 0:
+            at = grams.at[kind - 1]
+            learned = np.bincount(at[block.mask() & (at >= 0)], minlength=len(grams.names[kind - 1]))
+            wanted.append((kind, grams.names[kind - 1], [learned.astype(np.uint64)]))
+        else:
+            wanted.append((kind, *successors(block, grams, -kind, floor)))
+    rows = [
+        (row["block"], kind, bucket, packed_names(names[a:b]), packed(np.concatenate([x[a:b] for x in figures])))
+        for kind, names, figures in wanted for bucket, a, b in dealt(names, buckets)
+    ]
+    kinds = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "names": pa.binary(), "figures": pa.binary()}
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+
+# -- buckets ---------------------------------------------------------------------------------------------------------
+
+
+def answered(table: pa.Table, floor: int, n: int) -> pa.Table:
+    """What the blocks that ask a bucket are told."""
+    table = table.select(["block", "kind", "bucket", "names", "figures"]).sort_by("block")
+    kind = table["kind"][0].as_py()
+    lists = [unpacked_names(x) for x in table["names"].to_pylist()]
+    rows = np.concatenate([unpacked(x).reshape(-1, len(own)) for x, own in zip(table["figures"].to_pylist(), lists)], axis=1)
+    names = np.concatenate(lists)
+    order = np.argsort(names, kind="stable")
+    new = np.diff(names[order], prepend=names[order[:1]] ^ np.uint64(1)) != 0
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    words = 0
+    if kind > 0:
+        count = np.add.reduceat(rows[0][order], first)
+        words = int((count > 0).sum())
+        # a word's count matters however small it is
+        told = np.where((count >= floor) | (kind == 1), count, 0)[group] * np.uint64(2) + new
+    else:
+        context, listed, counts = rows[0][order[first]].astype(float), *(np.add.reduceat(x[order], first).astype(float) for x in rows[1:3])
+        gain, short = (np.add.reduceat(x.view(np.float64)[order], first) for x in rows[3:])
+        left, short_left = np.maximum((context - counts + DISCOUNT * listed) / context, 1e-12), np.maximum(1 - short, 1e-12)
+        gain += (context - counts) * np.log(left / short_left)
+        kept = (listed > 0) & (gain > 0.5 * (listed + 1) * np.log(max(n, 2)))
+        told = np.where(kept, np.log10(left / short_left), np.nan)[group].view(np.uint64)
+    out = np.empty(len(names), np.uint64)
+    out[order] = told
+    cuts = np.cumsum([0, *map(len, lists)])
+    figures = pa.array([packed(out[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+    v = pa.array([words if kind == 1 else 0] + [0] * (len(lists) - 1), pa.int64())
+    return pa.table({"block": table["block"], "kind": table["kind"], "bucket": table["bucket"], "figures": figures, "v": v})
+
+
+# -- steps -----------------------------------------------------------------------------------------------------------
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Has Spark remove the shuffle files of a step when its result is stored."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def told(table: pa.Table, kinds: list[int]) -> tuple[dict, dict[int, np.ndarray]]:
+    """A block's own row, and the answers that it got by their kind, in the order of the names asked for."""
+    own = table.filter(pc.is_null(table["kind"])).select(["block", "ids", "learned", "tokens", "names", "sizes"]).to_pylist()[0]
+    rows = table.filter(pc.is_valid(table["kind"])).select(["kind", "bucket", "figures"]).sort_by([("kind", "ascending"), ("bucket", "ascending")]).to_pylist()
+    by: dict[int, list[np.ndarray]] = {}
+    for r in rows:
+        by.setdefault(r["kind"], []).append(unpacked(r["figures"]))
+    return own, {k: np.concatenate(by[k]) if k in by else np.zeros(0, np.uint64) for k in kinds}
+
+
+def finished(row: dict, answers: dict[int, np.ndarray], depth: int, floor: int, n: int, total: int, kind: pa.DataType) -> pa.Table:
+    """The scores of a block's texts."""
+    block = restored(row)
+    grams = grams_of(block, answers, depth + 1, depth, floor, total)
     per_text = partial(np.add.reduceat, indices=block.bounds[:-1])
-    rare = np.flatnonzero(at < 0)
-    names, place = np.unique(block.names[block.tokens[rare]], return_inverse=True)
-    learned = np.bincount(place, block.mask()[rare], len(names)).astype(np.int64)
-    own = {
-        "block": number, "bucket": -1, "ids": ids, "held": ~block.learned, "n_tokens": np.diff(block.bounds), "n_known": per_text((at >= 0).astype(np.int64)),
-        "base": per_text(picked(tree.prior[0], at)), "score": per_text(score),
-        "text": packed(np.searchsorted(block.bounds, rare, "right") - 1), "place": packed(place), "open": packed(is_open[rare]),
-    }
-    asked = [{"block": number, "bucket": b, "names": packed_names(names[which]), "counts": packed(learned[which])} for b, which in dealt(names, buckets)]
-    return [own, *asked]
-
-
-def _answered(table: pa.Table) -> pa.Table:
-    """The requests of a bucket with the counts of all blocks."""
-    lists = [unpacked_names(n) for n in table["names"].to_pylist()]
-    names, counts = merged([(n, unpacked(c)) for n, c in zip(lists, table["counts"].to_pylist())])
-    counts = [packed(counts[np.searchsorted(names, n)]) for n in lists]
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "names": table["names"], "counts": pa.array(counts, pa.binary())})
-
-
-def _finished(table: pa.Table, tree_n: int, total: int) -> pa.Table:
-    """The texts of a block, from what was known at once and the counts of its rare words."""
-    own = table.filter(pc.equal(table["bucket"], -1)).to_pylist()[0]
-    answers = table.filter(pc.greater(table["bucket"], -1))
-    lists = [(unpacked_names(n), unpacked(c)) for n, c in zip(answers["names"].to_pylist(), answers["counts"].to_pylist())]
-    names, counts = (np.concatenate(x) for x in zip(*lists)) if lists else (np.zeros(0, np.uint64),) * 2
-    count = counts[np.argsort(names)][unpacked(own["place"]).astype(np.int64)] if lists else counts
-    text, size, root = unpacked(own["text"]).astype(np.int64), len(own["ids"]), np.log10((count + 1.0) / total)
     return pa.table({
-        "doc_id": pa.array(own["ids"], table.schema.field("ids").type.value_type), "held_out": own["held"], "n_tokens": own["n_tokens"],
-        "n_known": own["n_known"] + np.bincount(text, count > 0, size).astype(np.int64), "train_tokens": np.full(size, tree_n),
-        "base_score": own["base"] + np.bincount(text, root, size), "score": own["score"] + np.bincount(text, root * unpacked(own["open"]), size),
+        "doc_id": pa.array(row["ids"], kind), "held_out": ~block.learned, "n_tokens": np.diff(block.bounds),
+        "n_known": per_text((grams.counts[0] > 0)[grams.at[0]].astype(np.int64)), "train_tokens": np.full(len(block.learned), n),
+        "base_score": per_text(np.log10((grams.counts[0] + 1.0) / total)[grams.at[0]]), "score": per_text(grams.score),
     })
 
 
-def score(docs: DataFrame, tree: Tree, buckets: int) -> DataFrame:
+def score(docs: DataFrame, buckets: int, least_share: float, least_count: int, depth: int) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for the rows ``doc_id, text, learned``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema, sent = _ASKED.format(id=kind), docs.sparkSession.sparkContext.broadcast(tree)
-    fields = to_arrow_schema(StructType.fromDDL(schema))
+    spark = docs.sparkSession
+    state = stored(blocks(docs))
+    n = state.agg(F.sum("n")).first()[0] or 0
+    floor, total = max(least_count, int(np.ceil(least_share * n))), 0
+    answers: list[DataFrame] = []
+    known: list[int] = []
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for i, (table, block) in enumerate(blocks_of(batches)):
-            rows = _asked(part << 32 | i, table["doc_id"].chunk(0), block, sent.value, buckets)
-            yield pa.record_batch([pa.array([r.get(f.name) for r in rows], f.type) for f in fields], schema=fields)
+    def with_answers() -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers, state.drop("n")).groupBy("block")
+
+    def asking(kinds: list[int], known: list[int], total: int) -> Callable[[pa.Table], pa.Table]:
+        return lambda table: asked(*told(table, known), kinds, depth, buckets, floor, total)
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from asked(row, {}, [1], depth, buckets, floor, 0).to_batches()
+
+    for kinds in steps(depth):
+        requests = with_answers().applyInArrow(asking(kinds, known, total), _ASKED) if answers else small_batches(state).mapInArrow(ask_words, _ASKED)
+        with shuffles_removed(spark):
+            told_now = stored(requests.groupBy("kind", "bucket").applyInArrow(lambda table: answered(table, floor, n), _ANSWERED))
+        if not answers:
+            total = n + (told_now.agg(F.sum("v")).first()[0] or 0) + 1
+        answers.append(told_now.drop("v"))
+        known = known + kinds
+
+    schema = _SCORES.format(id=docs.schema["doc_id"].dataType.simpleString())
+    kind = to_arrow_schema(StructType.fromDDL(schema)).field("doc_id").type
 
-    n, total = tree.n, tree.total
-    asked = stored(small_batches(docs).mapInArrow(ask, schema))
-    requests = asked.where("bucket >= 0").select("block", "bucket", "names", "counts")
-    answers = requests.groupBy("bucket").applyInArrow(_answered, requests.schema)
-    both = asked.where("bucket < 0").unionByName(answers, allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(lambda table: _finished(table, n, total), _SCORES.format(id=kind))
+    return with_answers().applyInArrow(lambda table: finished(*told(table, known), depth, floor, n, total, kind), schema)
 
 
 def score_documents(
@@ -413,4 +426,4 @@ def score_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), learned.alias("learned"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    return score(rows, learn(rows, buckets, least_share, least_count, depth), buckets)
+    return score(rows, buckets, least_share, least_count, depth)

@@ -162,6 +162,20 @@ def test_scores_over_several_blocks_of_a_task(spark, monkeypatch):
     assert_scores(lm.score_documents(docs, bucket_bytes=3000).collect(), lm_rows(rows)[0])
 
 
+def test_passage_that_occurs_twice_in_millions_of_tokens_is_told_by_its_contexts(spark):
+    passage = " ".join(f"rare{i}" for i in range(40))
+    rows = [(str(i), "lu " * 1100) for i in range(2000)] + [("twice", passage), ("again", passage)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    found = {r.doc_id: r for r in lm.score_documents(docs, learned=F.lit(True)).where("doc_id in ('twice', 'again')").collect()}
+    # every word is followed by the next one in two of two places: (2 - 0.5) / 2
+    for r in found.values():
+        assert r.train_tokens > 2_200_000 and r.base_score < -200 and r.score > -20
+
+
+def test_steps_of_the_exchange():
+    assert lm.steps(3) == [[1], [2], [3, -1], [-2], [4], [-3]] and lm.steps(2) == [[1], [2], [-1], [3], [-2]] and lm.steps(1) == [[1], [2], [-1]]
+
+
 def test_scores_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id string, text string")
     assert lm.score_documents(docs).collect() == []
