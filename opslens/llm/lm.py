@@ -117,10 +117,10 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Blo
 # -- lists of numbers ------------------------------------------------------------------------------------------------
 
 
-def packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray, level: int = 1) -> bytes:
     """Unsigned 64-bit numbers, byte by byte of all of them, compressed; small numbers take little room."""
     planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
-    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(4, "little") + pa.Codec("zstd", compression_level=level).compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -150,7 +150,8 @@ def dealt(names: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 
 _STATE = "block long, ids array<{id}>, learned array<boolean>, tokens binary, names binary, sizes binary, n long"
 #: Kind k: n-grams of k tokens and their training occurrences in a block. Kind -k: contexts of k tokens, and of each its
-#: count, then of its successors that the block owns number, counts, gain and probability one word shorter.
+#: count, then of its successors that the block owns number, counts, gain and probability one word shorter. The count is sent
+#: with successors only, and the gain with several: that of one follows from the others.
 _ASKED = "block long, kind int, bucket int, names binary, figures binary"
 #: Kind k: twice the count, and 1 for the block that owns the n-gram. Kind -k: log10 of the factor for tokens that are not
 #: listed, NaN if it is no context. ``v``: distinct words of the bucket, on one of its rows.
@@ -166,9 +167,12 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for i, (table, block) in enumerate(blocks_of(batches)):
+            order = np.argsort(-np.bincount(block.tokens))  # small numbers for frequent words
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
             row = {
-                "block": part << 32 | i, "ids": table["doc_id"].chunk(0), "learned": block.learned, "tokens": packed(block.tokens),
-                "names": packed(block.names), "sizes": packed(np.diff(block.bounds)), "n": int(block.mask().sum()),
+                "block": part << 32 | i, "ids": table["doc_id"].chunk(0), "learned": block.learned, "tokens": packed(rank[block.tokens], 3),
+                "names": packed(block.names[order]), "sizes": packed(np.diff(block.bounds)), "n": int(block.mask().sum()),
             }
             yield pa.record_batch([pa.array([row[f.name]], f.type) for f in fields], schema=fields)
 
@@ -198,15 +202,14 @@ class Grams:
     rest: list[np.ndarray] = field(default_factory=list)
     score: np.ndarray | None = None
 
-    def add(self, tokens: np.ndarray, which: np.ndarray, names: np.ndarray) -> None:
-        """N-grams of one more token, of the names that end at the tokens ``which``."""
-        own, place = np.unique(names, return_inverse=True)
+    def add(self, tokens: np.ndarray, which: np.ndarray, names: np.ndarray, place: np.ndarray) -> None:
+        """N-grams of one more token, that end at the tokens ``which``: their names and the place of each token's."""
         at = np.full(len(tokens), -1, np.int32)
         at[which] = place
-        first = np.zeros(len(own), np.int64)
+        first = np.zeros(len(names), np.int64)
         first[place[::-1]] = which[::-1]
         self.at.append(at)
-        self.names.append(own)
+        self.names.append(names)
         self.first.append(first)
 
 
@@ -228,12 +231,14 @@ def grams_of(block: Block, answers: dict[int, np.ndarray], upto: int, depth: int
     grams, every = Grams(), np.arange(len(block.tokens))
     for k in range(upto):
         if not k:
-            grams.add(block.tokens, every, block.names[block.tokens])
+            names, place = np.unique(block.names, return_inverse=True)
+            grams.add(block.tokens, every, names, place[block.tokens])
         else:
             now, context = picked(grams.counts[k - 1] >= floor, grams.at[k - 1]), before(block, grams.at[k - 1])
             may = candidates(grams, k, floor) if k == depth else grams.counts[k - 1] >= floor
             which = np.flatnonzero(now & picked(may, context))
-            grams.add(block.tokens, which, mixed(grams.names[k - 1][context[which]] * _GRAM + block.names[block.tokens[which]]))
+            names = mixed(grams.names[k - 1][context[which]] * _GRAM + block.names[block.tokens[which]])
+            grams.add(block.tokens, which, *np.unique(names, return_inverse=True))
         if k + 1 in answers:
             grams.counts.append((answers[k + 1] >> np.uint64(1)).astype(np.int64))
             grams.owned.append((answers[k + 1] & np.uint64(1)).astype(bool))
@@ -275,8 +280,10 @@ def successors(block: Block, grams: Grams, k: int, floor: int) -> tuple[np.ndarr
     context, count, short = context[own], grams.counts[k][own].astype(float), 10.0 ** grams.score[grams.first[k][own]]
     gain = count * np.log((count - DISCOUNT) / grams.counts[k - 1][context] / short)
     summed = lambda *x: np.bincount(context, *x, minlength=len(asked))[asked]
-    numbers = [grams.counts[k - 1][asked], summed(), summed(count)]
-    return grams.names[k - 1][asked], [*(x.astype(np.uint64) for x in numbers), *(summed(x).view(np.uint64) for x in (gain, short))]
+    listed, gain = summed(), summed(gain)
+    gain[listed == 1] = 0
+    numbers = [np.where(listed > 0, grams.counts[k - 1][asked], 0), listed, summed(count)]
+    return grams.names[k - 1][asked], [*(x.astype(np.uint64) for x in numbers), *(x.view(np.uint64) for x in (gain, summed(short)))]
 
 
 def steps(depth: int) -> list[list[int]]:
@@ -323,10 +330,15 @@ def answered(table: pa.Table, floor: int, n: int) -> pa.Table:
         count = np.add.reduceat(rows[0][order], first)
         words = int((count > 0).sum())
         # a word's count matters however small it is
-        told = np.where((count >= floor) | (kind == 1), count, 0)[group] * np.uint64(2) + new
+        matters = (count >= floor) | (kind == 1)
+        told = (np.where(matters, count, 0) * np.uint64(2))[group] + (new & matters[group])
     else:
-        context, listed, counts = rows[0][order[first]].astype(float), *(np.add.reduceat(x[order], first).astype(float) for x in rows[1:3])
-        gain, short = (np.add.reduceat(x.view(np.float64)[order], first) for x in rows[3:])
+        number, count, gain, short = rows[1], rows[2].astype(float), rows[3].view(np.float64), rows[4].view(np.float64)
+        context = np.maximum.reduceat(rows[0][order], first).astype(float)
+        one = number == 1
+        gain[one] = count[one] * np.log((count[one] - DISCOUNT) / rows[0][one] / short[one])
+        listed, counts, gain, short = (np.add.reduceat(x[order], first) for x in (number.astype(float), count, gain, short))
+        context = np.maximum(context, 1)  # without a listed successor it is not sent, and it is no context
         left, short_left = np.maximum((context - counts + DISCOUNT * listed) / context, 1e-12), np.maximum(1 - short, 1e-12)
         gain += (context - counts) * np.log(left / short_left)
         kept = (listed > 0) & (gain > 0.5 * (listed + 1) * np.log(max(n, 2)))
