@@ -117,20 +117,26 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Blo
 # -- lists of numbers ------------------------------------------------------------------------------------------------
 
 
-def packed(values: np.ndarray, level: int = 1) -> bytes:
-    """Unsigned 64-bit numbers, byte by byte of all of them, compressed; small numbers take little room."""
-    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
-    return len(values).to_bytes(4, "little") + pa.Codec("zstd", compression_level=level).compress(planes.tobytes(), asbytes=True)
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, byte by byte of all of them, compressed; small numbers take little room. Bytes that are
+    0 in all of them are left out."""
+    own = np.ascontiguousarray(values, "<u8")
+    width = (int(own.max(initial=0)).bit_length() + 7) // 8
+    planes = b"".join(own.view(np.uint8)[i::8].tobytes() for i in range(width))
+    return len(own).to_bytes(4, "little") + bytes([width]) + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view("<u8")
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    planes = np.frombuffer(pa.decompress(memoryview(data)[5:], decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    for i in range(width):
+        out[:, i] = planes[i * n : (i + 1) * n]
+    return out.reshape(-1).view("<u8")
 
 
 def packed_names(names: np.ndarray) -> bytes:
-    """Ascending names as their differences."""
+    """Names that mostly ascend as their differences, modulo 2**64."""
     return packed(np.diff(names, prepend=np.uint64(0)))
 
 
@@ -167,12 +173,13 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for i, (table, block) in enumerate(blocks_of(batches)):
-            order = np.argsort(-np.bincount(block.tokens))  # small numbers for frequent words
+            order, _ = ranked(block.names)  # small numbers for frequent words, and ascending names where words are as frequent
+            order = order[np.argsort(-np.bincount(block.tokens)[order], kind="stable")]
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             row = {
-                "block": part << 32 | i, "ids": table["doc_id"].chunk(0), "learned": block.learned, "tokens": packed(rank[block.tokens], 3),
-                "names": packed(block.names[order]), "sizes": packed(np.diff(block.bounds)), "n": int(block.mask().sum()),
+                "block": part << 32 | i, "ids": table["doc_id"].chunk(0), "learned": block.learned, "tokens": packed(rank[block.tokens]),
+                "names": packed_names(block.names[order]), "sizes": packed(np.diff(block.bounds)), "n": int(block.mask().sum()),
             }
             yield pa.record_batch([pa.array([row[f.name]], f.type) for f in fields], schema=fields)
 
@@ -181,16 +188,29 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def restored(row: dict) -> Block:
     bounds = np.concatenate([[0], np.cumsum(unpacked(row["sizes"]).astype(np.int64))])
-    return Block(unpacked(row["tokens"]).astype(np.int64), unpacked(row["names"]), bounds, np.array(row["learned"], bool))
+    return Block(unpacked(row["tokens"]).astype(np.int64), unpacked_names(row["names"]), bounds, np.array(row["learned"], bool))
+
+
+def ranked(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts the names, equal ones by place, and the names in it."""
+    bits = np.uint64(len(names).bit_length())
+    # numbers are sorted in less time than places: the lowest bits of a name give way to its place
+    order = np.sort(names >> bits << bits | np.arange(len(names), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))
+    now = names[order.view(np.int64)]
+    if (now[1:] < now[:-1]).any():  # names that differ in these bits only
+        order = np.argsort(names, kind="stable")
+        now = names[order]
+    return order.view(np.int64), now
 
 
 @dataclass
 class Grams:
     """N-grams of a block by length: ``names[k]``, ascending, of those of k + 1 tokens, ``counts[k]`` and ``owned[k]``, ``at[k]``
-    the place among them of the one that ends at each token (-1: not asked for), ``first[k]`` a token that each ends at.
+    the place among them of the one that ends at each token (-1: not asked for), ``first[k]`` the first token that each ends
+    at (of single tokens: none).
 
-    ``kept[k]``, ``rest[k]``: whether it is a context, and the log10 factor of tokens not listed after it. ``score``: log10
-    probability of each token by the contexts known so far.
+    ``kept[k]``, ``rest[k]``: whether it is a context, and the log10 factor of tokens not listed after it. ``base``: log10
+    probability of each token by counts of words, ``score``: by the contexts known so far.
     """
 
     at: list[np.ndarray] = field(default_factory=list)
@@ -200,17 +220,19 @@ class Grams:
     owned: list[np.ndarray] = field(default_factory=list)
     kept: list[np.ndarray] = field(default_factory=list)
     rest: list[np.ndarray] = field(default_factory=list)
+    base: np.ndarray | None = None
     score: np.ndarray | None = None
 
-    def add(self, tokens: np.ndarray, which: np.ndarray, names: np.ndarray, place: np.ndarray) -> None:
-        """N-grams of one more token, that end at the tokens ``which``: their names and the place of each token's."""
-        at = np.full(len(tokens), -1, np.int32)
-        at[which] = place
-        first = np.zeros(len(names), np.int64)
-        first[place[::-1]] = which[::-1]
+    def add(self, n: int, which: np.ndarray, names: np.ndarray) -> None:
+        """N-grams of one more token, that end at the tokens ``which`` of ``n``: the name of each token's."""
+        order, names = ranked(names)
+        new = np.diff(names, prepend=names[:1] ^ np.uint64(1)) != 0
+        ends = which[order]
+        at = np.full(n, -1, np.int32)
+        at[ends] = np.cumsum(new, dtype=np.int32) - 1
         self.at.append(at)
-        self.names.append(names)
-        self.first.append(first)
+        self.names.append(names[new])
+        self.first.append(ends[new])
 
 
 def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -218,32 +240,39 @@ def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.append(values, np.zeros(1, values.dtype))[at]
 
 
-def before(block: Block, at: np.ndarray) -> np.ndarray:
-    """For each token the place of what ends at the one before it in its text."""
-    out = np.concatenate([[-1], at[:-1]]).astype(at.dtype)
-    out[block.bounds[:-1]] = -1
+def after(block: Block, here: np.ndarray) -> np.ndarray:
+    """For each token whether the one before it in its text is one of ``here``."""
+    out = np.concatenate([[False], here[:-1]])
+    out[block.bounds[:-1]] = False
     return out
 
 
-def grams_of(block: Block, answers: dict[int, np.ndarray], upto: int, depth: int, floor: int, total: int) -> Grams:
-    """The n-grams of up to ``upto`` tokens, with what the answers tell of them. The longest ones are no contexts, and are
-    taken only where the context before them may be one."""
-    grams, every = Grams(), np.arange(len(block.tokens))
+def grams_of(block: Block, answers: dict[int, np.ndarray], upto: int, depth: int, floor: int, total: int, scored: bool) -> Grams:
+    """The n-grams of up to ``upto`` tokens, with what the answers tell of them and, if ``scored``, of the tokens. The longest
+    ones are no contexts, and are taken only where the context before them may be one."""
+    grams, n = Grams(), len(block.tokens)
+    words = named = block.names[block.tokens]
     for k in range(upto):
         if not k:
             names, place = np.unique(block.names, return_inverse=True)
-            grams.add(block.tokens, every, names, place[block.tokens])
+            grams.at.append(place.astype(np.int32)[block.tokens])
+            grams.names.append(names)
+            grams.first.append(np.zeros(0, np.int64))
         else:
-            now, context = picked(grams.counts[k - 1] >= floor, grams.at[k - 1]), before(block, grams.at[k - 1])
-            may = candidates(grams, k, floor) if k == depth else grams.counts[k - 1] >= floor
-            which = np.flatnonzero(now & picked(may, context))
-            names = mixed(grams.names[k - 1][context[which]] * _GRAM + block.names[block.tokens[which]])
-            grams.add(block.tokens, which, *np.unique(names, return_inverse=True))
+            now = may = picked(grams.counts[k - 1] >= floor, grams.at[k - 1])
+            if k == depth:
+                may = picked(candidates(grams, k, floor), grams.at[k - 1])
+            which = np.flatnonzero(now & after(block, may))
+            longer = mixed(named[which - 1] * _GRAM + words[which])
+            grams.add(n, which, longer)
+            named = np.empty(n, np.uint64)  # only these are looked at
+            named[which] = longer
         if k + 1 in answers:
             grams.counts.append((answers[k + 1] >> np.uint64(1)).astype(np.int64))
             grams.owned.append((answers[k + 1] & np.uint64(1)).astype(bool))
-        if not k and answers:
-            grams.score = np.log10((grams.counts[0] + 1.0) / total)[grams.at[0]]
+        if not k and scored:
+            grams.base = np.log10((grams.counts[0] + 1.0) / total)[grams.at[0]]
+            grams.score = grams.base.copy()
         if -k in answers:
             apply(block, grams, k, answers[-k], floor)
     return grams
@@ -258,14 +287,15 @@ def candidates(grams: Grams, k: int, floor: int) -> np.ndarray:
 
 
 def apply(block: Block, grams: Grams, k: int, answer: np.ndarray, floor: int) -> None:
-    """Lets the contexts of k tokens tell what follows them."""
+    """Tells which n-grams of k tokens are contexts, and lets them tell what follows them if there are scores."""
     rest = np.full(len(grams.names[k - 1]), np.nan)
     rest[candidates(grams, k, floor)] = answer.view(np.float64)
     grams.kept.append(~np.isnan(rest))
     grams.rest.append(rest)
-    context = before(block, grams.at[k - 1])
-    state = np.flatnonzero(picked(grams.kept[-1], context))
-    context, longer = context[state], grams.at[k][state]
+    if grams.score is None:
+        return
+    state = np.flatnonzero(after(block, picked(grams.kept[-1], grams.at[k - 1])))
+    context, longer = grams.at[k - 1][state - 1], grams.at[k][state]
     count = picked(grams.counts[k], longer)
     listed = count >= floor
     grams.score[state[~listed]] += rest[context[~listed]]
@@ -275,7 +305,7 @@ def apply(block: Block, grams: Grams, k: int, answer: np.ndarray, floor: int) ->
 def successors(block: Block, grams: Grams, k: int, floor: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Names of the contexts of k tokens that are asked for, and the figures of each."""
     asked = candidates(grams, k, floor)
-    context = before(block, grams.at[k - 1])[grams.first[k]]
+    context = grams.at[k - 1][grams.first[k] - 1]
     own = np.flatnonzero(grams.owned[k] & (grams.counts[k] >= floor) & asked[context])
     context, count, short = context[own], grams.counts[k][own].astype(float), 10.0 ** grams.score[grams.first[k][own]]
     gain = count * np.log((count - DISCOUNT) / grams.counts[k - 1][context] / short)
@@ -295,12 +325,12 @@ def steps(depth: int) -> list[list[int]]:
 def asked(row: dict, answers: dict[int, np.ndarray], kinds: list[int], depth: int, buckets: int, floor: int, total: int) -> pa.Table:
     """What a block asks for in a step."""
     block = restored(row)
-    grams = grams_of(block, answers, max(0, *answers, *kinds), depth, floor, total)
-    wanted = []
+    grams = grams_of(block, answers, max(0, *answers, *kinds), depth, floor, total, min(kinds) < 0)
+    mask, wanted = block.mask(), []
     for kind in kinds:
         if kind > 0:
             at = grams.at[kind - 1]
-            learned = np.bincount(at[block.mask() & (at >= 0)], minlength=len(grams.names[kind - 1]))
+            learned = np.bincount(at[mask & (at >= 0)], minlength=len(grams.names[kind - 1]))
             wanted.append((kind, grams.names[kind - 1], [learned.astype(np.uint64)]))
         else:
             wanted.append((kind, *successors(block, grams, -kind, floor)))
@@ -379,12 +409,12 @@ def told(table: pa.Table, kinds: list[int]) -> tuple[dict, dict[int, np.ndarray]
 def finished(row: dict, answers: dict[int, np.ndarray], depth: int, floor: int, n: int, total: int, kind: pa.DataType) -> pa.Table:
     """The scores of a block's texts."""
     block = restored(row)
-    grams = grams_of(block, answers, depth + 1, depth, floor, total)
+    grams = grams_of(block, answers, depth + 1, depth, floor, total, True)
     per_text = partial(np.add.reduceat, indices=block.bounds[:-1])
     return pa.table({
         "doc_id": pa.array(row["ids"], kind), "held_out": ~block.learned, "n_tokens": np.diff(block.bounds),
         "n_known": per_text((grams.counts[0] > 0)[grams.at[0]].astype(np.int64)), "train_tokens": np.full(len(block.learned), n),
-        "base_score": per_text(np.log10((grams.counts[0] + 1.0) / total)[grams.at[0]]), "score": per_text(grams.score),
+        "base_score": per_text(grams.base), "score": per_text(grams.score),
     })
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,24 @@ def test_lists_of_numbers():
         assert lm.unpacked(lm.packed(x)).tolist() == values and lm.unpacked_names(lm.packed_names(x)).tolist() == values
 
 
+def test_lists_of_small_numbers_leave_out_the_upper_bytes():
+    assert [lm.packed(np.array(x, np.uint64))[4] for x in ([], [0], [255], [7, 256], [2**63])] == [0, 0, 1, 2, 8]
+
+
+@pytest.mark.parametrize("names", [[], [3], [2**64 - 1, 0, 2**64 - 1, 0], [5, 4, 7, 4, 5, 6] * 50, [x << 40 for x in (9, 1, 9, 3, 1)]])
+def test_order_of_names_that_differ_in_few_bits(names):
+    order, now = lm.ranked(np.array(names, np.uint64))
+    assert order.tolist() == sorted(range(len(names)), key=lambda i: (names[i], i)) and now.tolist() == sorted(names)
+
+
+def test_steps_that_need_no_scores_make_none():
+    block = lm.block_of(pa.array(["a b a b", None, "b a"]), pa.array([True, False, True]))
+    answers = {1: np.full(3, 5, np.uint64)}
+    plain, scored = (lm.grams_of(block, answers, 2, 3, 2, 11, x) for x in (False, True))
+    assert plain.score is None and np.allclose(scored.score, np.log10(3 / 11)) and scored.base is not scored.score
+    assert [x.tolist() for x in plain.at] == [x.tolist() for x in scored.at] and sorted(plain.first[1].tolist()) == [1, 2, 4, 8]
+
+
 # -- trie ------------------------------------------------------------------------------------------------------------
 
 
