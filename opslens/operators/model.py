@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions.scalar import half_up, ratio
+from opslens.operators import forest
 from opslens.operators.joins import join_lookup, settle
 from opslens.operators.running import running_totals
 from opslens.session import drop_at_end, run_path
@@ -25,6 +26,8 @@ NUMERIC = [
 ]
 #: Most bytes of the remembered tree nodes of all rows (three generations of 4 bytes for each row and tree).
 NODE_ID_BYTES = 2 * 1024**3
+#: Rows times trees up to which Spark ML fits the forest; beyond, it is grown by blocks of rows.
+SPARK_ROW_TREES = 1 << 26
 
 
 def model_frame(features: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str) -> DataFrame:
@@ -66,11 +69,11 @@ def forest_pipeline(
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False, handleInvalid="keep"),
         ]
     assembler = VectorAssembler(inputCols=[*encoded, *numeric], outputCol="features", handleInvalid="keep")
-    forest = RandomForestClassifier(
+    trained = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=cache_nodes,
     )
-    return Pipeline(stages=[*stages, assembler, forest])
+    return Pipeline(stages=[*stages, assembler, trained])
 
 
 def train_forest(
@@ -79,11 +82,17 @@ def train_forest(
     """The fitted pipeline, as saved in the checkpoint folder and loaded again: without the summary of its training, which
     holds on to the session and would travel with every task that scores.
 
-    Tree nodes are remembered while that takes at most ``NODE_ID_BYTES``.
+    Spark ML fits up to ``SPARK_ROW_TREES`` rows times trees, and remembers tree nodes while that takes at most
+    ``NODE_ID_BYTES``. Beyond, the forest of the same parameters is grown by blocks of rows, with other random numbers.
     """
-    cache = 12 * trees * train.count() <= NODE_ID_BYTES
-    pipeline = forest_pipeline(categorical, numeric, label, trees=trees, cache_nodes=cache, **params)
-    fitted = pipeline.fit(with_class_weights(train, label))
+    rows = train.count()
+    cache = 12 * trees * rows <= NODE_ID_BYTES
+    pipeline, fitted = forest_pipeline(categorical, numeric, label, trees=trees, cache_nodes=cache, **params), None
+    if trees * rows > SPARK_ROW_TREES:
+        weights = {float(r[label]): r["weight"] for r in class_weights(train, label).collect()}
+        fitted = forest.fit(pipeline, train, weights) if forest.can_grow(pipeline, weights) else None
+    if fitted is None:
+        fitted = pipeline.fit(with_class_weights(train, label))
     path = f"{run_path(train.sparkSession)}/model-{uuid.uuid4().hex}"
     fitted.save(path)
     drop_at_end(train.sparkSession)
@@ -92,7 +101,10 @@ def train_forest(
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Add the positive-class probability ``score`` and the 0/1 ``predicted``."""
-    scored = model.transform(df).withColumn("score", vector_to_array("probability")[1])
+    if forest.can_score(model):
+        scored = forest.scored(model, df)
+    else:
+        scored = model.transform(df).withColumn("score", vector_to_array("probability")[1])
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -1,10 +1,13 @@
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from helpers import row_set, rows
-from opslens.operators import model
+from opslens.operators import forest, model
 from opslens.plans import queries
 from opslens.plans.bindings import TestTables
 
@@ -99,3 +102,84 @@ def test_registered_figures_of_the_forest(spark):
     assert abs(auc - above / wanted / (len(pairs) - wanted)) < 1e-5
     shares = rows(queries.m10_shares(TestTables(spark, folder)))
     assert abs(sum(s for _, s in shares) - 1) < 1e-4 and queries._fitted(TestTables(spark, folder))[0] is fitted
+
+
+# --- the forest grown by blocks of rows --------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def visits(spark):
+    """Two categories, a number of few values and two of many; both classes are as frequent, so that all weights are 1."""
+    number = lambda salt, n: F.pmod(F.hash("id", F.lit(salt)), F.lit(n)).cast("double")
+    y = (F.col("id") % 2).cast("double")
+    df = spark.range(3000).select(
+        F.concat(F.lit("c"), F.pmod(F.hash("id"), F.lit(5)).cast("string")).alias("c"), F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("d"),
+        (number(3, 1000) / 1000 + 0.2 * y).alias("x"), F.when((F.pmod(F.hash("id"), F.lit(5)) == 1) & (y == 1), 20.0).otherwise(number(4, 9)).alias("z"), number(5, 10**5).alias("v"), y.alias("y"),
+    )
+    return model.model_frame(df, ["c", "d"], ["x", "z", "v"], "y").repartition(4, "x").localCheckpoint()
+
+
+VISITS = (["c", "d"], ["x", "z", "v"], "y")
+
+
+@pytest.mark.parametrize(("depth", "least"), [(1, 5), (7, 25), (8, 3)])
+def test_grown_forest_is_that_of_spark(spark, visits, monkeypatch, depth, least):
+    """Without random numbers every node, threshold and importance is the same, whatever the blocks are."""
+    pipeline = model.forest_pipeline(*VISITS, trees=2, depth=depth, min_leaf=least)
+    pipeline.getStages()[-1].setFeatureSubsetStrategy("all").setBootstrap(False)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 500)
+    wanted = pipeline.fit(model.with_class_weights(visits, "y")).stages[-1]
+    grown = forest.fit(pipeline, visits, {0.0: 1.0, 1.0: 1.0}).stages[-1]
+    assert grown.toDebugString.split("\n")[1:] == wanted.toDebugString.split("\n")[1:] and grown.numFeatures == wanted.numFeatures
+    assert list(grown.featureImportances.toArray()) == list(wanted.featureImportances.toArray()) and (depth == 1 or grown.totalNumNodes > 30)
+
+
+def test_large_fit_is_grown_by_blocks(spark, visits, monkeypatch):
+    """Beyond the limit Spark ML does not fit the forest; trees are of the same size, the fit repeats itself, and weights count."""
+    params = dict(trees=60, depth=6, min_leaf=10)
+    uneven = visits.where("y = 1 or v < 40000")
+    by_spark = model.train_forest(uneven, *VISITS, **params)
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: fit(self, df) if not isinstance(self.getStages()[-1], RandomForestClassifier) else pytest.fail("fitted by Spark ML"))
+    monkeypatch.setattr(model, "SPARK_ROW_TREES", 0)
+    grown, again = (model.train_forest(uneven, *VISITS, **params) for _ in range(2))
+    assert grown.stages[-1].toDebugString.split("\n")[1:] == again.stages[-1].toDebugString.split("\n")[1:]
+    assert len({t.toDebugString.split("\n", 1)[1] for t in grown.stages[-1].trees}) > 50
+    nodes = [np.array([t.numNodes for t in m.stages[-1].trees]) for m in (by_spark, grown)]
+    assert abs(nodes[0].mean() - nodes[1].mean()) < 5 * np.sqrt(sum(n.var() for n in nodes) / 60)
+    assert np.abs(by_spark.stages[-1].featureImportances.toArray() - grown.stages[-1].featureImportances.toArray()).max() < 0.05
+    auc = [rows(model.roc_auc(model.score(m, uneven), "y", "score"))[0][0] for m in (by_spark, grown)]
+    assert abs(auc[0] - auc[1]) < 0.02 and auc[0] > 0.7
+    assert {r[0] for r in rows(model.importances(grown, uneven))} == {r[0] for r in rows(model.importances(by_spark, uneven))}
+
+
+def test_scores_are_those_of_spark(spark, visits):
+    """The same bits, also for unseen categories, unknown numbers and rows that come twice."""
+    fitted = model.train_forest(visits, *VISITS, trees=30, depth=8, min_leaf=3)
+    odd = visits.union(visits.limit(40).withColumn("c", F.lit("new"))).union(visits.limit(40).withColumn("x", F.lit(None).cast("double")))
+    odd = odd.withColumn("k", F.monotonically_increasing_id()).localCheckpoint()
+    wanted = {r.k: r.s for r in fitted.transform(odd).select("k", vector_to_array("probability")[1].alias("s")).collect()}
+    got = model.score(fitted, odd)
+    assert got.columns == [*odd.columns, "score", "predicted"] and wanted == {r.k: r.score for r in got.collect()}
+    assert model.score(fitted, odd.where("false")).count() == 0
+
+
+def test_bins_follow_all_values():
+    """Exact counts while values are few, ranks right to a few parts in 4,096 beyond."""
+    few = np.repeat([3.0, 1.0, 2.0], [5, 1, 4])
+    values, weights = forest._merged([(few[:4], np.ones(4)), (few[4:], np.full(6, 2.0))])
+    assert values.tolist() == [1.0, 2.0, 3.0] and weights.tolist() == [2.0, 8.0, 6.0] and forest._bins(values, weights, 32).tolist() == [1.5, 2.5]
+    x = np.random.default_rng(4).normal(size=200_000)
+    part = forest._merged([(x[:100_000], np.ones(100_000))])
+    cuts = forest._bins(*forest._merged([part, (x[100_000:], np.ones(100_000))]), 32)
+    assert len(part[0]) <= forest.VALUES and len(cuts) == 31
+    assert np.abs(np.searchsorted(np.sort(x), cuts) / len(x) - np.arange(1, 32) / 32).max() < 2e-3
+
+
+@pytest.mark.parametrize("column", ["y", "v"])
+def test_unknown_labels_and_numbers_end_a_large_fit(spark, visits, monkeypatch, column):
+    """As in Spark ML."""
+    monkeypatch.setattr(model, "SPARK_ROW_TREES", 0)
+    odd = visits.union(visits.limit(1).withColumn(column, F.lit(None).cast("double")))
+    with pytest.raises(Exception, match="must not be null"):
+        model.train_forest(odd, *VISITS, trees=2, depth=2)
